@@ -105,3 +105,41 @@ def pack(
 def ordered_list(order: Sequence[str], values: Sequence[str]) -> Column:
     entry = F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])
     return F.array_sort(F.collect_list(entry))
+
+
+def pack_under(
+    headers: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Sequence[str],
+    split: Column,
+    hot_rows: int = HOT_ROWS,
+    chunk: str = "chunk_index",
+    items: str = "items",
+) -> DataFrame:
+    """``headers`` (one row per group) with their ``rows`` packed beside them, as ``pack`` does.
+
+    Headers and rows meet in the one shuffle that packs, so the arrays are not shuffled again for a join. A
+    header without rows keeps an empty array; rows without a header are dropped. The headers of hot groups
+    travel with the hot list, so that every piece of the group gets its header.
+    """
+    keys = list(keys)
+    head_columns = [c for c in headers.columns if c not in keys]
+    head = F.struct(*head_columns)
+    entry = F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])
+    hot = hot_groups(rows, keys, hot_rows).join(headers.select(*keys, head.alias("_hot_head")), keys, "left")
+    both = headers.select(*keys, head.alias("_head")).unionByName(
+        rows.select(*keys, entry.alias("_item"), split.cast("bigint").alias("_at")), allowMissingColumns=True
+    )
+    return (
+        cut_hot_groups(both, hot, keys, F.col("_at"), F.lit(0).cast("bigint"))
+        .filter(F.col("group_rows").isNull() | F.col("_item").isNotNull())
+        .groupBy(*keys, F.col(_PIECE).alias(chunk))
+        .agg(
+            F.max(F.coalesce("_hot_head", "_head")).alias("_head"),
+            F.array_sort(F.collect_list("_item")).alias(items),
+        )
+        .filter(F.col("_head").isNotNull())
+        .select(*keys, "_head.*", chunk, items)
+    )

@@ -80,14 +80,34 @@ def pack_spectra(
     """
     split = chunk_split(hot_rows) if split is None else split
     packed = grouping.pack(peaks, keys, order, ("mz", "intensity"), split, hot_rows)
-    arrays = packed.select(
-        *keys,
-        "chunk_index",
-        F.lit(SPECTRUM).alias("data_type"),
-        F.transform("items", lambda p: p["mz"].cast(mz_type)).alias("mz_array"),
-        F.transform("items", lambda p: p["intensity"].cast("float")).alias("intensity_array"),
+    return _arrays(packed, mz_type)
+
+
+def assemble_spectra(
+    headers: DataFrame,
+    peaks: DataFrame,
+    key: str,
+    order: tuple,
+    split: Column,
+    hot_rows: int = grouping.HOT_ROWS,
+    mz_type: str = "double",
+) -> DataFrame:
+    """Wide spectrum rows from a header table and a peak table that share ``key``.
+
+    A spectrum without peaks keeps its row, with empty arrays.
+    """
+    packed = grouping.pack_under(headers, peaks, (key,), order, ("mz", "intensity"), split, hot_rows)
+    return _arrays(packed, mz_type)
+
+
+def _arrays(packed: DataFrame, mz_type: str) -> DataFrame:
+    return with_mz_range(
+        packed.withColumns({
+            "data_type": F.lit(SPECTRUM),
+            "mz_array": F.transform("items", lambda p: p["mz"].cast(mz_type)),
+            "intensity_array": F.transform("items", lambda p: p["intensity"].cast("float")),
+        }).drop("items")
     )
-    return with_mz_range(arrays)
 
 
 def with_mz_range(wide: DataFrame) -> DataFrame:
@@ -117,19 +137,6 @@ def pack_chromatograms(
     )
 
 
-def keep_empty(headers: DataFrame, packed: DataFrame, keys: tuple = SPECTRUM_KEYS) -> DataFrame:
-    """Give every header its wide row, with empty arrays where it has no peaks."""
-    on = [k for k in keys if k in ("run_id", "id")]
-    body = packed.drop(*[k for k in keys if k not in on])
-    return headers.select(*keys).join(body, on, "left").withColumns({
-        "chunk_index": F.coalesce("chunk_index", F.lit(0).cast("bigint")),
-        "data_type": F.lit(SPECTRUM),
-        "mz_array": F.coalesce("mz_array", F.array().cast("array<double>")),
-        "intensity_array": F.coalesce("intensity_array", F.array().cast("array<float>")),
-        "n_peaks": F.coalesce("n_peaks", F.lit(0)),
-    })
-
-
 def distinct_ids(long: DataFrame) -> DataFrame:
     """The ids of the spectra in a long table."""
     return long.filter(F.col("data_type") == SPECTRUM).select("id").distinct()

@@ -351,9 +351,14 @@ def write_flat_json(flat: DataFrame, path: str) -> None:
     to_json_objects(flat).select("doc_id", F.col("json").alias("value")).write.partitionBy("doc_id").text(path)
 
 
-def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs that are not equally often in both sides; empty when both hold the same pairs. One shuffle."""
+def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every distinct pair of either side with how often ``left`` has it and by how much more than ``right``.
+
+    Both sides hold the same pairs when no ``surplus`` differs from 0. One shuffle, combined before it.
+    """
     signed = left.select("doc_id", "path", "value", F.lit(1).alias("_s")).unionByName(
         right.select("doc_id", "path", "value", F.lit(-1).alias("_s"))
     )
-    return signed.groupBy("doc_id", "path", "value").agg(F.sum("_s").alias("surplus")).filter(F.col("surplus") != 0)
+    return signed.groupBy("doc_id", "path", "value").agg(
+        F.count_if(F.col("_s") > 0).alias("n_left"), F.sum("_s").alias("surplus")
+    )

@@ -1,24 +1,34 @@
-"""Cutting lineage between stages."""
+"""Folders for intermediate results, and cutting lineage between stages."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's checkpoint folder, for plans that read it several times.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results: the session's ``spark.checkpoint.dir``, or the one set on the context.
 
-    The folder is the session's ``spark.checkpoint.dir`` (or the one already set on the context). Where neither
-    is set, a local session gets a temporary one; anywhere else that is an error, because a folder on one
-    machine does not survive the loss of an executor.
+    Where neither is set, a local session gets a temporary one; anywhere else that is an error, because a
+    folder on one machine does not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ionframe-checkpoint-")
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="ionframe-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, for plans that read it several times."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
