@@ -122,7 +122,7 @@ def names_root(segment: Column) -> Column:
 
 
 def is_good_root(segment: Column) -> Column:
-    return _is_name(segment) & ~segment.rlike(INDEXED)
+    return _is_name(segment) & ~(segment.endswith("]") & segment.rlike(INDEXED))
 
 
 def xml_escape_text(c: Column) -> Column:

@@ -19,14 +19,11 @@ MAX_HOT_KEYS = 100_000
 _PIECE, _N, _OFFSET = "_piece", "_n", "_offset"
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, **more: Column) -> DataFrame:
-    """The (at most ``MAX_HOT_KEYS``) largest groups with more than ``hot_rows`` rows, with their size.
-
-    ``more`` are further aggregates to compute per group, by name.
-    """
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The (at most ``MAX_HOT_KEYS``) largest groups with more than ``hot_rows`` rows, with their size."""
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("group_rows"), *[a.alias(n) for n, a in more.items()])
+        .agg(F.count(F.lit(1)).alias("group_rows"))
         .filter(F.col("group_rows") > hot_rows)
         .orderBy(F.col("group_rows").desc())
         .limit(MAX_HOT_KEYS)

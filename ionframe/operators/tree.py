@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ionframe import schemas
 from ionframe.functions import columns as C
 from ionframe.operators import grouping
+from ionframe.session import staged
 from ionframe.sources.xmltext import parse_batches
 
 # Fixed value: the namespace put on rebuilt documents unless another is asked for.
@@ -97,49 +98,63 @@ def to_json_objects(flat: DataFrame, hot_rows: int = grouping.HOT_ROWS) -> DataF
 # --- flat pairs back to XML -----------------------------------------------------------------------------
 
 # A document is rebuilt by sorting its pieces, not by building it bottom-up. The sort key of an element is the
-# concatenation of one step per level; the marks below order what comes inside an element.
+# concatenation of one step per level: a mark, the tag, a mark, the index as ten digits. The marks order what
+# comes inside an element and sort before every character of a tag.
 _IN_ATTRIBUTE, _IN_BODY, _IN_CHILD, _IN_END, _AFTER_NAME = "\x01", "\x02", "\x03", "\x04", "\x01"
 
+# The parts of a flat key that name elements. An index has at most nine digits after its zeros.
+_ROOT = r"^[^:]+"
+_ELEMENT = r":(?!#text\[)[^:@][^:]*\[0*[0-9]{1,9}\]"
+
 
 def parse_keys(flat: DataFrame) -> DataFrame:
     """Add to each pair what its key says.
 
-    ``kind`` and ``name`` are what the last segment denotes and says; ``steps`` are the element segments up to
-    the first malformed one, as ``(tag, idx)`` (the root's ``idx`` is null); ``malformed`` marks keys that
-    cannot be placed whole.
+    ``kind`` is what the last segment denotes, ``name`` the attribute's name; ``key`` is the sort key of the
+    last element that the key names before a malformed segment, if any; ``malformed`` marks keys that cannot
+    be placed whole. Everything is a string function over the whole key, so it stays in generated code.
     """
-    segments = C.segments(F.col("path"))
-    classified = F.transform(
-        segments,
-        lambda s, i: F.struct(
-            C.segment_kind(s, i == 0, i == F.size(segments) - 1).alias("kind"),
-            F.when(i == 0, s).otherwise(C.segment_tag(s)).alias("tag"),
-            F.when(i > 0, C.segment_index(s)).alias("idx"),
-        ),
-    )
-    keyed = flat.withColumn("_segments", classified)
-    last = F.element_at("_segments", -1)
-    size = F.size("_segments")
-    elements = F.slice("_segments", 1, size - F.when(last["kind"].isin("attribute", "text"), 1).otherwise(0))
-    unfit = F.filter(
-        F.transform(elements, lambda s, i: F.when(s["kind"] != F.when(i == 0, "root").otherwise("element"), i)),
-        lambda i: i.isNotNull(),
+    path = F.col("path")
+    first = F.substring_index(path, C.SEPARATOR, 1)
+    named = F.regexp_extract(path, f"{_ROOT}(?:{_ELEMENT})*(?=:|$)", 0)
+    roots = flat.withColumns({"_first": first, "_named": named})
+    # A bad root is kept alone, so that the document is seen to have it.
+    good = C.is_good_root(F.col("_first"))
+    elements = F.when(good, F.col("_named")).when(C.names_root(F.col("_first")), F.col("_first"))
+    placed = roots.withColumns({"_good": good, "_elements": elements})
+    rest = F.substring(path, F.length("_elements") + 1, F.length(path))
+    # 'root:a[7]' -> mark root mark 0000000000 mark a mark 0000000007: pad first, then keep the last ten digits.
+    below = F.substring(F.col("_elements"), F.length("_first") + 1, F.length(path))
+    padded = F.regexp_replace(below, r":([^:]*)\[([0-9]+)\]", f"{_IN_CHILD}$1{_AFTER_NAME}0000000000$2")
+    steps = F.regexp_replace(padded, f"{_AFTER_NAME}[0-9]*([0-9]{{10}})(?={_IN_CHILD}|$)", f"{_AFTER_NAME}$1")
+    key = F.concat(F.lit(_IN_CHILD), "_first", F.lit(_AFTER_NAME + "0000000000"), steps)
+    split = placed.withColumns({"_rest": rest, "key": F.when(F.col("_elements") != "", key)})
+    is_last = F.length("_rest") - F.length(F.replace("_rest", F.lit(C.SEPARATOR), F.lit(""))) == 1
+    kind = (
+        F.when(~F.col("_good") | F.col("_elements").isNull(), "malformed")
+        .when(F.col("_rest") == "", "element")
+        .when(is_last & F.col("_rest").startswith(C.SEPARATOR + C.ATTRIBUTE), "attribute")
+        .when(F.col("_rest") == C.SEPARATOR + C.TEXT, "text")
+        .otherwise("malformed")
     )
-    keyed = keyed.withColumns({"kind": last["kind"], "name": F.element_at(segments, -1), "_elements": elements})
-    keyed = keyed.withColumns({"_unfit": F.get(unfit, F.lit(0)), "_root": F.get("_elements", F.lit(0))["tag"]})
-    # A bad root is kept as a lone step, so that the document is seen to have it.
-    ok = F.when(F.col("_unfit") == 0, C.names_root(F.col("_root")).cast("int")).otherwise(
-        F.coalesce("_unfit", F.size("_elements"))
+    return split.withColumn("kind", kind).select(
+        *flat.columns,
+        "kind",
+        F.when(F.col("kind") == "attribute", F.substring("_rest", 3, F.length("_rest"))).alias("name"),
+        "key",
+        (F.col("kind") == "malformed").alias("malformed"),
     )
-    return keyed.withColumns({
-        "malformed": F.col("_unfit").isNotNull() | (F.size("_elements") == 0),
-        "steps": F.transform(F.slice("_elements", 1, ok), lambda s: F.struct(s["tag"], s["idx"])),
-    }).drop("_segments", "_elements", "_unfit", "_root")
 
 
 def malformed_keys(flat: DataFrame) -> DataFrame:
     """Pairs whose key cannot be placed in a tree."""
-    return parse_keys(flat).filter("malformed").select("doc_id", "path", "value")
+    return _only(parse_keys(flat), F.col("malformed"), "doc_id", "path", "value")
+
+
+def _only(df: DataFrame, condition: Column, *columns) -> DataFrame:
+    """``filter`` and ``select`` as one generator. A plain filter on columns computed from the key would be moved
+    below their computation and so compute them once more per mention."""
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
 
 
 def root_check(flat: DataFrame) -> DataFrame:
@@ -167,38 +182,50 @@ def _root_status(low: Column, high: Column) -> Column:
     )
 
 
-def _step_key(step: Column) -> Column:
-    """Sort key of one level: tag first, then the index as a number (fixed width)."""
-    index = F.lpad(F.coalesce(step["idx"], F.lit(0)).cast("string"), 10, "0")
-    return F.concat(F.lit(_IN_CHILD), step["tag"], F.lit(_AFTER_NAME), index)
+def _level(key: Column) -> Column:
+    return F.length(key) - F.length(F.replace(key, F.lit(_IN_CHILD), F.lit("")))
+
+
+def _step_key(tag: Column, index: Column) -> Column:
+    return F.concat(F.lit(_IN_CHILD), tag, F.lit(_AFTER_NAME), F.lpad(index.cast("string"), 10, "0"))
 
 
 def elements(keyed: DataFrame) -> DataFrame:
     """Every element the keys name or imply, once: its sort ``key``, ``parent`` key, ``tag``, ``idx``, and
     whether it has text or children. Keys are combined before the shuffle, so a root named by every key of a
     large document costs one row per task."""
-    step_keys = keyed.withColumn("_keys", F.transform("steps", _step_key))
-    levels = F.transform(
-        "steps",
-        lambda s, i: F.struct(
-            F.array_join(F.slice("_keys", 1, i + 1), "").alias("key"),
-            F.array_join(F.slice("_keys", 1, i), "").alias("parent"),
-            s["tag"].alias("tag"),
-            F.coalesce(s["idx"], F.lit(0)).alias("idx"),
-            (i + 1 < F.size("steps")).alias("has_child"),
-            (
-                (i + 1 == F.size("steps"))
-                & ~F.col("malformed")
-                & (F.col("kind") == "text")
-                & (F.length("value") > 0)
-            ).alias("has_text"),
-        ),
+    depth = _level(F.col("key"))
+    has_text = (F.col("kind") == "text") & (F.length("value") > 0)
+    # A null key gives a null sequence, and that no rows.
+    levels = keyed.select(
+        "doc_id", "key", has_text.alias("_text"), depth.alias("_depth"), F.explode(F.sequence(F.lit(1), depth)).alias("_at")
     )
-    return (
-        step_keys.select("doc_id", F.inline(levels))
-        .groupBy("doc_id", "key", "parent", "tag", "idx")
-        .agg(F.max("has_child").alias("has_child"), F.max("has_text").alias("has_text"))
+    at, own = F.col("_at"), F.col("_at") == F.col("_depth")
+    named = (
+        levels.select(
+            "doc_id",
+            F.when(own, F.col("key")).otherwise(_first_steps(F.col("key"), at)).alias("key"),
+            (~own).alias("_child"),
+            (own & F.col("_text")).alias("_text"),
+        )
+        .groupBy("doc_id", "key")
+        .agg(F.max("_child").alias("has_child"), F.max("_text").alias("has_text"))
     )
+    step = F.substring_index("key", _IN_CHILD, -1)
+    return named.select(
+        "doc_id",
+        "key",
+        F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(step) - 1).alias("parent"),
+        F.substring(step, F.lit(1), F.length(step) - 11).alias("tag"),
+        F.right(step, F.lit(10)).cast("int").alias("idx"),
+        "has_child",
+        "has_text",
+    )
+
+
+def _first_steps(key: Column, n: Column) -> Column:
+    """The first ``n`` steps of a sort key."""
+    return F.call_function("substring_index", key, F.lit(_IN_CHILD), n + 1)
 
 
 def fill_gaps(named: DataFrame) -> DataFrame:
@@ -220,10 +247,9 @@ def fill_gaps(named: DataFrame) -> DataFrame:
         F.explode(F.sequence(low, F.least(low + _GAP_STEP - 1, F.col("_max"))).cast("array<int>")).alias("idx"),
     )
     missing = every.join(named.select("doc_id", "parent", "tag", "idx"), ["doc_id", "parent", "tag", "idx"], "left_anti")
-    step = F.struct(F.col("tag"), F.col("idx"))
     return missing.select(
         "doc_id",
-        F.concat("parent", _step_key(step)).alias("key"),
+        F.concat("parent", _step_key(F.col("tag"), F.col("idx"))).alias("key"),
         "parent",
         "tag",
         "idx",
@@ -237,12 +263,19 @@ def fragments(flat: DataFrame, namespace: str | None = DEFAULT_NAMESPACE) -> Dat
     document. ``root`` is set on the pieces that open a root.
 
     Children come in tag order and then index order, attributes in name order. ``flat`` is read more than
-    once; give it as a table.
+    once; give it as a table. The elements are kept in the checkpoint folder, for they are read again too.
     """
     keyed = parse_keys(flat)
-    named = elements(keyed)
-    everything = named.unionByName(fill_gaps(named))
+    return _pieces(keyed, all_elements(keyed), namespace)
+
+
+def all_elements(keyed: DataFrame) -> DataFrame:
+    """Elements named by the keys, and those that fill gaps; computed once."""
+    named = staged(elements(keyed))
+    return named.unionByName(fill_gaps(named))
 
+
+def _pieces(keyed: DataFrame, everything: DataFrame, namespace: str | None) -> DataFrame:
     at_root = F.col("parent") == ""
     declared = f' xmlns="{namespace}"' if namespace else ""
     has_body = F.col("has_child") | F.col("has_text")
@@ -263,17 +296,15 @@ def fragments(flat: DataFrame, namespace: str | None = DEFAULT_NAMESPACE) -> Dat
     pieces = F.when(F.col("has_child") & ~F.col("has_text"), F.array(start, body, end)).otherwise(F.array(start, end))
     tags = everything.select("doc_id", F.inline(pieces))
 
-    owner = F.array_join(F.transform("steps", _step_key), "")
-    name = F.substring(F.col("name"), F.lit(len(C.ATTRIBUTE) + 1), F.length("name"))
-    attribute = F.concat(F.lit(" "), name, F.lit('="'), C.xml_escape_attribute(F.col("value")), F.lit('"'))
-    text = F.concat(F.lit(">"), C.xml_escape_text(F.col("value")))
     is_text = F.col("kind") == "text"
-    content = keyed.filter(
-        ~F.col("malformed") & ((F.col("kind") == "attribute") | (is_text & (F.length("value") > 0)))
-    ).select(
+    attribute = F.concat(F.lit(" "), F.col("name"), F.lit('="'), C.xml_escape_attribute(F.col("value")), F.lit('"'))
+    text = F.concat(F.lit(">"), C.xml_escape_text(F.col("value")))
+    content = _only(
+        keyed,
+        (F.col("kind") == "attribute") | (is_text & (F.length("value") > 0)),
         "doc_id",
-        F.when(is_text, F.concat(owner, F.lit(_IN_BODY)))
-        .otherwise(F.concat(owner, F.lit(_IN_ATTRIBUTE), name))
+        F.when(is_text, F.concat("key", F.lit(_IN_BODY)))
+        .otherwise(F.concat("key", F.lit(_IN_ATTRIBUTE), "name"))
         .alias("key"),
         F.when(is_text, text).otherwise(attribute).alias("xml"),
         F.lit(None).cast("string").alias("root"),
@@ -296,12 +327,19 @@ def rebuild(
 ) -> DataFrame:
     """Rebuilt documents as ``(doc_id, part, xml)``, without the XML declaration.
 
-    A document is one row with ``part`` ''. One of more than ``fragments_per_row`` pieces continues over
+    A document is one row with ``part`` ''. One with more than ``fragments_per_row`` elements and pairs continues over
     several rows; in ``part`` order, concatenated, they are the document. Documents whose keys do not agree
     on one good root are left out; ``root_check`` names them.
     """
-    pieces = fragments(flat, namespace)
-    hot = grouping.hot_groups(pieces, ["doc_id"], fragments_per_row, _lo=F.min("root"), _hi=F.max("root"))
+    keyed = parse_keys(flat)
+    everything = all_elements(keyed)
+    pieces = _pieces(keyed, everything, namespace)
+    # An element gives two or three pieces and a pair at most one, so this counts them to within a factor.
+    counted = flat.select("doc_id").unionByName(everything.select("doc_id"))
+    roots = everything.filter(F.col("parent") == "").groupBy("doc_id").agg(
+        F.min("tag").alias("_lo"), F.max("tag").alias("_hi")
+    )
+    hot = grouping.hot_groups(counted, ["doc_id"], fragments_per_row).join(roots, "doc_id", "left")
     cut = grouping.cut_hot_groups(pieces, hot, ["doc_id"], _cut(cut_level), F.lit(""))
     # A whole document sees its roots among its own pieces; a cut one takes them from the hot list.
     return (

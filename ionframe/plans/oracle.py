@@ -86,7 +86,7 @@ keys AS (
 
 SEGMENTS = KEYS + """,
 segments AS (
-  SELECT 0 AS at, root AS segment FROM keys
+  SELECT 0 AS "at", root AS segment FROM keys
   UNION ALL SELECT 1, middle FROM keys
   UNION ALL SELECT 2, last FROM keys)"""
 
@@ -258,7 +258,7 @@ SELECT segment, count(*) AS n, regexp_extract(segment, '^(.*)\\[(\\d+)\\]$', 1)
 FROM segments GROUP BY segment""",
     "key_classify": f"""
 WITH {SEGMENTS}
-SELECT CAST(at AS INTEGER) AS at, CASE WHEN at = 0 THEN 'root' WHEN segment LIKE '@%' THEN 'attribute'
+SELECT CAST("at" AS INTEGER) AS "at", CASE WHEN "at" = 0 THEN 'root' WHEN segment LIKE '@%' THEN 'attribute'
        WHEN segment = '#text' THEN 'text' WHEN segment LIKE '%]' THEN 'element' ELSE 'malformed' END AS kind,
        count(*) AS n
 FROM segments GROUP BY ALL""",
