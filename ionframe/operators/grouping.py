@@ -9,6 +9,8 @@ ordinary whole group.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
-_PIECE, _N, _OFFSET = "_piece", "_n", "_offset"
+_PIECE, _KEY, _N, _OFFSET = "_piece", "_key", "_n", "_offset"
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -31,9 +33,14 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
 
 
 def cut_hot_groups(df: DataFrame, hot: DataFrame, keys: Sequence[str], split: Column, whole: Column) -> DataFrame:
-    """Add the columns of ``hot`` and ``_piece``: ``split`` in hot groups, ``whole`` in others. No shuffle."""
-    piece = F.when(F.col("group_rows").isNotNull(), split).otherwise(whole)
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn(_PIECE, piece)
+    """Add the columns of ``hot`` and ``_piece``: ``split`` in hot groups, ``whole`` in others. No shuffle.
+
+    Null is a key like any other: a group of rows without a key can be hot too.
+    """
+    renamed = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    joined = df.join(F.broadcast(renamed), same, "left").drop(*[f"_hot_{k}" for k in keys])
+    return joined.withColumn(_PIECE, F.when(F.col("group_rows").isNotNull(), split).otherwise(whole))
 
 
 def _numeric_cut(df: DataFrame, keys: Sequence[str], split: Column, hot_rows: int) -> DataFrame:
@@ -58,19 +65,20 @@ def ordinal(
     satisfy the window and keep a hot group in one task.
     """
     keys = list(keys)
-    cut = _numeric_cut(df, keys, split, hot_rows)
-    in_piece = Window.partitionBy(*keys, _PIECE).orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    # One struct for all keys: unlike a bare column it joins null to null, without another shuffle.
+    cut = _numeric_cut(df, keys, split, hot_rows).withColumn(_KEY, F.struct(*keys))
+    in_piece = Window.partitionBy(_KEY, _PIECE).orderBy(*order)
+    before = Window.partitionBy(_KEY).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.filter(F.col("group_rows").isNotNull())
-        .groupBy(*keys, _PIECE)
+        .groupBy(_KEY, _PIECE)
         .agg(F.count(F.lit(1)).alias(_N))
-        .select(*keys, _PIECE, F.sum(_N).over(before).alias(_OFFSET))
+        .select(_KEY, _PIECE, F.sum(_N).over(before).alias(_OFFSET))
     )
-    numbered = cut.repartition(*keys, _PIECE).withColumn(_N, F.row_number().over(in_piece) - 1)
+    numbered = cut.repartition(_KEY, _PIECE).withColumn(_N, F.row_number().over(in_piece) - 1)
     position = F.col(_N) + F.coalesce(F.col(_OFFSET), F.lit(0))
     return (
-        numbered.join(offsets, [*keys, _PIECE], "left")
+        numbered.join(offsets, [_KEY, _PIECE], "left")
         .withColumn(out, position.cast("bigint"))
         .select(*df.columns, out)
     )
@@ -122,6 +130,7 @@ def pack_under(
     travel with the hot list, so that every piece of the group gets its header.
     """
     keys = list(keys)
+    rows = rows.dropna(subset=keys)
     head_columns = [c for c in headers.columns if c not in keys]
     head = F.struct(*head_columns)
     entry = F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])

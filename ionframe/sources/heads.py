@@ -2,27 +2,31 @@
 
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
 
-_RUN_TAG = re.compile(rb"<run\b[^>]*>")
+_HEAD_END = re.compile(rb"<run\b[^>]*/>|<spectrumList\b|<chromatogramList\b|</run\s*>")
 _ENCODING = re.compile(rb"<\?xml[^>]*encoding=[\"']([^\"']+)")
 
 
 def head_of_file(path: str) -> str | None:
-    """The text of one file up to its ``<run ...>`` tag, closed so that it is well-formed; null without one."""
-    filesystem, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    """The text of one file before its spectra and chromatograms, closed so that it is well-formed; null
+    where that does not come."""
+    uri = quote(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)), safe="/:@")
+    filesystem, inner = fs.FileSystem.from_uri(uri)
     data = b""
     with filesystem.open_input_stream(inner) as stream:
         while block := stream.read(1 << 16):
             data += block
-            if run := _RUN_TAG.search(data):
+            if end := _HEAD_END.search(data):
+                empty_run = end.group().endswith(b"/>")
                 encoding = _ENCODING.match(data)
-                text = data[: run.end()].decode(encoding.group(1).decode() if encoding else "utf-8")
+                head = data[: end.end() if empty_run else end.start()]
+                text = head.decode(encoding.group(1).decode() if encoding else "utf-8")
                 start = re.search(r"<mzML\b", text)
-                end = "</mzML>" if text.endswith("/>") else "</run></mzML>"
-                return text[start.start() :] + end if start else None
+                return text[start.start() :] + ("</mzML>" if empty_run else "</run></mzML>") if start else None
     return None
 
 
