@@ -12,7 +12,8 @@ PEAKS = SPECTRA + """,
 peaks AS (
   SELECT s.*, CAST(l_extendedprice AS FLOAT) AS mz, CAST(l_quantity AS FLOAT) AS intensity,
          l_extendedprice AS mz64, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS peak_index
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+                            CAST(l_quantity AS FLOAT)) - 1 AS peak_index
   FROM spectra s JOIN lineitem ON l_orderkey = scan_index)"""
 
 POINTS = """
@@ -58,9 +59,10 @@ items AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_returnflag AS tag, l_linenumber AS line, l_partkey AS part,
          l_suppkey AS supp, l_linestatus AS status,
          CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' < & ' || l_linenumber AS body,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos,
-         row_number() OVER (PARTITION BY l_orderkey, l_returnflag
-                            ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS idx
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                            CAST(l_quantity AS INTEGER), l_returnflag, l_linestatus) AS pos,
+         row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey,
+                            CAST(l_quantity AS INTEGER), l_linestatus) - 1 AS idx
   FROM lineitem),
 docs AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderpriority AS prio, o_orderstatus AS status FROM orders)"""
