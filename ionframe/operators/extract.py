@@ -49,26 +49,32 @@ def fetch_sampled(df: DataFrame, ids: DataFrame, n: int, rank: Column | None = N
     return fetch_by_ids(df, sample)
 
 
-def in_box(mz: float, mz_tol: float, rt: float, rt_tol: float, ms_level: int) -> Column:
+def at_level(ms_level: int | Sequence[int]) -> Column:
+    """MS level equal to one level, or one of several. Rows without a level never match."""
+    levels = [ms_level] if isinstance(ms_level, int) else list(ms_level)
+    return F.col("ms_level").isin([F.lit(k).cast("byte") for k in levels])
+
+
+def in_box(mz: float, mz_tol: float, rt: float, rt_tol: float, ms_level: int | Sequence[int]) -> Column:
     """The predicate of one extraction box over the long layout. Every conjunct reaches the Parquet scan."""
     return (
         (F.col("data_type") == SPECTRUM)
-        & (F.col("ms_level") == F.lit(ms_level).cast("byte"))
+        & at_level(ms_level)
         & C.around(F.col("rt"), rt, rt_tol)
         & C.around(F.col("mz"), mz, mz_tol)
     )
 
 
-def extract_box(long: DataFrame, mz: float, mz_tol: float, rt: float, rt_tol: float, ms_level: int) -> DataFrame:
+def extract_box(
+    long: DataFrame, mz: float, mz_tol: float, rt: float, rt_tol: float, ms_level: int | Sequence[int]
+) -> DataFrame:
     return long.filter(in_box(mz, mz_tol, rt, rt_tol, ms_level))
 
 
 def spectra_with_mz(wide: DataFrame, mz: float, mz_tol: float, rt: float, rt_tol: float, ms_level: int) -> DataFrame:
     """Wide rows in the RT window and level that have a peak in the m/z window."""
     lo, hi = mz - mz_tol, mz + mz_tol
-    rows = wide.filter(
-        (F.col("ms_level") == F.lit(ms_level).cast("byte")) & C.around(F.col("rt"), rt, rt_tol)
-    )
+    rows = wide.filter(at_level(ms_level) & C.around(F.col("rt"), rt, rt_tol))
     return _may_hold(rows, lo, hi).filter(C.any_within(F.col("mz_array"), lo, hi, _element_type(wide)))
 
 
@@ -76,9 +82,7 @@ def extract_box_wide(wide: DataFrame, mz: float, mz_tol: float, rt: float, rt_to
     """Peaks of one box from the wide layout, with their intensities."""
     lo, hi = mz - mz_tol, mz + mz_tol
     dtype = _element_type(wide)
-    rows = wide.filter(
-        (F.col("ms_level") == F.lit(ms_level).cast("byte")) & C.around(F.col("rt"), rt, rt_tol)
-    )
+    rows = wide.filter(at_level(ms_level) & C.around(F.col("rt"), rt, rt_tol))
     pairs = C.zip_shortest(F.col("mz_array"), F.col("intensity_array"), "mz", "intensity")
     hits = F.filter(pairs, lambda p: C.within(p["mz"], lo, hi, dtype))
     keep = [c for c in wide.columns if c not in ("mz_array", "intensity_array", "n_peaks", "mz_min", "mz_max")]

@@ -21,11 +21,17 @@ MAX_HOT_KEYS = 100_000
 _PIECE, _KEY, _N, _OFFSET = "_piece", "_key", "_n", "_offset"
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The (at most ``MAX_HOT_KEYS``) largest groups with more than ``hot_rows`` rows, with their size."""
+def hot_groups(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, weight: Column | None = None
+) -> DataFrame:
+    """The (at most ``MAX_HOT_KEYS``) largest groups with more than ``hot_rows`` rows, with their size.
+
+    A row counts once, or ``weight`` times.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("group_rows"))
+        .agg(size.alias("group_rows"))
         .filter(F.col("group_rows") > hot_rows)
         .orderBy(F.col("group_rows").desc())
         .limit(MAX_HOT_KEYS)
@@ -130,7 +136,7 @@ def pack_under(
     travel with the hot list, so that every piece of the group gets its header.
     """
     keys = list(keys)
-    rows = rows.dropna(subset=keys)
+    rows = rows.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     head_columns = [c for c in headers.columns if c not in keys]
     head = F.struct(*head_columns)
     entry = F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])

@@ -104,8 +104,8 @@ def _arrays(packed: DataFrame, mz_type: str) -> DataFrame:
     return with_mz_range(
         packed.withColumns({
             "data_type": F.lit(SPECTRUM),
-            "mz_array": F.transform("items", lambda p: p["mz"].cast(mz_type)),
-            "intensity_array": F.transform("items", lambda p: p["intensity"].cast("float")),
+            "mz_array": F.col("items.mz").cast(f"array<{mz_type}>"),
+            "intensity_array": F.col("items.intensity").cast("array<float>"),
         }).drop("items")
     )
 
@@ -132,8 +132,8 @@ def pack_chromatograms(
         *keys,
         "chunk_index",
         F.lit(CHROMATOGRAM).alias("data_type"),
-        F.transform("items", lambda p: p["time"].cast("double")).alias("time_array"),
-        F.transform("items", lambda p: p["intensity"].cast("float")).alias("intensity_array"),
+        F.col("items.time").cast("array<double>").alias("time_array"),
+        F.col("items.intensity").cast("array<float>").alias("intensity_array"),
     )
 
 

@@ -228,16 +228,19 @@ def _first_steps(key: Column, n: Column) -> Column:
     return F.call_function("substring_index", key, F.lit(_IN_CHILD), n + 1)
 
 
+def _sibling_groups(named: DataFrame) -> DataFrame:
+    """Per parent and tag, the largest index and the number of elements there are."""
+    return named.groupBy("doc_id", "parent", "tag").agg(
+        F.max("idx").cast("bigint").alias("_max"), F.count(F.lit(1)).alias("_count")
+    )
+
+
 def fill_gaps(named: DataFrame) -> DataFrame:
     """The empty elements that missing indexes stand for: below the largest index of a tag, none may be absent.
 
     Only groups with a hole are expanded, in steps, so a huge index never becomes one huge array.
     """
-    holed = (
-        named.groupBy("doc_id", "parent", "tag")
-        .agg(F.max("idx").alias("_max"), F.count(F.lit(1)).alias("_count"))
-        .filter(F.col("_max") + 1 > F.col("_count"))
-    )
+    holed = _sibling_groups(named).filter(F.col("_max") + 1 > F.col("_count"))
     blocks = holed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor(F.col("_max") / _GAP_STEP))))
     low = F.col("_block") * _GAP_STEP
     every = blocks.select(
@@ -266,16 +269,11 @@ def fragments(flat: DataFrame, namespace: str | None = DEFAULT_NAMESPACE) -> Dat
     once; give it as a table. The elements are kept in the checkpoint folder, for they are read again too.
     """
     keyed = parse_keys(flat)
-    return _pieces(keyed, all_elements(keyed), namespace)
+    return _pieces(keyed, staged(elements(keyed)), namespace)
 
 
-def all_elements(keyed: DataFrame) -> DataFrame:
-    """Elements named by the keys, and those that fill gaps; computed once."""
-    named = staged(elements(keyed))
-    return named.unionByName(fill_gaps(named))
-
-
-def _pieces(keyed: DataFrame, everything: DataFrame, namespace: str | None) -> DataFrame:
+def _pieces(keyed: DataFrame, named: DataFrame, namespace: str | None) -> DataFrame:
+    everything = named.unionByName(fill_gaps(named))
     at_root = F.col("parent") == ""
     declared = f' xmlns="{namespace}"' if namespace else ""
     has_body = F.col("has_child") | F.col("has_text")
@@ -332,14 +330,16 @@ def rebuild(
     on one good root are left out; ``root_check`` names them.
     """
     keyed = parse_keys(flat)
-    everything = all_elements(keyed)
-    pieces = _pieces(keyed, everything, namespace)
-    # An element gives two or three pieces and a pair at most one, so this counts them to within a factor.
-    counted = flat.select("doc_id").unionByName(everything.select("doc_id"))
-    roots = everything.filter(F.col("parent") == "").groupBy("doc_id").agg(
+    named = staged(elements(keyed))
+    pieces = _pieces(keyed, named, namespace)
+    # Pairs and elements, those in gaps included: an element gives two or three pieces, a pair at most one.
+    counted = flat.select("doc_id", F.lit(1).cast("bigint").alias("_n")).unionByName(
+        _sibling_groups(named).select("doc_id", (F.col("_max") + 1).alias("_n"))
+    )
+    roots = named.filter(F.col("parent") == "").groupBy("doc_id").agg(
         F.min("tag").alias("_lo"), F.max("tag").alias("_hi")
     )
-    hot = grouping.hot_groups(counted, ["doc_id"], fragments_per_row).join(roots, "doc_id", "left")
+    hot = grouping.hot_groups(counted, ["doc_id"], fragments_per_row, F.col("_n")).join(roots, "doc_id", "left")
     cut = grouping.cut_hot_groups(pieces, hot, ["doc_id"], _cut(cut_level), F.lit(""))
     # A whole document sees its roots among its own pieces; a cut one takes them from the hot list.
     return (
@@ -350,7 +350,7 @@ def rebuild(
             F.max(F.coalesce("_hi", "root")).alias("_hi"),
         )
         .filter(_root_status(F.col("_lo"), F.col("_hi")) == "ok")
-        .select("doc_id", "part", F.array_join(F.transform("items", lambda p: p["xml"]), "").alias("xml"))
+        .select("doc_id", "part", F.array_join("items.xml", "").alias("xml"))
     )
 
 

@@ -22,7 +22,7 @@ def spectra(
     spark: SparkSession,
     sf_dir: str,
     rt: tuple[float, float] | None = None,
-    ms_level: int | None = None,
+    ms_levels: tuple[int, ...] = (1, 2, 3),
     extra: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Spectrum headers: ``run_id, scan_index, id, ms_level, rt, ion_mobility``, and ``extra`` columns of orders."""
@@ -32,8 +32,8 @@ def spectra(
         stored = orders.schema["o_orderdate"].dataType
         day = lambda d: F.date_add(F.lit(DAY_ZERO).cast("date"), int(d)).cast(stored)
         orders = orders.filter(F.col("o_orderdate").between(day(rt[0] - 1), day(rt[1] + 2)))
-    if ms_level:
-        orders = orders.filter(F.col("o_orderstatus") == "FOP"[ms_level - 1])
+    if len(ms_levels) < 3:
+        orders = orders.filter(F.col("o_orderstatus").isin(["FOP"[k - 1] for k in ms_levels]))
     status = F.col("o_orderstatus")
     return orders.select(
         F.concat(F.lit("run="), F.col("o_custkey")).alias("run_id"),
@@ -75,10 +75,10 @@ def spectrum_peaks(
     sf_dir: str,
     mz: tuple[float, float] | None = None,
     rt: tuple[float, float] | None = None,
-    ms_level: int | None = None,
+    ms_levels: tuple[int, ...] = (1, 2, 3),
 ) -> DataFrame:
     """Spectrum rows of the long layout (float32 measures), in no particular order within a spectrum."""
-    rows = spectra(spark, sf_dir, rt, ms_level).join(peaks(spark, sf_dir, mz), "scan_index")
+    rows = spectra(spark, sf_dir, rt, ms_levels).join(peaks(spark, sf_dir, mz), "scan_index")
     return rows.select(
         "run_id",
         "id",
@@ -139,30 +139,32 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     The child order mixes the tags, peaks carry text with characters to escape, and a spectrum cut into
     several wide rows becomes several documents.
     """
+    qty, flag = F.col("l_quantity").cast("int"), F.col("l_returnflag")
+    child = F.concat(
+        F.lit("<"), flag, F.lit(' supp="'), "l_suppkey", F.lit('" part="'), "l_partkey", F.lit('"> '),
+        F.when(F.col("l_linestatus") == "O", F.concat(qty, F.lit(" &lt; &amp; "), "l_linenumber")).otherwise(F.lit("")),
+        F.lit(" </"), flag, F.lit(">"),
+    )
     items = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("scan_index"),
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supp"),
-        F.col("l_quantity").cast("int").alias("qty"),
-        F.col("l_returnflag").alias("flag"),
+        qty.alias("qty"),
+        flag.alias("flag"),
         F.col("l_linestatus").alias("status"),
+        child.alias("child"),
     )
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("scan_index"), "o_orderpriority", "o_orderstatus"
     )
     packed = grouping.pack_under(
-        heads, items, ("scan_index",), PEAK_ORDER, ("qty", "flag", "status"), peak_split(), PEAKS_PER_DOCUMENT
-    )
-    child = lambda p: F.concat(
-        F.lit("<"), p["flag"], F.lit(' supp="'), p["supp"], F.lit('" part="'), p["part"], F.lit('"> '),
-        F.when(p["status"] == "O", F.concat(p["qty"], F.lit(" &lt; &amp; "), p["line"])).otherwise(F.lit("")),
-        F.lit(" </"), p["flag"], F.lit(">"),
+        heads, items, ("scan_index",), PEAK_ORDER, ("qty", "flag", "status", "child"), peak_split(), PEAKS_PER_DOCUMENT
     )
     xml = F.concat(
         F.lit('<run xmlns="urn:doc" status="'), F.col("o_orderstatus"), F.lit('" prio="'), F.col("o_orderpriority"),
         F.lit('">\n'), F.lit("<note>&quot;"), F.col("o_orderpriority"), F.lit("&quot;</note>"),
-        F.array_join(F.transform("items", child), "\n"), F.lit("</run>"),
+        F.array_join("items.child", "\n"), F.lit("</run>"),
     )
     return packed.select(
         F.concat_ws("/", "scan_index", F.nullif("chunk_index", F.lit(0))).alias("doc_id"), xml.alias("xml")

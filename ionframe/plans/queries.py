@@ -32,29 +32,21 @@ def _double(*names: str) -> list:
     return [F.col(n).cast("double").alias(n) for n in names]
 
 
-def _box_rows(spark: SparkSession, sf_dir: str, ms_level: int) -> DataFrame:
-    long = bridge.spectrum_peaks(
-        spark, sf_dir, mz=(MZ - MZ_TOL, MZ + MZ_TOL), rt=(RT - RT_TOL, RT + RT_TOL), ms_level=ms_level
-    )
-    return extract.extract_box(long, MZ, MZ_TOL, RT, RT_TOL, ms_level)
-
-
 # --- boxes ----------------------------------------------------------------------------------------------
 
 
 @query
 def extract_box(spark, sf_dir):
-    """Peaks of one box, for each MS level."""
-    hits = _box_rows(spark, sf_dir, 1)
-    for level in (2, 3):
-        hits = hits.unionByName(_box_rows(spark, sf_dir, level))
+    """Peaks of one m/z and RT box, on every MS level."""
+    long = bridge.spectrum_peaks(spark, sf_dir, mz=(MZ - MZ_TOL, MZ + MZ_TOL), rt=(RT - RT_TOL, RT + RT_TOL))
+    hits = extract.extract_box(long, MZ, MZ_TOL, RT, RT_TOL, (1, 2, 3))
     return hits.select("run_id", "id", "ms_level", *_double("rt", "mz", "intensity"))
 
 
 @query
 def extract_box_wide(spark, sf_dir):
     """The same box from the wide layout (m/z kept as float32, so that the edges agree)."""
-    wide = bridge.wide_spectra(spark, sf_dir, mz_type="float", rt=(RT - RT_TOL, RT + RT_TOL), ms_level=1)
+    wide = bridge.wide_spectra(spark, sf_dir, mz_type="float", rt=(RT - RT_TOL, RT + RT_TOL), ms_levels=(1,))
     hits = extract.extract_box_wide(wide, MZ, MZ_TOL, RT, RT_TOL, 1)
     return hits.select("run_id", "id", "ms_level", *_double("rt", "mz", "intensity"))
 
@@ -69,7 +61,7 @@ def wide_has_mz(spark, sf_dir):
 @query
 def wide_spectra_with_mz(spark, sf_dir):
     """Wide spectra of one level and RT window that have a peak in the m/z window."""
-    wide = bridge.wide_spectra(spark, sf_dir, rt=(RT - RT_TOL, RT + RT_TOL), ms_level=2)
+    wide = bridge.wide_spectra(spark, sf_dir, rt=(RT - RT_TOL, RT + RT_TOL), ms_levels=(2,))
     hits = extract.spectra_with_mz(wide, MZ, MZ_TOL, RT, RT_TOL, 2)
     return hits.select("id", "ms_level", "n_peaks", "mz_min", "mz_max")
 
