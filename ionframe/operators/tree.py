@@ -164,8 +164,10 @@ def root_check(flat: DataFrame) -> DataFrame:
     """
     first = F.get(C.segments(F.col("path")), F.lit(0))
     root = F.when(C.names_root(first), first)
-    # Two extremes are enough to see whether there is more than one root, whatever the number of keys.
-    per_doc = flat.groupBy("doc_id").agg(F.min(root).alias("_lo"), F.max(root).alias("_hi"))
+    # Distinct first: that is combined by hashing before its shuffle. Then the two extremes are enough to see
+    # whether there is more than one root.
+    distinct = flat.select("doc_id", root.alias("_root")).distinct()
+    per_doc = distinct.groupBy("doc_id").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"))
     return per_doc.select(
         "doc_id",
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("root"),

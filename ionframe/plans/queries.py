@@ -650,10 +650,13 @@ def run_metadata_doc(spark, sf_dir):
         F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("experiment_meta"),
     )
     events = bridge.table(spark, sf_dir, "events")
-    chromatograms = events.select(
-        F.concat(F.lit("run="), "user_id").alias("run_id"),
-        F.col("event_id").alias("chromatogram_index"),
-        F.struct(F.col("event_type").alias("native_id")).alias("record"),
+    chromatograms = metadata.with_parts(
+        events.select(
+            F.concat(F.lit("run="), "user_id").alias("run_id"),
+            F.col("event_id").alias("chromatogram_index"),
+            F.struct(F.col("event_type").alias("native_id")).alias("record"),
+        ),
+        "chromatogram_index",
     )
     documents = metadata.run_documents(runs, records, chromatograms)
     field = lambda path: F.get_json_object("document", path)
