@@ -108,6 +108,28 @@ def box_table(spark: SparkSession, boxes: Iterable[tuple]) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_BOX_LIMIT else df
 
 
+def random_boxes(
+    spark: SparkSession,
+    n: int,
+    ms_level: int,
+    mz: tuple[float, float] = (200.0, 2000.0),
+    rt: tuple[float, float] = (100.0, 1100.0),
+    mz_tol: float = 0.1,
+    rt_tol: float = 60.0,
+    seed: int = 42,
+) -> DataFrame:
+    """``n`` boxes with centres drawn uniformly, the same for the same seed (one partition makes them so)."""
+    uniform = lambda span, s: F.lit(span[0]) + F.rand(s) * F.lit(span[1] - span[0])
+    return spark.range(0, n, 1, 1).select(
+        F.col("id").alias("box_id"),
+        F.lit(ms_level).cast("byte").alias("ms_level"),
+        uniform(mz, seed).alias("mz"),
+        F.lit(mz_tol).alias("mz_tol"),
+        uniform(rt, seed + 1).alias("rt"),
+        F.lit(rt_tol).alias("rt_tol"),
+    )
+
+
 def extract_boxes(
     long: DataFrame, boxes: DataFrame, mz_cell: float | None = None, rt_cell: float | None = None
 ) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
-from ionframe.functions import codec
+from ionframe.functions import codec, vocab
 from ionframe.functions import columns as C
 from ionframe.operators import extract, layout, precursor
 from ionframe.sources import tables
@@ -96,6 +96,30 @@ def test_many_boxes_against_brute_force(spark, long, as_frame, cells):
     assert len(counts) == 60 and sum(counts.values()) == len(want) and 0 in counts.values()
 
 
+def test_random_boxes(spark, long):
+    drawn = extract.random_boxes(spark, 50, 2)
+    rows = drawn.collect()
+    assert rows == extract.random_boxes(spark, 50, 2).collect() != extract.random_boxes(spark, 50, 2, seed=7).collect()
+    assert drawn.schema.names == extract.BOXES.names and len({r.mz for r in rows}) == 50
+    assert all(200 <= r.mz <= 2000 and 100 <= r.rt <= 1100 and (r.mz_tol, r.rt_tol) == (0.1, 60.0) for r in rows)
+    wide_boxes = extract.random_boxes(spark, 20, 1, mz=(200, 900), rt=(0, 120), mz_tol=90.0)
+    per_box = extract.hits_per_box(extract.extract_boxes(long, wide_boxes), wide_boxes)
+    assert {r.box_id: r.n_hits for r in per_box.collect()} == {
+        b.box_id: extract.extract_box(long, b.mz, b.mz_tol, b.rt, b.rt_tol, 1).count() for b in wide_boxes.collect()
+    }
+
+
+def test_labels_belong_to_their_vocabulary():
+    for terms, labels in (
+        (vocab.POLARITY_TERMS, vocab.POLARITY), (vocab.INLET_TERMS, vocab.INLET_TYPE),
+        (vocab.IONIZATION_TERMS, vocab.IONIZATION_METHOD), (vocab.ANALYZER_TERMS, vocab.ANALYZER_TYPE),
+        (vocab.RESOLUTION_METHOD_TERMS, vocab.RESOLUTION_METHOD), (vocab.RESOLUTION_TYPE_TERMS, vocab.RESOLUTION_TYPE),
+        (vocab.SCAN_DIRECTION_TERMS, vocab.SCAN_DIRECTION), (vocab.SCAN_LAW_TERMS, vocab.SCAN_LAW),
+        (vocab.REFLECTRON_TERMS, vocab.REFLECTRON_STATE), (vocab.CHECKSUM_TERMS, vocab.CHECKSUM_TYPE),
+    ):
+        assert set(terms.values()) <= set(labels)
+
+
 def test_fetch(spark, long):
     many = [f"s{i}" for i in range(0, 3000, 2)]
     assert key(extract.fetch_by_ids(long, many)) == key(long.filter("cast(substr(id, 2) as int) % 2 = 0"))
