@@ -4,7 +4,7 @@ A flat key is ``root:tag[i]:tag[j]:@attribute`` or ``...:#text``; ``i`` counts t
 order between differently named siblings and the whitespace around text are not kept in the flat form.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionframe import schemas
@@ -128,7 +128,7 @@ def parse_keys(flat: DataFrame) -> DataFrame:
     padded = F.regexp_replace(below, r":([^:]*)\[([0-9]+)\]", f"{_IN_CHILD}$1{_AFTER_NAME}0000000000$2")
     steps = F.regexp_replace(padded, f"{_AFTER_NAME}[0-9]*([0-9]{{10}})(?={_IN_CHILD}|$)", f"{_AFTER_NAME}$1")
     key = F.concat(F.lit(_IN_CHILD), "_first", F.lit(_AFTER_NAME + "0000000000"), steps)
-    split = placed.withColumns({"_rest": rest, "key": F.when(F.col("_elements") != "", key)})
+    split = placed.withColumns({"_rest": rest, "key": F.when(F.col("_elements").isNotNull(), key)})
     is_last = F.length("_rest") - F.length(F.replace("_rest", F.lit(C.SEPARATOR), F.lit(""))) == 1
     kind = (
         F.when(~F.col("_good") | F.col("_elements").isNull(), "malformed")

@@ -84,7 +84,8 @@ KEYS = [
     ("gap", "r:b:@x", "9"), ("two", "r:@x", "1"), ("two", "s:@x", "1"), ("idx", "r[0]:@x", "1"),
     ("idx2", "r[0]:@x", "1"), ("idx2", "s:@x", "1"), ("none", "@x", "1"), ("bare", "r", "1"),
     ("deep", "r:c[0]:d[0]:e:@x", "1"), ("deep", "@zz", "1"), ("deep", "r:@at", "7"), ("deep", "r:@b[0]:c[0]:@x", "7"),
-    ("deep", "r:#text[0]:@q", "1"), ("empty", ":@x", "1"), ("mixed", "r:a[1]:z[0]:@k", "v"), ("mixed", "r:a[1]:#text", "t"),
+    ("deep", "r:#text[0]:@q", "1"), ("empty", ":@x", "1"), ("both", ":@x", "1"),
+    ("both", "r:@y", "1"), ("mixed", "r:a[1]:z[0]:@k", "v"), ("mixed", "r:a[1]:#text", "t"),
     ("mixed", "r:a[1]:@b", "2"), ("mixed", "r:a[1]:@a", "1"), ("mixed", "r:B[0]", ""), ("mixed", "r:a[007]:#text", ""),
 ]
 REBUILT = {
@@ -99,12 +100,13 @@ def test_keys(spark):
     flat = flat_frame(spark, KEYS)
     assert {(r.doc_id, r.path) for r in tree.malformed_keys(flat).collect()} == {
         ("gap", "r:b:@x"), ("idx", "r[0]:@x"), ("idx2", "r[0]:@x"), ("none", "@x"), ("deep", "r:c[0]:d[0]:e:@x"),
-        ("deep", "@zz"), ("deep", "r:@b[0]:c[0]:@x"), ("deep", "r:#text[0]:@q"), ("empty", ":@x"),
+        ("deep", "@zz"), ("deep", "r:@b[0]:c[0]:@x"), ("deep", "r:#text[0]:@q"), ("empty", ":@x"), ("both", ":@x"),
     }
     status = {r.doc_id: (r.root, r.status) for r in tree.root_check(flat).collect()}
     assert status == {
         "gap": ("r", "ok"), "bare": ("r", "ok"), "deep": ("r", "ok"), "mixed": ("r", "ok"),
         "two": (None, "multiple_roots"), "idx2": (None, "multiple_roots"), "idx": ("r[0]", "bad_root"),
+        "both": (None, "multiple_roots"),
         "none": (None, "no_root"), "empty": ("", "bad_root"),
     }
 
