@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,23 @@ def staged(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "llm")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal keys from batches sorted by them; a run over a batch's end is joined with its rest."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for start, end in zip(starts, starts[1:]):
+            yield batch.slice(start, end - start)
+        rest = batch.slice(starts[-1])
+    if rest is not None:
+        yield rest

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.llm import bpe, packing, prefixes, sharding
+from ionframe.llm import bpe, minhash, packing, prefixes, sharding, toxicity
 from ionframe.llm.common import table
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by positive-unlabelled learning on four of five folds."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight equal shards by rendezvous hashing of doc_id; and their shard among nine."""
     placed = sharding.shard_documents(
@@ -41,6 +46,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op7_sharding, op8_token_counts)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents on five-word shingles at similarity 0.75."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash)}
 
 ORACLE: dict[str, str] = {}
