@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.llm import bpe, minhash, packing, prefixes, sharding, toxicity
+from ionframe.llm import bpe, minhash, packing, prefixes, quantised, sharding, toxicity
 from ionframe.llm.common import table
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -52,6 +52,51 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash)}
-
-ORACLE: dict[str, str] = {}
+def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label at cosine 0.98."""
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash, op10_quantised)}
+
+_UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op9_minhash": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS sh
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        meet AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+            FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * i >= 75 * (x.n + y.n - i)),
+        reach AS (
+            SELECT DISTINCT a AS doc_id, a AS other FROM links
+            UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+        least_of AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id,
+            coalesce(c, w.doc_id) = w.doc_id AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_of ON least_of.doc_id = w.doc_id""",
+    "op10_quantised": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+        reach AS (
+            SELECT a AS vec_id, a AS other FROM n
+            UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+        least_of AS (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id,
+            coalesce(c, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least_of ON least_of.vec_id = e.vec_id""",
+}
