@@ -252,6 +252,8 @@ def _answers(assigned: DataFrame, asked: DataFrame, blocks: dict[int, int], k: i
             if not part.column("is_query")[0].as_py():
                 held = part
                 continue
+            if held is None:  # the hash left this block empty
+                continue
             if search is None:
                 search = Search(_matrix(held.column("values")), held.column("vec_id").to_numpy(), k)
             for start in range(0, part.num_rows, QUERIES_HELD):

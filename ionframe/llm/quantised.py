@@ -186,6 +186,8 @@ def _links(classes: DataFrame, index: Index, radius: float, cosine: float) -> Da
                 if not part.column("asks")[0].as_py():
                     held.append(part)
                     continue
+                if not held:  # the hash left this block empty
+                    continue
                 if len(held) > 1:
                     held = [pa.concat_batches(held)]
                 nodes, values, errors = held[0].column("node").to_numpy(), _matrix(held[0].column("values")), held[0].column("error").to_numpy()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.llm import bpe, covertree, minhash, packing, prefixes, quantised, sharding, toxicity
+from ionframe.llm import bpe, covertree, minhash, packing, prefixes, quantised, sharding, substrings, toxicity
 from ionframe.llm.common import table
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -32,6 +32,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of fifty words that an earlier document holds."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by positive-unlabelled learning on four of five folds."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,7 +67,7 @@ def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op4_topk, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash, op10_quantised)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op4_topk, op5_substrings, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash, op10_quantised)}
 
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,6 +82,22 @@ ORACLE: dict[str, str] = {
         r AS (
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op5_substrings": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (
+            SELECT doc_id, i, sha256(array_to_string(ws[i : i + 49], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+        least_of AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+        hit AS (SELECT doc_id, i FROM win JOIN least_of USING (h) WHERE first < doc_id),
+        gone AS (
+            SELECT doc_id, list(DISTINCT p) AS gone
+            FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY doc_id),
+        kept AS (
+            SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                CASE WHEN gone IS NULL THEN ws
+                ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(gone, p)), lambda p: ws[p]) END AS left_
+            FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id)
+        SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(left_, ' '), '')) AS kept_sha256 FROM kept""",
     "op9_minhash": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '[^\x20\x09-\x0D]+') AS ws
