@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.llm import bpe, covertree, minhash, packing, prefixes, quantised, sharding, substrings, toxicity
+from ionframe.llm import bpe, covertree, hmm, minhash, packing, prefixes, quantised, sharding, substrings, toxicity
 from ionframe.llm.common import table
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), END_ID, keep_ids=False)
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a hidden Markov model trained on nine of ten folds, and by word counts."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by linked-list merging and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
@@ -67,7 +72,7 @@ def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op4_topk, op5_substrings, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash, op10_quantised)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op3_bpe, op4_topk, op5_substrings, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash, op10_quantised)}
 
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
