@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionframe.llm import common
@@ -26,8 +26,8 @@ LEAST_EQUAL = 20
 BLOCK = 1024
 
 _SKETCH = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("halves", pa.list_(pa.int64())),
-    ("signature", pa.binary()),
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
+    ("halves", pa.list_(pa.int64())), ("signature", pa.binary()),
 ])
 
 
@@ -75,29 +75,37 @@ def half_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def sketch(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_key (128 bits that name the shingle set), halves, signature."""
+    """One row per document: doc_id, text_key (a hash of the text), n_shingles, set_key (128 bits that name the shingle set),
+    halves, signature."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = common.Cache(word_hash)
         for batch in common.in_slices(batches):
             sizes, keys, halves, signatures = [], [], [], []
-            for body in batch.column(1).to_pylist():
+            for body in batch.column(2).to_pylist():
                 shingles = shingle_set(body, memory)
                 half, signature = half_keys(shingles) if len(shingles) else (np.empty(0, np.int64), b"")
                 sizes.append(len(shingles))
                 keys.append(hashlib.md5(shingles.tobytes()).digest())
                 halves.append(half)
                 signatures.append(signature)
-            columns = [batch.column(0), sizes, keys, halves, signatures]
+            columns = [batch.column(0), batch.column(1), sizes, keys, halves, signatures]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SKETCH)], schema=_SKETCH)
 
     return _texts(documents, doc_id, text).mapInArrow(
-        rows, "doc_id long, n_shingles long, set_key binary, halves array<long>, signature binary"
+        rows, "doc_id long, text_key long, n_shingles long, set_key binary, halves array<long>, signature binary"
     )
 
 
+def text_key(text: str) -> Column:
+    """A hash of a text that tells rows of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")
+    )
 
 
 def table_members(classes: DataFrame) -> DataFrame:
@@ -232,8 +240,8 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> Da
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id), group (a number of the
-    component, for telling rows of one doc_id apart; null without words).
+    """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id), text_key (a hash of
+    the text) and group (a number of the component); these two tell rows of one doc_id apart.
 
     Documents with equal shingle sets are one class and enter the search once. In each table key the classes are
     compared with the key's most popular member (the one that meets most others over all tables); then, where the links
@@ -269,9 +277,25 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
                 F.when(F.col("component").isNull(), F.col("first_doc")).otherwise(F.col("component_id")).alias("component_id"),
                 F.lit(True).alias("__found"))
     )
-    joined = sketches.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    joined = sketches.select("doc_id", "text_key", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("__found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-        "group", "set_key",
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.coalesce("group", F.xxhash64("set_key")).alias("group"),
+    )
+
+
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all columns; of rows that repeat it one. Texts
+    without words are linked with nothing, so all of them stay."""
+    found = near_duplicates(documents, doc_id, text).where("n_shingles > 0 and kept")
+    order = Window.partitionBy("group", "component_id").orderBy("text_key")
+    keep = found.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(
+        F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__kept_key")
     )
+    wordy = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = documents.where(wordy).withColumn("__text_key", text_key(text))
+    stay = keyed.join(
+        keep, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__text_key") == F.col("__kept_key")), "left_semi"
+    ).dropDuplicates([doc_id, "__text_key"])
+    return stay.drop("__text_key").unionByName(documents.where(~wordy))
