@@ -71,7 +71,7 @@ def main() -> None:
     seconds["store_read_long"] = timed(lambda: run(tables.read_long(spark, path)))
     seconds["store_open_long"] = timed(lambda: tables.read_long(spark, path).schema)
     long = tables.read_long(spark, path)
-    ids = [r.id for r in extract.sample_ids(layout.distinct_ids(long), 100).collect()]
+    ids = [(r.run_id, r.id) for r in extract.sample_ids(layout.distinct_ids(long), 100).collect()]
     seconds["store_fetch_100_ids"] = timed(lambda: run(extract.fetch_by_ids(long, ids)))
     seconds["store_fetch_per_id"] = round(seconds["store_fetch_100_ids"] / 100, 6)
     for level in (1, 2):

@@ -30,8 +30,6 @@ def within(c: Column, lo, hi, dtype: str = "float") -> Column:
 
 def around(c: Column, center, tol, dtype: str = "float") -> Column:
     """``center - tol <= c <= center + tol``; the arithmetic is done in double before the cast."""
-    if not isinstance(center, Column) and not isinstance(tol, Column):
-        return within(c, center - tol, center + tol, dtype)
     return within(c, center - tol, center + tol, dtype)
 
 
@@ -50,6 +48,13 @@ def zip_shortest(a: Column, b: Column, a_name: str, b_name: str) -> Column:
     return F.arrays_zip(F.slice(a, 1, n).alias(a_name), F.slice(b, 1, n).alias(b_name))
 
 
+def map_of_last(entries: Column, key: str) -> Column:
+    """A map of (key, value) structs; of entries with one key the last counts, and those without a key do not."""
+    later = lambda i: F.slice(entries, i + 2, F.size(entries))
+    kept = F.filter(entries, lambda e, i: e[key].isNotNull() & ~F.exists(later(i), lambda o: o[key] == e[key]))
+    return F.map_from_entries(kept)
+
+
 def any_within(values: Column, lo, hi, dtype: str = "double") -> Column:
     """True when at least one array element lies in the closed interval."""
     return F.exists(values, lambda x: within(x, lo, hi, dtype))
@@ -94,7 +99,7 @@ def segment_tag(segment: Column) -> Column:
 
 def segment_index(segment: Column) -> Column:
     """``tag[i]`` to ``i``; null for a segment without a (representable) index."""
-    return F.regexp_extract(segment, INDEXED, 2).try_cast("int")
+    return F.regexp_extract(segment, INDEXED, 2).try_cast("bigint")
 
 
 def segment_kind(segment: Column, is_first: Column, is_last: Column) -> Column:

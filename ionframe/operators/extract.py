@@ -9,10 +9,8 @@ from pyspark.sql import types as T
 from ionframe.functions import columns as C
 from ionframe.operators.layout import SPECTRUM
 
-# Ids up to this many go into the plan as an IN list (pushed to Parquet); more become a semi join.
-IN_LIST_LIMIT = 1_000
-# Boxes given as Python values, up to this many, are broadcast.
-BROADCAST_BOX_LIMIT = 100_000
+# Cells of the grid that boxes are found by, of the order of a usual box. Any size gives the same peaks.
+MZ_CELL, RT_CELL = 1.0, 120.0
 
 BOXES = T.StructType([
     T.StructField("box_id", T.LongType()),
@@ -21,32 +19,39 @@ BOXES = T.StructType([
     T.StructField("mz_tol", T.DoubleType()),
     T.StructField("rt", T.DoubleType()),
     T.StructField("rt_tol", T.DoubleType()),
+    T.StructField("run_id", T.StringType()),
 ])
 
 
-def fetch_by_ids(df: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
-    """The spectrum rows whose id is in a list, or in the ``id`` column of a DataFrame."""
+def fetch_by_ids(df: DataFrame, ids: Sequence | DataFrame) -> DataFrame:
+    """The spectrum rows of a list of ids, of ``(run_id, id)`` pairs, or of a DataFrame with ``id`` and perhaps ``run_id``.
+
+    Native ids start anew in every run, so an id alone fetches its spectrum from each run. A list reaches the
+    Parquet scan as an IN predicate.
+    """
     spectra = df.filter(F.col("data_type") == SPECTRUM)
     if isinstance(ids, DataFrame):
-        return spectra.join(ids.select("id"), "id", "left_semi")
-    if len(ids) <= IN_LIST_LIMIT:
+        keys = [c for c in ("run_id", "id") if c in ids.columns]
+        return spectra.join(ids.select(*keys), keys, "left_semi")
+    pairs = [i for i in ids if not isinstance(i, str)]
+    if not pairs:
         return spectra.filter(F.col("id").isin(list(ids)))
-    table = df.sparkSession.createDataFrame([(i,) for i in ids], "id string")
-    return spectra.join(table, "id", "left_semi")
+    if len(pairs) < len(ids):
+        raise ValueError("give either ids or (run_id, id) pairs")
+    among = F.col("run_id").isin(sorted({r for r, _ in pairs})) & F.col("id").isin(sorted({i for _, i in pairs}))
+    exact = F.struct("run_id", "id").isin([F.struct(F.lit(r), F.lit(i)) for r, i in pairs])
+    return spectra.filter(among & exact)
 
 
 def sample_ids(ids: DataFrame, n: int, rank: Column | None = None, seed: int = 42) -> DataFrame:
-    """``n`` ids without replacement, the same ones on every run: those with the smallest hash."""
-    rank = F.xxhash64(F.col("id"), F.lit(seed)) if rank is None else rank
-    return ids.orderBy(rank, F.col("id")).limit(n).select("id")
+    """``n`` spectra ``(run_id, id)`` without replacement, the same ones on every run: those with the smallest hash."""
+    rank = F.xxhash64(F.col("run_id"), F.col("id"), F.lit(seed)) if rank is None else rank
+    return ids.orderBy(rank, "run_id", "id").limit(n).select("run_id", "id")
 
 
 def fetch_sampled(df: DataFrame, ids: DataFrame, n: int, rank: Column | None = None) -> DataFrame:
-    """All rows of ``n`` sampled spectra. The sample holds ``n`` rows, so it is broadcast."""
-    sample = sample_ids(ids, n, rank)
-    if n <= BROADCAST_BOX_LIMIT:
-        sample = F.broadcast(sample)
-    return fetch_by_ids(df, sample)
+    """All rows of ``n`` sampled spectra."""
+    return fetch_by_ids(df, sample_ids(ids, n, rank))
 
 
 def at_level(ms_level: int | Sequence[int]) -> Column:
@@ -102,10 +107,8 @@ def _may_hold(wide: DataFrame, lo: float, hi: float) -> DataFrame:
 
 
 def box_table(spark: SparkSession, boxes: Iterable[tuple]) -> DataFrame:
-    """Boxes given as ``(box_id, ms_level, mz, mz_tol, rt, rt_tol)``; marked for broadcast while few."""
-    rows = [tuple(b) for b in boxes]
-    df = spark.createDataFrame(rows, BOXES)
-    return F.broadcast(df) if len(rows) <= BROADCAST_BOX_LIMIT else df
+    """Boxes given as ``(box_id, ms_level, mz, mz_tol, rt, rt_tol)``, and perhaps the one ``run_id`` they are for."""
+    return spark.createDataFrame([(*b, None)[:7] for b in boxes], BOXES)
 
 
 def random_boxes(
@@ -127,23 +130,24 @@ def random_boxes(
         F.lit(mz_tol).alias("mz_tol"),
         uniform(rt, seed + 1).alias("rt"),
         F.lit(rt_tol).alias("rt_tol"),
+        F.lit(None).cast("string").alias("run_id"),
     )
 
 
 def extract_boxes(
-    long: DataFrame, boxes: DataFrame, mz_cell: float | None = None, rt_cell: float | None = None
+    long: DataFrame, boxes: DataFrame, mz_cell: float = MZ_CELL, rt_cell: float = RT_CELL
 ) -> DataFrame:
     """All peaks of all boxes in one pass: a range join made of an equi-join and an exact re-check.
 
     m/z and RT are cut into a grid. A peak lies in one cell; a box is repeated for each cell it touches, so it
-    finds each peak once. By default a cell is as large as the largest box, so that no box touches more than
-    2 x 2 cells. With few boxes (see ``box_table``) they are broadcast and the peaks are not shuffled at all;
-    otherwise Spark joins on (level, cell), with both axes in the key so that a crowded m/z alone does not
-    make one heavy key.
+    finds each peak once; a wide box touches many cells and does not widen those of others. Spark broadcasts the boxes
+    while they are small, so that the peaks are not shuffled; otherwise it joins on (level, cell), with both axes in
+    the key so that a crowded m/z alone does not make one heavy key. A box with a ``run_id`` finds peaks of that run only.
     """
-    if mz_cell is None or rt_cell is None:
-        mz_cell, rt_cell = (max(float(v or 0) * 2, 1e-3) for v in boxes.agg(F.max("mz_tol"), F.max("rt_tol")).first())
+    if "run_id" not in boxes.columns:
+        boxes = boxes.withColumn("run_id", F.lit(None).cast("string"))
     edges = boxes.select(
+        F.col("run_id").alias("_run"),
         "box_id",
         F.col("ms_level").alias("_level"),
         (F.col("mz") - F.col("mz_tol")).cast("float").alias("_mz_lo"),
@@ -160,6 +164,7 @@ def extract_boxes(
         (F.col("ms_level") == F.col("_level"))
         & (F.col("_mz_at") == F.col("_mz_cell"))
         & (F.col("_rt_at") == F.col("_rt_cell"))
+        & (F.col("_run").isNull() | (F.col("_run") == F.col("run_id")))
     )
     inside = F.col("mz").between(F.col("_mz_lo"), F.col("_mz_hi")) & F.col("rt").between(
         F.col("_rt_lo"), F.col("_rt_hi")

@@ -1,12 +1,8 @@
-"""Numbering and packing the rows of a group without ever needing one task to hold a huge group.
+"""Numbering and packing the rows of a group.
 
-Both operators take ``split``: an expression that never decreases along the group's order. It is applied only
-to *hot* groups (more than ``hot_rows`` rows), which are then cut into consecutive pieces that go to different
-tasks; every other group stays whole. ``split`` may use ``group_rows``, the size of the hot group. Which groups
-are hot is found by a count that is pre-aggregated before its shuffle. The hot list is limited to
-``MAX_HOT_KEYS`` entries, which bounds the broadcast; a group left off the list is still handled exactly, as an
-ordinary whole group.
-"""
+Numbering never brings a group into one task: rows are numbered in consecutive pieces, and each piece is shifted by the
+rows before it. Packing makes one row of a group, whatever its size, because that row is the result; it must fit a row
+(2**31 - 16 elements)."""
 
 from collections.abc import Sequence
 from functools import reduce
@@ -15,71 +11,30 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
+# Positions of a group that are numbered in one piece; a layout parameter that no result depends on.
+PIECE_ROWS = 1_000_000
 
 _PIECE, _KEY, _N, _OFFSET = "_piece", "_key", "_n", "_offset"
 
 
-def hot_groups(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, weight: Column | None = None
-) -> DataFrame:
-    """The (at most ``MAX_HOT_KEYS``) largest groups with more than ``hot_rows`` rows, with their size.
-
-    A row counts once, or ``weight`` times.
-    """
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return (
-        df.groupBy(*keys)
-        .agg(size.alias("group_rows"))
-        .filter(F.col("group_rows") > hot_rows)
-        .orderBy(F.col("group_rows").desc())
-        .limit(MAX_HOT_KEYS)
-    )
-
-
-def cut_hot_groups(df: DataFrame, hot: DataFrame, keys: Sequence[str], split: Column, whole: Column) -> DataFrame:
-    """Add the columns of ``hot`` and ``_piece``: ``split`` in hot groups, ``whole`` in others. No shuffle.
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, split: Column) -> DataFrame:
+    """Zero-based position of every row within its group.
 
-    Null is a key like any other: a group of rows without a key can be hot too.
+    ``split`` is a non-null integer expression that never decreases along the group's order. Rows are numbered inside
+    their (group, ``split``) piece, and each piece is shifted by the number of rows in the pieces before it. The shifts
+    come from a count per piece, combined before its shuffle, so the only data shuffled whole is ``df`` itself, once. The
+    explicit repartition matters: an input already partitioned by ``keys`` would otherwise satisfy the window and keep a
+    large group in one task. Null is a key like any other.
     """
-    renamed = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    joined = df.join(F.broadcast(renamed), same, "left").drop(*[f"_hot_{k}" for k in keys])
-    return joined.withColumn(_PIECE, F.when(F.col("group_rows").isNotNull(), split).otherwise(whole))
-
-
-def _numeric_cut(df: DataFrame, keys: Sequence[str], split: Column, hot_rows: int) -> DataFrame:
-    return cut_hot_groups(
-        df, hot_groups(df, keys, hot_rows), keys, split.cast("bigint"), F.lit(0).cast("bigint")
-    )
-
-
-def ordinal(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    out: str,
-    split: Column,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Zero-based position of every row within its group. ``split`` is a non-null integer expression.
-
-    Rows are numbered inside their piece, and each piece of a hot group is then shifted by the number of rows
-    in the pieces before it. The shifts come from a per-piece count, so the only data shuffled whole is ``df``
-    itself, once. The explicit repartition matters: an input already partitioned by ``keys`` would otherwise
-    satisfy the window and keep a hot group in one task.
-    """
-    keys = list(keys)
     # One struct for all keys: unlike a bare column it joins null to null, without another shuffle.
-    cut = _numeric_cut(df, keys, split, hot_rows).withColumn(_KEY, F.struct(*keys))
+    cut = df.withColumns({_KEY: F.struct(*keys), _PIECE: split.cast("bigint")})
     in_piece = Window.partitionBy(_KEY, _PIECE).orderBy(*order)
     before = Window.partitionBy(_KEY).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.filter(F.col("group_rows").isNotNull())
-        .groupBy(_KEY, _PIECE)
+        cut.groupBy(_KEY, _PIECE)
         .agg(F.count(F.lit(1)).alias(_N))
         .select(_KEY, _PIECE, F.sum(_N).over(before).alias(_OFFSET))
+        .filter(F.col(_OFFSET).isNotNull())
     )
     numbered = cut.repartition(_KEY, _PIECE).withColumn(_N, F.row_number().over(in_piece) - 1)
     position = F.col(_N) + F.coalesce(F.col(_OFFSET), F.lit(0))
@@ -91,31 +46,19 @@ def ordinal(
 
 
 def pack(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Sequence[str],
-    split: Column,
-    hot_rows: int = HOT_ROWS,
-    chunk: str = "chunk_index",
-    items: str = "items",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], items: str = "items"
 ) -> DataFrame:
-    """Collect each group's ``values``, in order, into an array of structs.
-
-    A group of up to ``hot_rows`` rows gives one row with ``chunk`` 0. A larger one continues over several
-    rows, in ``chunk`` order, so no array outgrows a task and nothing is left out. One shuffle, after the rows
-    of a group that sit in one input partition have been put together.
-    """
-    return (
-        _numeric_cut(df, keys, split, hot_rows)
-        .groupBy(*keys, F.col(_PIECE).alias(chunk))
-        .agg(ordered_list(order, values).alias(items))
-    )
+    """Collect each group's ``values``, in order, into one array of structs: one row per group. One shuffle, after the
+    rows of a group that sit in one input partition have been put together."""
+    return df.groupBy(*keys).agg(ordered_list(order, values).alias(items))
 
 
 def ordered_list(order: Sequence[str], values: Sequence[str]) -> Column:
-    entry = F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])
-    return F.array_sort(F.collect_list(entry))
+    return F.array_sort(F.collect_list(_entry(order, values)))
+
+
+def _entry(order: Sequence[str], values: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])
 
 
 def pack_under(
@@ -124,34 +67,22 @@ def pack_under(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    split: Column,
-    hot_rows: int = HOT_ROWS,
-    chunk: str = "chunk_index",
     items: str = "items",
 ) -> DataFrame:
     """``headers`` (one row per group) with their ``rows`` packed beside them, as ``pack`` does.
 
     Headers and rows meet in the one shuffle that packs, so the arrays are not shuffled again for a join. A
-    header without rows keeps an empty array; rows without a header are dropped. The headers of hot groups
-    travel with the hot list, so that every piece of the group gets its header.
+    header without rows keeps an empty array; rows without a header are dropped.
     """
     keys = list(keys)
     rows = rows.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
-    head_columns = [c for c in headers.columns if c not in keys]
-    head = F.struct(*head_columns)
-    entry = F.struct(*[F.col(c) for c in (*order, *[v for v in values if v not in order])])
-    hot = hot_groups(rows, keys, hot_rows).join(headers.select(*keys, head.alias("_hot_head")), keys, "left")
+    head = F.struct(*[c for c in headers.columns if c not in keys])
     both = headers.select(*keys, head.alias("_head")).unionByName(
-        rows.select(*keys, entry.alias("_item"), split.cast("bigint").alias("_at")), allowMissingColumns=True
+        rows.select(*keys, _entry(order, values).alias("_item")), allowMissingColumns=True
     )
     return (
-        cut_hot_groups(both, hot, keys, F.col("_at"), F.lit(0).cast("bigint"))
-        .filter(F.col("group_rows").isNull() | F.col("_item").isNotNull())
-        .groupBy(*keys, F.col(_PIECE).alias(chunk))
-        .agg(
-            F.max(F.coalesce("_hot_head", "_head")).alias("_head"),
-            F.array_sort(F.collect_list("_item")).alias(items),
-        )
+        both.groupBy(*keys)
+        .agg(F.max("_head").alias("_head"), F.array_sort(F.collect_list("_item")).alias(items))
         .filter(F.col("_head").isNotNull())
-        .select(*keys, "_head.*", chunk, items)
+        .select(*keys, "_head.*", items)
     )

@@ -11,13 +11,6 @@ SPECTRUM_KEYS = ("run_id", "id", "ms_level", "rt", "ion_mobility")
 CHROMATOGRAM_KEYS = ("run_id", "id", "precursor_mz", "product_mz")
 
 
-def chunk_split(hot_rows: int = grouping.HOT_ROWS) -> Column:
-    """Where to cut a hot spectrum or chromatogram: every ``hot_rows`` positions, or where it was cut before."""
-    return F.when(F.col("chunk_index") > 0, F.col("chunk_index")).otherwise(
-        F.floor(F.col("peak_index") / F.lit(hot_rows))
-    )
-
-
 def explode_pair(df: DataFrame, first: str, second: str, first_out: str, second_out: str) -> DataFrame:
     """One row per element of two parallel arrays, up to the shorter one; the other columns are repeated.
 
@@ -38,13 +31,9 @@ def explode_pair(df: DataFrame, first: str, second: str, first_out: str, second_
     )
 
 
-def _with_chunk(df: DataFrame) -> DataFrame:
-    return df if "chunk_index" in df.columns else df.withColumn("chunk_index", F.lit(0).cast("bigint"))
-
-
 def spectra_to_long(wide: DataFrame) -> DataFrame:
     """Wide spectra to peak rows. Spectra without peaks give no rows."""
-    header = _with_chunk(wide).select(*SPECTRUM_KEYS, "chunk_index", "mz_array", "intensity_array")
+    header = wide.select(*SPECTRUM_KEYS, "mz_array", "intensity_array")
     peaks = explode_pair(header, "mz_array", "intensity_array", "mz", "intensity")
     return schemas.conform(peaks.withColumn("data_type", F.lit(SPECTRUM)), schemas.LONG)
 
@@ -54,7 +43,7 @@ def chromatograms_to_long(wide: DataFrame, missing_product_mz: float | None = No
 
     A chromatogram without a product has null ``mz``, or ``missing_product_mz`` where that is given.
     """
-    header = _with_chunk(wide).select("run_id", "id", "product_mz", "chunk_index", "time_array", "intensity_array")
+    header = wide.select("run_id", "id", "product_mz", "time_array", "intensity_array")
     points = explode_pair(header, "time_array", "intensity_array", "rt", "intensity")
     mz = F.coalesce(F.col("product_mz"), F.lit(missing_product_mz).cast("float"))
     points = points.withColumn("mz", mz).withColumn("data_type", F.lit(CHROMATOGRAM))
@@ -67,37 +56,23 @@ def long_table(spectra: DataFrame, chromatograms: DataFrame) -> DataFrame:
 
 
 def pack_spectra(
-    peaks: DataFrame,
-    keys: tuple = SPECTRUM_KEYS,
-    order: tuple = ("chunk_index", "peak_index"),
-    split: Column | None = None,
-    hot_rows: int = grouping.HOT_ROWS,
-    mz_type: str = "double",
+    peaks: DataFrame, keys: tuple = SPECTRUM_KEYS, order: tuple = ("peak_index",), mz_type: str = "double"
 ) -> DataFrame:
     """Peak rows to wide spectrum rows, with ``n_peaks``, ``mz_min`` and ``mz_max`` kept beside the arrays.
 
     The range columns are what lets a reader skip spectra: predicates on array elements never reach Parquet.
     """
-    split = chunk_split(hot_rows) if split is None else split
-    packed = grouping.pack(peaks, keys, order, ("mz", "intensity"), split, hot_rows)
-    return _arrays(packed, mz_type)
+    return _arrays(grouping.pack(peaks, keys, order, ("mz", "intensity")), mz_type)
 
 
 def assemble_spectra(
-    headers: DataFrame,
-    peaks: DataFrame,
-    key: str,
-    order: tuple,
-    split: Column,
-    hot_rows: int = grouping.HOT_ROWS,
-    mz_type: str = "double",
+    headers: DataFrame, peaks: DataFrame, key: str, order: tuple, mz_type: str = "double"
 ) -> DataFrame:
     """Wide spectrum rows from a header table and a peak table that share ``key``.
 
     A spectrum without peaks keeps its row, with empty arrays.
     """
-    packed = grouping.pack_under(headers, peaks, (key,), order, ("mz", "intensity"), split, hot_rows)
-    return _arrays(packed, mz_type)
+    return _arrays(grouping.pack_under(headers, peaks, (key,), order, ("mz", "intensity")), mz_type)
 
 
 def _arrays(packed: DataFrame, mz_type: str) -> DataFrame:
@@ -112,25 +87,18 @@ def _arrays(packed: DataFrame, mz_type: str) -> DataFrame:
 
 def with_mz_range(wide: DataFrame) -> DataFrame:
     return wide.withColumns({
-        "n_peaks": F.least(F.size("mz_array"), F.size("intensity_array")),
+        "n_peaks": F.least(*[F.coalesce(F.size(c), F.lit(0)) for c in ("mz_array", "intensity_array")]),
         "mz_min": F.array_min("mz_array"),
         "mz_max": F.array_max("mz_array"),
     })
 
 
 def pack_chromatograms(
-    points: DataFrame,
-    keys: tuple = CHROMATOGRAM_KEYS,
-    order: tuple = ("chunk_index", "peak_index"),
-    split: Column | None = None,
-    hot_rows: int = grouping.HOT_ROWS,
+    points: DataFrame, keys: tuple = CHROMATOGRAM_KEYS, order: tuple = ("peak_index",)
 ) -> DataFrame:
     """Point rows (``time``, ``intensity``) to wide chromatogram rows."""
-    split = chunk_split(hot_rows) if split is None else split
-    packed = grouping.pack(points, keys, order, ("time", "intensity"), split, hot_rows)
-    return packed.select(
+    return grouping.pack(points, keys, order, ("time", "intensity")).select(
         *keys,
-        "chunk_index",
         F.lit(CHROMATOGRAM).alias("data_type"),
         F.col("items.time").cast("array<double>").alias("time_array"),
         F.col("items.intensity").cast("array<float>").alias("intensity_array"),
@@ -138,8 +106,8 @@ def pack_chromatograms(
 
 
 def distinct_ids(long: DataFrame) -> DataFrame:
-    """The ids of the spectra in a long table."""
-    return long.filter(F.col("data_type") == SPECTRUM).select("id").distinct()
+    """The spectra in a long table as ``(run_id, id)``; native ids start anew in every run."""
+    return long.filter(F.col("data_type") == SPECTRUM).select("run_id", "id").distinct()
 
 
 def narrow(df: DataFrame, types: dict[str, str], strict: bool = True) -> DataFrame:

@@ -16,8 +16,6 @@ from ionframe.sources.xmltext import parse_batches
 # Fixed value: the namespace put on rebuilt documents unless another is asked for.
 DEFAULT_NAMESPACE = "http://psi.hupo.org/ms/mzml"
 XML_DECLARATION = "<?xml version='1.0' encoding='utf-8'?>\n"
-# A larger document continues over several rows when it is packed.
-FRAGMENTS_PER_ROW = 1_000_000
 _GAP_STEP = 10_000
 
 
@@ -47,7 +45,7 @@ def sibling_index(tree: DataFrame) -> DataFrame:
     Siblings are grouped by their full tag. A parent may have very many children, so the numbering is the
     skew-safe one, cut by position.
     """
-    split = F.floor(F.col("pos") / F.lit(grouping.HOT_ROWS))
+    split = F.floor(F.col("pos") / F.lit(grouping.PIECE_ROWS))
     return grouping.ordinal(tree, ["doc_id", "parent_id", "tag"], ["pos"], "sibling_index", split)
 
 
@@ -73,38 +71,47 @@ def item_counts(flat: DataFrame) -> DataFrame:
 
 
 def from_json_objects(docs: DataFrame, doc_id: str = "doc_id", text: str = "json") -> DataFrame:
-    """JSON objects of strings, one per document, to ``(doc_id, path, value)``."""
+    """JSON objects of strings, one per document, to ``(doc_id, path, value)``. ``json_quarantine`` has the documents
+    that are none."""
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.explode(F.from_json(text, "map<string,string>")).alias("path", "value")
     )
 
 
-def to_json_objects(flat: DataFrame, hot_rows: int = grouping.HOT_ROWS) -> DataFrame:
-    """One JSON object per document, keys in order, non-ASCII characters escaped.
+def json_quarantine(docs: DataFrame, doc_id: str = "doc_id", text: str = "json") -> DataFrame:
+    """The documents that are not a JSON object, as ``(doc_id, error)``; they give no pairs."""
+    bad = F.from_json(text, "map<string,string>").isNull()
+    error = F.when(F.col(text).isNull(), "no text").otherwise("not a JSON object")
+    return docs.filter(bad).select(F.col(doc_id).alias("doc_id"), error.alias("error"))
 
-    A document of more than ``hot_rows`` pairs gives several objects, in ``chunk_index`` order, each with part
-    of its keys; they are cut by a hash of the key, so together they hold every pair once.
-    """
-    split = F.pmod(F.xxhash64("path"), F.ceil(F.col("group_rows") / F.lit(hot_rows)))
-    packed = grouping.pack(flat, ["doc_id"], ["path"], ["value"], split, hot_rows)
+
+def to_json_objects(flat: DataFrame) -> DataFrame:
+    """One JSON object per document, keys in order, non-ASCII characters escaped. Of values under one key the greatest
+    stays: the flat form keeps no order."""
+    packed = grouping.pack(flat, ["doc_id"], ["path"], ["value"]).withColumn("items", _last_of_each("items", "path"))
     return packed.select(
         "doc_id",
-        "chunk_index",
         F.size("items").alias("n_items"),
         F.to_json(F.map_from_entries("items"), {"writeNonAsciiCharacterAsCodePoint": "true"}).alias("json"),
     )
 
 
+def _last_of_each(items: str, key: str) -> Column:
+    """Of sorted entries the last one of each key."""
+    after = lambda i: F.get(F.col(f"{items}.{key}"), i + 1)
+    return F.filter(items, lambda e, i: ~after(i).eqNullSafe(e[key]))
+
+
 # --- flat pairs back to XML -----------------------------------------------------------------------------
 
 # A document is rebuilt by sorting its pieces, not by building it bottom-up. The sort key of an element is the
-# concatenation of one step per level: a mark, the tag, a mark, the index as ten digits. The marks order what
-# comes inside an element and sort before every character of a tag.
+# concatenation of one step per level: a mark, the tag, a mark, the index as '0' and nine digits, or '1' and eighteen
+# where nine do not hold it. The marks order what comes inside an element and sort before every character of a tag.
 _IN_ATTRIBUTE, _IN_BODY, _IN_CHILD, _IN_END, _AFTER_NAME = "\x01", "\x02", "\x03", "\x04", "\x01"
 
-# The parts of a flat key that name elements. An index has at most nine digits after its zeros.
+# The parts of a flat key that name elements. An index is a 64-bit number: eighteen digits after its zeros.
 _ROOT = r"^[^:]+"
-_ELEMENT = r":(?!#text\[)[^:@][^:]*\[0*[0-9]{1,9}\]"
+_ELEMENT = r":(?!#text\[)[^:@][^:]*\[0*[0-9]{1,18}\]"
 
 
 def parse_keys(flat: DataFrame) -> DataFrame:
@@ -123,10 +130,13 @@ def parse_keys(flat: DataFrame) -> DataFrame:
     elements = F.when(good, F.col("_named")).when(C.names_root(F.col("_first")), F.col("_first"))
     placed = roots.withColumns({"_good": good, "_elements": elements})
     rest = F.substring(path, F.length("_elements") + 1, F.length(path))
-    # 'root:a[7]' -> mark root mark 0000000000 mark a mark 0000000007: pad first, then keep the last ten digits.
+    # 'root:a[7]' -> mark root mark 0000000000 mark a mark 0000000007: pad first, keep the last eighteen digits, then
+    # shorten those that begin with nine zeros.
     below = F.substring(F.col("_elements"), F.length("_first") + 1, F.length(path))
-    padded = F.regexp_replace(below, r":([^:]*)\[([0-9]+)\]", f"{_IN_CHILD}$1{_AFTER_NAME}0000000000$2")
-    steps = F.regexp_replace(padded, f"{_AFTER_NAME}[0-9]*([0-9]{{10}})(?={_IN_CHILD}|$)", f"{_AFTER_NAME}$1")
+    padded = F.regexp_replace(below, r":([^:]*)\[([0-9]+)\]", f"{_IN_CHILD}$1{_AFTER_NAME}{'0' * 18}$2")
+    ends = f"(?={_IN_CHILD}|$)"
+    long = F.regexp_replace(padded, f"{_AFTER_NAME}[0-9]*([0-9]{{18}}){ends}", f"{_AFTER_NAME}1$1")
+    steps = F.regexp_replace(long, f"{_AFTER_NAME}10{{9}}([0-9]{{9}}){ends}", f"{_AFTER_NAME}0$1")
     key = F.concat(F.lit(_IN_CHILD), "_first", F.lit(_AFTER_NAME + "0000000000"), steps)
     split = placed.withColumns({"_rest": rest, "key": F.when(F.col("_elements").isNotNull(), key)})
     is_last = F.length("_rest") - F.length(F.replace("_rest", F.lit(C.SEPARATOR), F.lit(""))) == 1
@@ -189,7 +199,10 @@ def _level(key: Column) -> Column:
 
 
 def _step_key(tag: Column, index: Column) -> Column:
-    return F.concat(F.lit(_IN_CHILD), tag, F.lit(_AFTER_NAME), F.lpad(index.cast("string"), 10, "0"))
+    digits = index.cast("string")
+    short = F.concat(F.lit("0"), F.lpad(digits, 9, "0"))
+    code = F.when(index < 10**9, short).otherwise(F.concat(F.lit("1"), F.lpad(digits, 18, "0")))
+    return F.concat(F.lit(_IN_CHILD), tag, F.lit(_AFTER_NAME), code)
 
 
 def elements(keyed: DataFrame) -> DataFrame:
@@ -218,8 +231,8 @@ def elements(keyed: DataFrame) -> DataFrame:
         "doc_id",
         "key",
         F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(step) - 1).alias("parent"),
-        F.substring(step, F.lit(1), F.length(step) - 11).alias("tag"),
-        F.right(step, F.lit(10)).cast("int").alias("idx"),
+        F.substring_index(step, _AFTER_NAME, 1).alias("tag"),
+        F.substring(F.substring_index(step, _AFTER_NAME, -1), 2, 18).cast("bigint").alias("idx"),
         "has_child",
         "has_text",
     )
@@ -249,7 +262,7 @@ def fill_gaps(named: DataFrame) -> DataFrame:
         "doc_id",
         "parent",
         "tag",
-        F.explode(F.sequence(low, F.least(low + _GAP_STEP - 1, F.col("_max"))).cast("array<int>")).alias("idx"),
+        F.explode(F.sequence(low, F.least(low + _GAP_STEP - 1, F.col("_max")))).alias("idx"),
     )
     missing = every.join(named.select("doc_id", "parent", "tag", "idx"), ["doc_id", "parent", "tag", "idx"], "left_anti")
     return missing.select(
@@ -312,70 +325,30 @@ def _pieces(keyed: DataFrame, named: DataFrame, namespace: str | None) -> DataFr
     return tags.unionByName(content)
 
 
-def _cut(level: int) -> Column:
-    """Where a large document is cut: at its elements of one level. Pieces above that level stand alone."""
-    step = f"{_IN_CHILD}[^{_AFTER_NAME}]*{_AFTER_NAME}[0-9]{{10}}"
-    prefix = F.regexp_extract("key", f"^(?:{step}){{{level}}}", 0)
-    return F.when(F.length(prefix) > 0, prefix).otherwise(F.col("key"))
+def rebuild(flat: DataFrame, namespace: str | None = DEFAULT_NAMESPACE) -> DataFrame:
+    """Rebuilt documents as ``(doc_id, xml)``, one row each whatever their size, without the XML declaration.
 
-
-def rebuild(
-    flat: DataFrame,
-    namespace: str | None = DEFAULT_NAMESPACE,
-    fragments_per_row: int = FRAGMENTS_PER_ROW,
-    cut_level: int = 5,
-) -> DataFrame:
-    """Rebuilt documents as ``(doc_id, part, xml)``, without the XML declaration.
-
-    A document is one row with ``part`` ''. One with more than ``fragments_per_row`` elements and pairs continues over
-    several rows; in ``part`` order, concatenated, they are the document. Documents whose keys do not agree
-    on one good root are left out; ``root_check`` names them.
+    Documents whose keys do not agree on one good root are left out; ``root_check`` names them. Of values under
+    one key the greatest stays.
     """
-    keyed = parse_keys(flat)
-    named = staged(elements(keyed))
-    pieces = _pieces(keyed, named, namespace)
-    # Pairs and elements, those in gaps included: an element gives two or three pieces, a pair at most one.
-    counted = flat.select("doc_id", F.lit(1).cast("bigint").alias("_n")).unionByName(
-        _sibling_groups(named).select("doc_id", (F.col("_max") + 1).alias("_n"))
-    )
-    roots = named.filter(F.col("parent") == "").groupBy("doc_id").agg(
-        F.min("tag").alias("_lo"), F.max("tag").alias("_hi")
-    )
-    hot = grouping.hot_groups(counted, ["doc_id"], fragments_per_row, F.col("_n")).join(roots, "doc_id", "left")
-    cut = grouping.cut_hot_groups(pieces, hot, ["doc_id"], _cut(cut_level), F.lit(""))
-    # A whole document sees its roots among its own pieces; a cut one takes them from the hot list.
+    pieces = fragments(flat, namespace)
     return (
-        cut.groupBy("doc_id", F.col("_piece").alias("part"))
+        pieces.groupBy("doc_id")
         .agg(
             grouping.ordered_list(["key"], ["xml"]).alias("items"),
-            F.min(F.coalesce("_lo", "root")).alias("_lo"),
-            F.max(F.coalesce("_hi", "root")).alias("_hi"),
+            F.min("root").alias("_lo"),
+            F.max("root").alias("_hi"),
         )
         .filter(_root_status(F.col("_lo"), F.col("_hi")) == "ok")
-        .select("doc_id", "part", F.array_join("items.xml", "").alias("xml"))
+        .withColumn("items", _last_of_each("items", "key"))
+        .select("doc_id", F.array_join("items.xml", "").alias("xml"))
     )
 
 
 def write_documents(flat: DataFrame, path: str, namespace: str | None = DEFAULT_NAMESPACE) -> None:
-    """Rebuilt documents as text files, one directory per document; its part files in name order are the document.
-
-    The rows are range-partitioned, so a document too large for one row is never brought together in one task.
-    (Where such a document is cut there is a line break; the flat form does not see it.)
-    """
-    body = rebuild(flat, namespace).withColumn("_rank", F.lit(1))
-    good = root_check(flat).filter(F.col("status") == "ok")
-    head = good.select(
-        "doc_id", F.lit("").alias("part"), F.lit(XML_DECLARATION.rstrip()).alias("xml"), F.lit(0).alias("_rank")
-    )
-    order = ("doc_id", "_rank", "part")
-    (
-        body.unionByName(head)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("doc_id", F.col("xml").alias("value"))
-        .write.partitionBy("doc_id")
-        .text(path)
-    )
+    """Rebuilt documents with their declaration as Parquet rows ``(doc_id, xml)``, ordered by document."""
+    xml = F.concat(F.lit(XML_DECLARATION), "xml").alias("xml")
+    rebuild(flat, namespace).select("doc_id", xml).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
 
 
 def read_flat_json(spark: SparkSession, paths) -> DataFrame:
@@ -387,8 +360,8 @@ def read_flat_json(spark: SparkSession, paths) -> DataFrame:
 
 
 def write_flat_json(flat: DataFrame, path: str) -> None:
-    """One flat JSON object per line, in one directory per document."""
-    to_json_objects(flat).select("doc_id", F.col("json").alias("value")).write.partitionBy("doc_id").text(path)
+    """One flat JSON object per document as Parquet rows ``(doc_id, n_items, json)``, ordered by document."""
+    to_json_objects(flat).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -62,12 +62,6 @@ def peaks(spark: SparkSession, sf_dir: str, mz: tuple[float, float] | None = Non
 
 
 PEAK_ORDER = ("line", "part", "supp")
-PEAKS_PER_DOCUMENT = 100_000
-
-
-def peak_split() -> Column:
-    """Never decreases along ``PEAK_ORDER``: line numbers are small, and parts are cut in blocks."""
-    return F.col("line").cast("bigint") * F.lit(1 << 48) + F.floor(F.col("part") / F.lit(1 << 10))
 
 
 def spectrum_peaks(
@@ -98,7 +92,6 @@ def wide_spectra(spark: SparkSession, sf_dir: str, mz_type: str = "double", **he
         peaks(spark, sf_dir),
         "scan_index",
         PEAK_ORDER,
-        peak_split(),
         mz_type=mz_type,
     )
 
@@ -121,12 +114,8 @@ POINT_ORDER = ("micros", "event_id")
 
 
 def wide_chromatograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide chromatograms, one per (event type, user); a hot one is cut at minutes."""
-    return layout.pack_chromatograms(
-        chromatogram_points(spark, sf_dir),
-        order=POINT_ORDER,
-        split=F.floor(F.col("micros") / F.lit(60_000_000)),
-    )
+    """Wide chromatograms, one per (event type, user)."""
+    return layout.pack_chromatograms(chromatogram_points(spark, sf_dir), order=POINT_ORDER)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +125,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One XML document per spectrum: header attributes, a blank text, and its peaks under two child tags.
 
-    The child order mixes the tags, peaks carry text with characters to escape, and a spectrum cut into
-    several wide rows becomes several documents.
+    The child order mixes the tags, and peaks carry text with characters to escape.
     """
     qty, flag = F.col("l_quantity").cast("int"), F.col("l_returnflag")
     child = F.concat(
@@ -158,14 +146,10 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("scan_index"), "o_orderpriority", "o_orderstatus"
     )
-    packed = grouping.pack_under(
-        heads, items, ("scan_index",), PEAK_ORDER, ("qty", "flag", "status", "child"), peak_split(), PEAKS_PER_DOCUMENT
-    )
+    packed = grouping.pack_under(heads, items, ("scan_index",), PEAK_ORDER, ("qty", "flag", "status", "child"))
     xml = F.concat(
         F.lit('<run xmlns="urn:doc" status="'), F.col("o_orderstatus"), F.lit('" prio="'), F.col("o_orderpriority"),
         F.lit('">\n'), F.lit("<note>&quot;"), F.col("o_orderpriority"), F.lit("&quot;</note>"),
         F.array_join("items.child", "\n"), F.lit("</run>"),
     )
-    return packed.select(
-        F.concat_ws("/", "scan_index", F.nullif("chunk_index", F.lit(0))).alias("doc_id"), xml.alias("xml")
-    )
+    return packed.select(F.col("scan_index").cast("string").alias("doc_id"), xml.alias("xml"))

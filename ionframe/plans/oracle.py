@@ -95,7 +95,7 @@ segments AS (
 NAMED_PEAKS = KEYS + """,
 named AS (SELECT DISTINCT doc_id, root, line FROM keys WHERE part % 10 <> 0),
 ends AS (SELECT doc_id, root, max(line) AS top FROM named GROUP BY doc_id, root),
-every AS (SELECT doc_id, root, CAST(unnest(range(top + 1)) AS INTEGER) AS idx FROM ends)"""
+every AS (SELECT doc_id, root, CAST(unnest(range(top + 1)) AS BIGINT) AS idx FROM ends)"""
 
 ORACLE = {
     "extract_box": f"""
@@ -141,9 +141,9 @@ WHERE id IN ('scan=0', 'scan=1', 'scan=7', 'scan=42', 'scan=100', 'scan=333', 's
 WITH {PEAKS},
 sample AS (SELECT id FROM spectra ORDER BY (scan_index * 7919 + 13) % 1000003, id LIMIT 100)
 SELECT id, ms_level, {MEASURES} FROM peaks WHERE id IN (SELECT id FROM sample)""",
-    "distinct_ids": f"WITH {PEAKS} SELECT DISTINCT id FROM peaks",
+    "distinct_ids": f"WITH {PEAKS} SELECT DISTINCT run_id, id FROM peaks",
     "count_spectra": f"""
-WITH {PEAKS} SELECT count(DISTINCT id) AS n_spectra, count(DISTINCT id) >= 100 AS enough FROM peaks""",
+WITH {PEAKS} SELECT count(*) AS n_spectra, count(*) >= 100 AS enough FROM (SELECT DISTINCT run_id, id FROM peaks)""",
     "wide_to_long": f"""
 WITH {PEAKS}
 SELECT id, 'spectrum' AS data_type, ms_level, CAST(peak_index AS INTEGER) AS peak_index, {MEASURES},
@@ -256,7 +256,7 @@ UNION ALL SELECT doc_id, tag, CAST(pos AS INTEGER), idx FROM items""",
     "key_parse": f"""
 WITH {SEGMENTS}
 SELECT segment, count(*) AS n, regexp_extract(segment, '^(.*)\\[(\\d+)\\]$', 1) AS tag,
-       TRY_CAST(nullif(regexp_extract(segment, '^(.*)\\[(\\d+)\\]$', 2), '') AS INTEGER) AS idx
+       TRY_CAST(nullif(regexp_extract(segment, '^(.*)\\[(\\d+)\\]$', 2), '') AS BIGINT) AS idx
 FROM segments GROUP BY segment""",
     "key_classify": f"""
 WITH {SEGMENTS}
@@ -348,7 +348,7 @@ chroms AS (
   FROM events GROUP BY user_id),
 runs AS (
   SELECT 'run=' || c_custkey AS run_id, c_name, c_mktsegment, c_nationkey FROM customer)
-SELECT run_id, CAST(0 AS BIGINT) AS part, c_name AS instrument, c_mktsegment AS file,
+SELECT run_id, c_name AS instrument, c_mktsegment AS file,
        CAST(c_nationkey AS VARCHAR) AS nation, CAST(coalesce(n_spectra, 0) AS INTEGER) AS n_spectra,
        CAST(coalesce(n, 0) AS INTEGER) AS n_chromatograms, first_id, first_priority,
        CAST(first_charge AS INTEGER) AS first_charge, CAST(nullif(first_charge, 0) AS INTEGER) AS first_ion_charge,

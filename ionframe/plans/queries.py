@@ -75,7 +75,7 @@ def boxes() -> list[tuple]:
 
 
 def _box_hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    table = extract.box_table(spark, boxes())
+    table = extract.box_table(spark, boxes()).drop("run_id")
     return extract.extract_boxes(bridge.spectrum_peaks(spark, sf_dir), table, 100.0, 120.0), table
 
 
@@ -158,7 +158,7 @@ def fetch_sampled(spark, sf_dir):
     """All peaks of 100 spectra, sampled by a plain arithmetic hash."""
     number = F.substring(F.col("id"), 6, 20).cast("bigint")
     rank = (number * F.lit(7919) + F.lit(13)) % F.lit(1_000_003)
-    ids = bridge.spectra(spark, sf_dir).select("id")
+    ids = bridge.spectra(spark, sf_dir).select("run_id", "id")
     rows = extract.fetch_sampled(bridge.spectrum_peaks(spark, sf_dir), ids, 100, rank)
     return rows.select("id", "ms_level", *_double("rt", "mz", "intensity"))
 
@@ -253,9 +253,9 @@ def long_union(spark, sf_dir):
 
 @query
 def empty_spectra(spark, sf_dir):
-    """Spectra that keep a wide row but give no long rows."""
-    wide = bridge.wide_spectra(spark, sf_dir)
-    return wide.filter(F.col("n_peaks") == 0).select("id", "ms_level", *_double("rt"), "n_peaks")
+    """Spectra that keep a wide row but give no long rows: headers without peaks, found without packing any."""
+    empty = bridge.spectra(spark, sf_dir).join(bridge.peaks(spark, sf_dir), "scan_index", "left_anti")
+    return empty.select("id", "ms_level", *_double("rt"), F.lit(0).alias("n_peaks"))
 
 
 @query
@@ -384,7 +384,7 @@ def scan_index(spark, sf_dir):
         ["run_id"],
         ["scan_index"],
         "number",
-        F.floor(F.col("scan_index") / F.lit(grouping.HOT_ROWS)),
+        F.floor(F.col("scan_index") / F.lit(grouping.PIECE_ROWS)),
     )
     return numbered.select("run_id", "id", "number")
 
@@ -650,19 +650,15 @@ def run_metadata_doc(spark, sf_dir):
         F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("experiment_meta"),
     )
     events = bridge.table(spark, sf_dir, "events")
-    chromatograms = metadata.with_parts(
-        events.select(
-            F.concat(F.lit("run="), "user_id").alias("run_id"),
-            F.col("event_id").alias("chromatogram_index"),
-            F.struct(F.col("event_type").alias("native_id")).alias("record"),
-        ),
-        "chromatogram_index",
+    chromatograms = events.select(
+        F.concat(F.lit("run="), "user_id").alias("run_id"),
+        F.col("event_id").alias("chromatogram_index"),
+        F.struct(F.col("event_type").alias("native_id")).alias("record"),
     )
     documents = metadata.run_documents(runs, records, chromatograms)
     field = lambda path: F.get_json_object("document", path)
     return documents.select(
         "run_id",
-        "part",
         field("$.instrument.name").alias("instrument"),
         field("$.source_files[0].name_of_file").alias("file"),
         field("$.experiment_meta.nation").alias("nation"),

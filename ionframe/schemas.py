@@ -11,7 +11,6 @@ LONG = T.StructType([
     T.StructField("mz", T.FloatType()),
     T.StructField("intensity", T.FloatType()),
     T.StructField("ion_mobility", T.FloatType()),
-    T.StructField("chunk_index", T.LongType()),
     T.StructField("peak_index", T.IntegerType()),
 ])
 
@@ -22,7 +21,6 @@ WIDE_SPECTRA = T.StructType([
     T.StructField("ms_level", T.ByteType()),
     T.StructField("rt", T.FloatType()),
     T.StructField("ion_mobility", T.FloatType()),
-    T.StructField("chunk_index", T.LongType()),
     T.StructField("mz_array", T.ArrayType(T.DoubleType())),
     T.StructField("intensity_array", T.ArrayType(T.FloatType())),
     T.StructField("n_peaks", T.IntegerType()),
@@ -36,7 +34,6 @@ WIDE_CHROMATOGRAMS = T.StructType([
     T.StructField("data_type", T.StringType()),
     T.StructField("precursor_mz", T.FloatType()),
     T.StructField("product_mz", T.FloatType()),
-    T.StructField("chunk_index", T.LongType()),
     T.StructField("time_array", T.ArrayType(T.DoubleType())),
     T.StructField("intensity_array", T.ArrayType(T.FloatType())),
 ])

@@ -17,10 +17,10 @@ def wide(spark):
     for i in range(120):
         # A third of all peaks sit at one m/z.
         mz = sorted(500.25 if pick.random() < 0.33 else round(pick.uniform(200, 900), 3) for _ in range(pick.randrange(12)))
-        rows.append(("r", f"s{i}", "spectrum", i % 3 + 1, float(i), None, 0, mz, [float(x) for x in range(len(mz))]))
+        rows.append(("r", f"s{i}", "spectrum", i % 3 + 1, float(i), None, mz, [float(x) for x in range(len(mz))]))
     df = spark.createDataFrame(
         rows,
-        "run_id string, id string, data_type string, ms_level byte, rt float, ion_mobility float, chunk_index long,"
+        "run_id string, id string, data_type string, ms_level byte, rt float, ion_mobility float,"
         "mz_array array<float>, intensity_array array<float>",
     )
     return layout.with_mz_range(df).cache()
@@ -71,7 +71,7 @@ def test_box_reaches_the_scan(spark, long, tmp_path, capsys):
 
 
 @pytest.mark.parametrize("as_frame", [False, True])
-@pytest.mark.parametrize("cells", [(None, None), (7.0, 3.0)])
+@pytest.mark.parametrize("cells", [(), (7.0, 3.0), (200.0, 500.0)])
 def test_many_boxes_against_brute_force(spark, long, as_frame, cells):
     pick = random.Random(2)
     boxes = [
@@ -79,7 +79,7 @@ def test_many_boxes_against_brute_force(spark, long, as_frame, cells):
         for i in range(40)
     ]
     boxes += [(100 + i, 1, 500.25, 0.0, 60.0, 60.0) for i in range(20)]  # copies of one box, on the crowded m/z
-    table = spark.createDataFrame(boxes, extract.BOXES) if as_frame else extract.box_table(spark, boxes)
+    table = spark.createDataFrame([(*b, None) for b in boxes], extract.BOXES) if as_frame else extract.box_table(spark, boxes)
     hits = extract.extract_boxes(long, table, *cells)
     got = sorted((r.box_id, r.id, r.mz, r.intensity) for r in hits.collect())
     import numpy as np
@@ -129,6 +129,26 @@ def test_fetch(spark, long):
     assert {r.id for r in extract.fetch_sampled(long, ids, 10).collect()} == set(sample)
 
 
+def test_ids_start_anew_in_each_run(spark, long):
+    two = long.unionByName(long.withColumn("run_id", F.lit("q")))
+    ids = layout.distinct_ids(two)
+    assert ids.count() == 2 * layout.distinct_ids(long).count()
+    both = extract.fetch_by_ids(two, ["s1"])
+    own = extract.fetch_by_ids(two, [("q", "s1")])
+    assert both.count() == 2 * own.count() > 0 and {r.run_id for r in own.collect()} == {"q"}
+    assert key(extract.fetch_by_ids(two, ids.filter("run_id = 'q' and id = 's1'"))) == key(own)
+    sample = extract.sample_ids(ids, 5)
+    assert extract.fetch_sampled(two, ids, 5).select("run_id", "id").distinct().count() == sample.count() == 5
+
+
+def test_a_box_for_one_run(spark, long):
+    two = long.unionByName(long.withColumn("run_id", F.lit("q")))
+    boxes = extract.box_table(spark, [(1, 1, 500.25, 0.1, 50.0, 60.0), (2, 1, 500.25, 0.1, 50.0, 60.0, "q"), (3, 2, 550.0, 400.0, 60.0, 70.0)])
+    hits = {r.box_id: r.n for r in extract.extract_boxes(two, boxes).groupBy("box_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert hits[1] == 2 * hits[2] == extract.extract_box(two, 500.25, 0.1, 50.0, 60.0, 1).count()
+    assert hits[3] == extract.extract_box(two, 550.0, 400.0, 60.0, 70.0, 2).count()
+
+
 @pytest.mark.parametrize("block", [1, 7, 1000])
 def test_precursors_against_brute_force(spark, block):
     pick = random.Random(5)

@@ -26,64 +26,44 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "k string, at int, v double").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 50, 10_000])
-def test_ordinal(df, hot_rows):
-    split = F.floor(F.col("at") / F.lit(21))
-    numbered = grouping.ordinal(df.repartition("k"), ["k"], ["at"], "n", split, hot_rows).collect()
+@pytest.mark.parametrize("piece", [3, 21, 10_000])
+def test_ordinal(df, piece):
+    numbered = grouping.ordinal(df.repartition("k"), ["k"], ["at"], "n", F.floor(F.col("at") / F.lit(piece))).collect()
     assert len(numbered) == 840
     assert all(r.n == r["at"] // 3 for r in numbered)
 
 
-@pytest.mark.parametrize("hot_rows", [50, 10_000])
-def test_pack(df, rows, hot_rows):
-    packed = grouping.pack(df.filter("k is not null"), ["k"], ["at"], ["v"], F.floor(F.col("at") / 21), hot_rows)
-    got = {}
-    for r in packed.orderBy("k", "chunk_index").collect():
-        got.setdefault(r.k, []).append([(i["at"], i["v"]) for i in r["items"]])
-    assert len(got["hot"]) == (43 if hot_rows == 50 else 1)
-    for k, chunks in got.items():
-        want = sorted((a, v) for key, a, v in rows if key == k)
-        assert [x for c in chunks for x in c] == want
-    assert all(len(c) == 1 for k, c in got.items() if k != "hot")
+def test_pack(df, rows):
+    packed = grouping.pack(df.filter("k is not null"), ["k"], ["at"], ["v"]).collect()
+    got = {r.k: [(i["at"], i["v"]) for i in r["items"]] for r in packed}
+    assert len(got) == len(packed)
+    for k, items in got.items():
+        assert items == sorted((a, v) for key, a, v in rows if key == k)
 
 
-@pytest.mark.parametrize("hot_rows", [50, 10_000])
-def test_pack_under(spark, df, rows, hot_rows):
+def test_pack_under(spark, df, rows):
     heads = spark.createDataFrame([("hot", "H"), ("k1", "one"), ("empty", "E")], "k string, name string")
-    packed = grouping.pack_under(heads, df, ["k"], ["at"], ["v"], F.floor(F.col("at") / 21), hot_rows)
-    got = {}
-    for r in packed.orderBy("k", "chunk_index").collect():
-        got.setdefault((r.k, r.name), []).extend((i["at"], i["v"]) for i in r["items"])
-    assert set(got) == {("hot", "H"), ("k1", "one"), ("empty", "E")}
+    packed = grouping.pack_under(heads, df, ["k"], ["at"], ["v"]).collect()
+    got = {(r.k, r.name): [(i["at"], i["v"]) for i in r["items"]] for r in packed}
+    assert len(packed) == 3 and set(got) == {("hot", "H"), ("k1", "one"), ("empty", "E")}
     for (k, _), items in got.items():
         assert items == sorted((a, v) for key, a, v in rows if key == k)
 
 
-def test_list_of_hot_groups_is_bounded(df, monkeypatch):
-    monkeypatch.setattr(grouping, "MAX_HOT_KEYS", 2)
-    assert grouping.hot_groups(df, ["k"], 1).count() == 2
-    split = F.floor(F.col("at") / F.lit(21))
-    numbered = grouping.ordinal(df, ["k"], ["at"], "n", split, 1).collect()
-    assert all(r.n == r["at"] // 3 for r in numbered)
-
-
-@pytest.mark.parametrize("hot_rows", [4, 10_000])
-def test_layout_round_trip(spark, hot_rows):
+def test_layout_round_trip(spark):
     wide = spark.createDataFrame(
         [
             ("r", "a", 1, 1.5, None, [float(i) for i in range(25)], [float(i * 2) for i in range(25)]),
             ("r", "b", 2, 2.5, 0.5, [5.0, 4.0], [1.0, 2.0, 3.0]),
             ("r", "c", 1, 3.5, None, [], []),
+            ("r", "d", 1, 4.5, None, None, [1.0, 2.0, 3.0]),
         ],
         "run_id string, id string, ms_level byte, rt float, ion_mobility float, mz_array array<double>, intensity_array array<float>",
     )
     long = layout.spectra_to_long(wide)
     assert long.count() == 27
-    back = layout.pack_spectra(long, hot_rows=hot_rows)
-    assert back.filter("id = 'a'").count() == (7 if hot_rows == 4 else 1)
-    again = layout.spectra_to_long(back)
-    key = ["id", "chunk_index", "peak_index"]
-    order = lambda d: [(r.id, r.mz, r.intensity) for r in d.orderBy(*key).collect()]
-    assert order(again) == order(long)
-    # Packing what was cut before keeps the cuts.
-    assert order(layout.spectra_to_long(layout.pack_spectra(again, hot_rows=hot_rows))) == order(long)
+    assert {r.id: r.n_peaks for r in layout.with_mz_range(wide).collect()} == {"a": 25, "b": 2, "c": 0, "d": 0}
+    back = layout.pack_spectra(long)
+    assert sorted(r.id for r in back.collect()) == ["a", "b"]
+    order = lambda d: [(r.id, r.mz, r.intensity) for r in d.orderBy("id", "peak_index").collect()]
+    assert order(layout.spectra_to_long(back)) == order(long)

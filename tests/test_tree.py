@@ -111,14 +111,28 @@ def test_keys(spark):
     }
 
 
-@pytest.mark.parametrize(("rows", "level"), [(1_000_000, 5), (2, 1), (2, 2), (3, 3)])
-def test_rebuild(spark, rows, level):
-    built = tree.rebuild(flat_frame(spark, KEYS), None, rows, level).orderBy("doc_id", "part").collect()
-    got = {}
-    for r in built:
-        got[r.doc_id] = got.get(r.doc_id, "") + r.xml
-    assert got == REBUILT
-    assert (len(built) == len(got)) == (rows > 3 or level == 1)
+def test_rebuild(spark):
+    built = tree.rebuild(flat_frame(spark, KEYS), None).collect()
+    assert {r.doc_id: r.xml for r in built} == REBUILT and len(built) == len(REBUILT)
+
+
+def test_a_large_document_is_one_row(spark):
+    flat = flat_frame(spark, [("big", f"r:a[{i}]:b[0]:@x", str(i)) for i in range(3000)] + [("small", "r:@x", "1")])
+    built = {r.doc_id: r.xml for r in tree.rebuild(flat, None).collect()}
+    assert built["big"] == "<r>" + "".join(f'<a><b x="{i}" /></a>' for i in range(3000)) + "</r>" and len(built) == 2
+
+
+def test_repeated_keys_keep_one_value(spark):
+    flat = flat_frame(spark, [("d", "r:@x", "1"), ("d", "r:@x", "2"), ("d", "r:#text", "b"), ("d", "r:#text", "a")])
+    assert tree.rebuild(flat, None).first().xml == '<r x="2">b</r>'
+    assert json.loads(tree.to_json_objects(flat).first().json) == {"r:#text": "b", "r:@x": "2"}
+
+
+def test_long_indexes_are_placed(spark):
+    keyed = tree.parse_keys(flat_frame(spark, [("d", f"r:a[{i}]:@x", "v") for i in (1234567890, 999999999, 7, "0007")]))
+    assert keyed.filter("malformed").count() == 0
+    named = tree.elements(keyed).filter("tag = 'a'").orderBy("key").collect()
+    assert [r.idx for r in named] == [7, 999999999, 1234567890]
 
 
 def test_many_siblings_keep_numeric_order(spark):
@@ -184,34 +198,29 @@ def test_compare(spark):
 def test_write_documents(spark, tmp_path, monkeypatch):
     flat = flat_frame(spark, KEYS)
     tree.write_documents(flat, str(tmp_path / "out"), None)
-    found = {}
-    for folder in sorted((tmp_path / "out").glob("doc_id=*")):
-        found[folder.name[7:]] = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+    found = {r.doc_id: r.xml for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {k: v.split("\n", 1)[1].rstrip() for k, v in found.items()} == REBUILT
     assert all(v.startswith(tree.XML_DECLARATION) for v in found.values())
 
 
-@pytest.mark.parametrize("hot_rows", [3, 1000])
-def test_json(spark, tmp_path, hot_rows):
+def test_json(spark, tmp_path):
     rows = [("a", f"k{i:02}", f"v\u00e9{i}") for i in range(10)] + [("b", "x", '"q"')]
-    objects = tree.to_json_objects(flat_frame(spark, rows), hot_rows).collect()
-    got = {}
-    for r in objects:
-        assert r.json.isascii() and len(json.loads(r.json)) == r.n_items
-        got.setdefault(r.doc_id, {}).update(json.loads(r.json))
-    assert got == {"a": {f"k{i:02}": f"v\u00e9{i}" for i in range(10)}, "b": {"x": '"q"'}}
+    objects = tree.to_json_objects(flat_frame(spark, rows)).collect()
+    assert all(r.json.isascii() and len(json.loads(r.json)) == r.n_items for r in objects)
+    got = {r.doc_id: json.loads(r.json) for r in objects}
+    assert got == {"a": {f"k{i:02}": f"v\u00e9{i}" for i in range(10)}, "b": {"x": '"q"'}} and len(objects) == 2
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.json").write_text('{\n "p": "1",\n "q": "\\u00e9"\n}')
     assert sorted((r.path, r.value) for r in tree.read_flat_json(spark, str(tmp_path / "in")).collect()) == [
         ("p", "1"), ("q", "\u00e9"),
     ]
     tree.write_flat_json(flat_frame(spark, rows), str(tmp_path / "out"))
-    assert len(list((tmp_path / "out").glob("doc_id=*"))) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_hot_documents_are_found_by_count(spark):
-    flat = flat_frame(spark, [("big", f"r:a[{i}]:@x", "1") for i in range(40)] + [("small", "r:@x", "1")])
-    assert [r.doc_id for r in grouping.hot_groups(flat, ["doc_id"], 10).collect()] == ["big"]
-    parts = tree.rebuild(flat, None, 10, 2).orderBy("doc_id", "part").collect()
-    assert "".join(r.xml for r in parts if r.doc_id == "big") == "<r>" + '<a x="1" />' * 40 + "</r>"
-    assert len(parts) == 44
+def test_json_quarantine(spark):
+    docs = spark.createDataFrame([("a", '{"x": "1"}'), ("b", '{"x": "1"'), ("c", None), ("d", "")], "doc_id string, json string")
+    assert {r.doc_id: r.error for r in tree.json_quarantine(docs).collect()} == {
+        "b": "not a JSON object", "c": "no text", "d": "not a JSON object",
+    }
+    assert {r.doc_id for r in tree.from_json_objects(docs).collect()} == {"a"}
