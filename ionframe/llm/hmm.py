@@ -22,7 +22,7 @@ from ionframe.llm import common
 STATES = 8
 #: Word classes; the class after the last is the end of a text.
 CLASSES = 1 << 14
-ROUNDS = 4
+ROUNDS = 5
 FOLDS = 10
 #: Pseudo-count of each word and of the unknown one, as in the base score.
 ADDED = 0.1
@@ -262,15 +262,14 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stat
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.empty(0, np.int64)
-        for batch in batches:
+        block, counts = None, np.empty(0, np.int64)
+        for batch in (part for whole_batch in batches for part in common.sorted_groups([whole_batch], ("block",))):
+            if batch.column("block")[0].as_py() != block:
+                block, counts = batch.column("block")[0].as_py(), np.empty(0, np.int64)
             known = batch.filter(batch.column("doc_ids").is_null())
             if known.num_rows:
                 place, count = known.column("place").to_numpy(), known.column("count").to_numpy()
-                if place.min() == 0:
-                    counts = np.empty(0, np.int64)
-                if len(counts) <= place.max():
-                    counts = np.concatenate([counts, np.zeros(place.max() + 1 - len(counts), np.int64)])
+                counts = np.concatenate([counts, np.zeros(max(0, place.max() + 1 - len(counts)), np.int64)])
                 counts[place] = count
             full = batch.filter(batch.column("doc_ids").is_valid())
             for row in range(full.num_rows):
