@@ -171,9 +171,10 @@ def test_tree_covers_and_separates():
 
 
 def test_scores_beyond_doubles_are_exact():
-    rows = np.array([[2**40 + 1, 3], [2**40, 5]], np.int64)
+    rows = np.array([[2**31 + 1, 3], [2**31 - 1, 5]], np.int64)
     best = covertree.Search(rows, np.array([1, 2]), 2).run(rows, np.array([7, 1]), np.full(2, -np.inf))
-    assert best[0][0].tolist()[0] == (2**40 + 1) ** 2 + 9 if (2**40 + 1) ** 2 + 9 < 2**63 else True
+    assert best[0][0].tolist() == [(2**31 + 1) ** 2 + 9, (2**31 + 1) * (2**31 - 1) + 15] and best[0][1].tolist() == [1, 2]
+    assert best[1][0].tolist() == [(2**31 - 1) ** 2 + 25]
 
 
 def linked_by_force(spark, rows):

@@ -235,6 +235,7 @@ def test_near_duplicates_equal_all_pairs(spark, docs):
 
 def test_a_large_group_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SETS", 8)
     texts = [*near_copies(70), *[(i, prose(i, 40) + " " + OTHER) for i in range(40)]]
     got = minhash.near_duplicates(frame(spark, texts))
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(near_components(texts), key=repr)
