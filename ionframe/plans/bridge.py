@@ -8,6 +8,7 @@ Parquet scan; they are slightly wider than the float test that follows, never ti
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionframe.functions import codec
 from ionframe.functions import columns as C
 from ionframe.operators import grouping, layout
 
@@ -153,3 +154,137 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("items.child", "\n"), F.lit("</run>"),
     )
     return packed.select(F.col("scan_index").cast("string").alias("doc_id"), xml.alias("xml"))
+
+
+# --- the same tables as mzML text ------------------------------------------------------------------------
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _cv(accession, name, value="", unit: Column | str | None = None) -> Column:
+    text = _text('<cvParam accession="', accession, '" name="', name, '" value="', value, '"')
+    return _text(text, ' unitAccession="', unit, '"/>') if unit is not None else _text(text, "/>")
+
+
+def _window(mz: Column, lower, upper) -> Column:
+    return _text(
+        "<isolationWindow>", _cv("MS:1000827", "isolation window target m/z", mz), _cv("MS:1000828", "lower", lower),
+        _cv("MS:1000829", "upper", upper), "</isolationWindow>",
+    )
+
+
+def _binary(values: Column, role: str, name: str, bits: Column, zipped: Column) -> Column:
+    return _text(
+        "<binaryDataArray>",
+        F.when(bits == 64, _cv("MS:1000523", "64-bit float")).otherwise(_cv("MS:1000521", "32-bit float")),
+        F.when(zipped, _cv("MS:1000574", "zlib compression")).otherwise(_cv("MS:1000576", "no compression")),
+        _cv(role, name), "<binary>", codec.encode_array(values, bits, zipped), "</binary></binaryDataArray>",
+    )
+
+
+def spectrum_xml(spark: SparkSession, sf_dir: str, arrays: bool = True) -> DataFrame:
+    """One spectrum element per order as ``(run_id, scan_index, xml)``. Levels above 1 have a precursor, level 3 a product;
+    the level of every fifth spectrum is in a parameter group; odd ones give their time in minutes."""
+    key, cust = F.col("scan_index"), F.col("o_custkey")
+    heads = spectra(spark, sf_dir, extra=(F.col("o_custkey"), F.col("o_orderpriority")))
+    if arrays:
+        heads = grouping.pack_under(heads, peaks(spark, sf_dir), ("scan_index",), PEAK_ORDER, ("mz", "intensity"))
+        bits, zipped = F.when(key % 2 == 0, 64).otherwise(32), key % 3 != 0
+        lists = _text(
+            "<binaryDataArrayList>", _binary(F.col("items.mz"), "MS:1000514", "m/z array", F.lit(64), zipped),
+            _binary(F.col("items.intensity"), "MS:1000515", "intensity array", bits, zipped), "</binaryDataArrayList>",
+        )
+        length = F.size("items")
+    else:
+        lists, length = F.lit(""), F.lit(0)
+    level = F.when(key % 5 == 0, _text('<referenceableParamGroupRef ref="level', F.col("ms_level"), '"/>')).otherwise(
+        _cv("MS:1000511", "ms level", F.col("ms_level"))
+    )
+    unit = F.when(key % 2 == 1, "UO:0000031").otherwise("UO:0000010")
+    scan = _text(
+        "<scanList><scan>", _cv("MS:1000016", "scan start time", F.col("rt").cast("int"), unit),
+        _cv("MS:1002476", "ion mobility drift time", (key % 8) * F.lit(0.25)), '<userParam name="preset" value="p', key % 4,
+        '"/></scan></scanList>',
+    )
+    precursor = _text(
+        "<precursorList><precursor", F.when(key % 7 == 0, _text(' spectrumRef="scan=', key - 1, '"')).otherwise(""), ">",
+        _window(cust + 0.25, "0.5", "0.75"), "<selectedIonList><selectedIon>",
+        F.when(key % 11 != 0, _cv("MS:1000744", "selected ion m/z", cust + 0.5)).otherwise(""),
+        _cv("MS:1000041", "charge state", cust % 3), _cv("MS:1000042", "peak intensity", key % 100),
+        "</selectedIon></selectedIonList><activation>", _cv("MS:1000133", "collision-induced dissociation"),
+        _cv("MS:1000045", "collision energy", cust % 40), "</activation></precursor></precursorList>",
+    )
+    product = _text("<productList><product>", _window(cust + 0.125, "1", "2"), "</product></productList>")
+    xml = _text(
+        '<spectrum index="', key, '" id="', F.col("id"), '" defaultArrayLength="', length, '">', level,
+        _cv("MS:1000000", "priority", F.col("o_orderpriority")), scan,
+        F.when(F.col("ms_level") > 1, precursor).otherwise(""), F.when(F.col("ms_level") == 3, product).otherwise(""),
+        lists, "</spectrum>",
+    )
+    return heads.select("run_id", "scan_index", xml.alias("xml"))
+
+
+def chromatogram_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chromatogram element per (event type, user) as ``(run_id, xml)``; those of users divisible by 3 have no product."""
+    points = chromatogram_points(spark, sf_dir).withColumn("user_id", F.substring("run_id", 6, 20).cast("bigint"))
+    packed = grouping.pack(points, ("run_id", "id", "user_id"), POINT_ORDER, ("time", "intensity"))
+    user = F.col("user_id")
+    product = F.when(user % 3 != 0, _text("<product>", _window(user + 0.5, "0", "0"), "</product>")).otherwise("")
+    xml = _text(
+        '<chromatogram index="', user, '" id="', F.col("id"), '" defaultArrayLength="', F.size("items"), '">',
+        _cv("MS:1000235", "total ion current chromatogram"), "<precursor>", _window(user + 0.25, "0", "0"), "</precursor>",
+        product, "<binaryDataArrayList>",
+        _binary(F.col("items.time"), "MS:1000595", "time array", F.lit(64), F.lit(True)),
+        _binary(F.col("items.intensity"), "MS:1000515", "intensity array", F.lit(32), F.lit(True)),
+        "</binaryDataArrayList></chromatogram>",
+    )
+    return packed.select("run_id", xml.alias("xml"))
+
+
+def header_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run header per customer as ``(run_id, xml)``: two instrument configurations, the instrument's model in a
+    parameter group, the terms chosen by the customer's key."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    even = key % 2 == 0
+    groups = _text(
+        "<referenceableParamGroupList>", *[
+            _text(f'<referenceableParamGroup id="level{k}">', _cv("MS:1000511", "ms level", str(k)), "</referenceableParamGroup>")
+            for k in (1, 2, 3)
+        ],
+        '<referenceableParamGroup id="model">', _cv("MS:1001911", _text("Model ", nation)),
+        "</referenceableParamGroup></referenceableParamGroupList>",
+    )
+    files = _text(
+        "<fileDescription><fileContent/><sourceFileList>",
+        _text('<sourceFile id="F1" name="', F.col("c_name"), '.raw" location="file:///', F.col("c_mktsegment"), '">'),
+        _cv("MS:1000768", "Thermo nativeID format"), _cv("MS:1000563", "Thermo RAW format"),
+        F.when(even, _cv("MS:1000569", "SHA-1", key)).otherwise(_cv("MS:1000568", "MD5", key)),
+        "</sourceFile></sourceFileList></fileDescription>",
+    )
+    software = _text(
+        '<softwareList><software id="S1" version="', nation, '.1">', _cv("MS:1000532", "Xcalibur"),
+        '</software><software id="S2" version="9">', _cv("MS:1000615", "other"), "</software></softwareList>",
+    )
+    parts = _text(
+        '<componentList><source order="1">',
+        F.when(even, _cv("MS:1000073", "electrospray ionization")).otherwise(_cv("MS:1000075", "maldi")),
+        F.when(key % 3 == 0, _cv("MS:1000130", "positive scan")).otherwise(""), _cv("MS:1000485", "nanospray inlet"),
+        '</source><analyzer order="2">',
+        F.when(even, _cv("MS:1000484", "orbitrap")).otherwise(_cv("MS:1000084", "time-of-flight")),
+        _cv("MS:1000011", "mass resolution", nation * 1000), "</analyzer>",
+        F.when(key % 4 == 0, _text('<analyzer order="3">', _cv("MS:1000081", "quadrupole"), "</analyzer>")).otherwise(""),
+        '<detector order="4">', _cv("MS:1000624", "inductive detector"), _cv("MS:1000029", "sampling frequency", nation),
+        "</detector></componentList>",
+    )
+    configurations = _text(
+        '<instrumentConfigurationList><instrumentConfiguration id="IC0"/><instrumentConfiguration id="IC1">',
+        '<referenceableParamGroupRef ref="model"/>', F.when(even, _cv("MS:1000032", "customization", "none")).otherwise(""),
+        parts, '<softwareRef ref="S1"/></instrumentConfiguration></instrumentConfigurationList>',
+    )
+    xml = _text(
+        "<mzML>", files, groups, software, configurations,
+        '<run id="r" defaultInstrumentConfigurationRef="IC1"><userParam name="segment" value="', F.col("c_mktsegment"), '"/></run></mzML>',
+    )
+    return table(spark, sf_dir, "customer").select(_text("run=", key).alias("run_id"), xml.alias("xml"))

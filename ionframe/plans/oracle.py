@@ -354,4 +354,71 @@ SELECT run_id, c_name AS instrument, c_mktsegment AS file,
        CAST(first_charge AS INTEGER) AS first_charge, CAST(nullif(first_charge, 0) AS INTEGER) AS first_ion_charge,
        second_precursor_rt, first_chromatogram
 FROM runs FULL JOIN per_run USING (run_id) FULL JOIN chroms USING (run_id)""",
+    "mzml_spectra": f"""
+WITH {PEAKS},
+packed AS (
+  SELECT scan_index, count(*) AS n, min(mz64) AS lo, max(mz64) AS hi,
+         CAST(sum(CAST(round(mz64 * 100) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS mz_weighted,
+         CAST(sum(CAST(round(CAST(intensity AS DOUBLE)) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS intensity_weighted
+  FROM peaks GROUP BY scan_index)
+SELECT run_id, id, s.scan_index, ms_level,
+       CAST(CAST(rt AS DOUBLE) * CASE WHEN s.scan_index % 2 = 1 THEN 60 ELSE 1 END AS DOUBLE) AS rt,
+       CAST(ion_mobility AS DOUBLE) AS ion_mobility, CAST(coalesce(n, 0) AS INTEGER) AS n_peaks, lo AS mz_min, hi AS mz_max,
+       coalesce(mz_weighted, 0) AS mz_weighted, coalesce(intensity_weighted, 0) AS intensity_weighted
+FROM spectra s LEFT JOIN packed p ON p.scan_index = s.scan_index""",
+    "mzml_spectrum_meta": f"""
+WITH {SPECTRA},
+full_ AS (
+  SELECT s.*, o_custkey AS cust, scan_index AS k, o_orderpriority AS priority, ms_level > 1 AS has_precursor, ms_level = 3 AS has_product
+  FROM spectra s JOIN orders ON o_orderkey = scan_index)
+SELECT run_id, id, CAST(rt AS DOUBLE) * CASE WHEN k % 2 = 1 THEN 60 ELSE 1 END AS rt,
+       '{{"preset":"p' || (k % 4) || '","priority":"' || priority || '"}}' AS meta_values,
+       CASE WHEN has_precursor AND k % 7 = 0 THEN 'scan=' || (k - 1) END AS precursor_spectrum_ref,
+       CASE WHEN has_precursor THEN cust + CASE WHEN k % 11 <> 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END AS precursor_mz,
+       CASE WHEN has_precursor THEN CAST(cust % 3 AS INTEGER) END AS precursor_charge,
+       CASE WHEN has_precursor THEN CAST(k % 100 AS DOUBLE) END AS precursor_intensity,
+       CASE WHEN has_precursor THEN 0.5::DOUBLE END AS precursor_isolation_window_lower_offset,
+       CASE WHEN has_precursor THEN 0.75::DOUBLE END AS precursor_isolation_window_upper_offset,
+       CASE WHEN has_precursor THEN CAST(cust % 40 AS DOUBLE) END AS precursor_activation_energy,
+       CASE WHEN has_precursor THEN 'collision-induced dissociation' END AS activation_methods,
+       CASE WHEN has_product THEN cust + 0.125::DOUBLE END AS product_mz,
+       CASE WHEN has_product THEN 1.0::DOUBLE END AS product_isolation_window_lower_offset,
+       CASE WHEN has_product THEN 2.0::DOUBLE END AS product_isolation_window_upper_offset
+FROM full_""",
+    "mzml_chromatograms": f"""
+WITH {POINTS}
+SELECT run_id, id, CAST(substr(run_id, 6) AS BIGINT) AS chromatogram_index, 'chromatogram' AS data_type,
+       CAST(precursor_mz AS DOUBLE) AS precursor_mz,
+       CASE WHEN CAST(substr(run_id, 6) AS BIGINT) % 3 <> 0 THEN CAST(product_mz AS DOUBLE) END AS product_mz,
+       CAST(count(*) AS INTEGER) AS n_points,
+       CAST(sum(CAST(round(time * 1000000) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS time_weighted,
+       CAST(first(intensity ORDER BY peak_index) AS DOUBLE) AS intensity_first,
+       CAST(last(intensity ORDER BY peak_index) AS DOUBLE) AS intensity_last
+FROM points GROUP BY run_id, id, precursor_mz, product_mz""",
+    "mzml_chromatogram_meta": """
+SELECT DISTINCT 'user=' || user_id AS run_id, CAST(user_id AS BIGINT) AS chromatogram_index, event_type || '_' || user_id AS native_id,
+       'total ion current chromatogram' AS terms, user_id + 0.25::DOUBLE AS precursor_mz,
+       CASE WHEN user_id % 3 <> 0 THEN user_id + 0.5::DOUBLE END AS product_mz
+FROM events""",
+    "mzml_headers": """
+SELECT 'run=' || c_custkey AS run_id, 'Model ' || c_nationkey AS instrument,
+       CASE WHEN c_custkey % 2 = 0 THEN 'none' ELSE '' END AS customizations, 'UNKNOWN' AS ion_optics,
+       'Xcalibur' AS software, c_nationkey || '.1' AS version, 1 AS source_order,
+       CASE WHEN c_custkey % 3 = 0 THEN 'POSITIVE' ELSE 'UNKNOWN' END AS polarity,
+       CASE WHEN c_custkey % 2 = 0 THEN 'ESI' ELSE 'MALDI' END AS ionization_method, 'NANOSPRAY' AS inlet_type,
+       CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS n_analyzers,
+       CASE WHEN c_custkey % 2 = 0 THEN 'ORBITRAP' ELSE 'TOF' END || CASE WHEN c_custkey % 4 = 0 THEN '|QUADRUPOLE' ELSE '' END AS analyzers,
+       CAST(c_nationkey * 1000 AS DOUBLE) AS resolution, 'UNKNOWN' AS scan_law, 'inductive detector' AS detector,
+       CAST(c_nationkey AS DOUBLE) AS sampling, 'UNKNOWN' AS acquisition_mode, c_name || '.raw' AS name_of_file,
+       'file:///' || c_mktsegment AS path_to_file, 'Thermo RAW format' AS file_type, CAST(c_custkey AS VARCHAR) AS checksum,
+       CASE WHEN c_custkey % 2 = 0 THEN 'SHA1' ELSE 'MD5' END AS checksum_type, 'Thermo nativeID format' AS native_id_type,
+       'MS:1000768' AS native_id_type_accession, '{"segment":"' || c_mktsegment || '"}' AS experiment_meta
+FROM customer""",
+    "mzml_quarantine": f"""
+WITH {SPECTRA}
+SELECT run_id, 'not well-formed' AS error, count(*) FILTER (scan_index % 10 = 0) AS n_broken,
+       count(*) FILTER (scan_index % 10 <> 0) AS n_read
+FROM spectra GROUP BY run_id HAVING count(*) FILTER (scan_index % 10 = 0) > 0""",
+    "json_quarantine": """
+SELECT DISTINCT 'user=' || user_id AS doc_id, 'not a JSON object' AS error FROM events WHERE user_id % 3 = 0""",
 }

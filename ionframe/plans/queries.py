@@ -13,7 +13,7 @@ from ionframe.functions import columns as C
 from ionframe.operators import extract, grouping, layout, metadata, precursor, tree
 from ionframe.plans import bridge
 from ionframe.session import scratch_path, staged
-from ionframe.sources import tables
+from ionframe.sources import mzml, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,13 +574,16 @@ def flat_json_explode(spark, sf_dir):
 
 @query
 def flat_to_json(spark, sf_dir):
-    """One JSON object per user, from the event type and value of each of the user's events."""
-    pairs = bridge.table(spark, sf_dir, "events").select(
+    """One JSON object per user, from the event type of each of the user's events."""
+    return tree.to_json_objects(_event_pairs(spark, sf_dir)).select("doc_id", "n_items", "json")
+
+
+def _event_pairs(spark, sf_dir) -> DataFrame:
+    return bridge.table(spark, sf_dir, "events").select(
         F.concat(F.lit("user="), "user_id").alias("doc_id"),
         F.concat(F.lit("event["), F.format_string("%010d", "event_id"), F.lit("]:@type")).alias("path"),
         F.concat("event_type", F.lit("-é")).alias("value"),
     )
-    return tree.to_json_objects(pairs).select("doc_id", "n_items", "json")
 
 
 # --- metadata -------------------------------------------------------------------------------------------
@@ -671,3 +674,108 @@ def run_metadata_doc(spark, sf_dir):
         field("$.spectra[1].precursors[0].rt").cast("double").alias("second_precursor_rt"),
         field("$.chromatograms[0].native_id").alias("first_chromatogram"),
     )
+
+
+# --- mzML text ------------------------------------------------------------------------------------------
+
+
+def _groups(spark, sf_dir) -> DataFrame:
+    return mzml.param_groups(mzml.headers_from(bridge.header_xml(spark, sf_dir)))
+
+
+def _weighted(values: str, scale: int):
+    """A sum of scaled values times their place, which no other order of them has."""
+    scaled = F.transform(values, lambda x, i: F.round(x.cast("double") * scale).cast("bigint") * (i + 1))
+    return F.aggregate(scaled, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+@query
+def mzml_spectra(spark, sf_dir):
+    """Spectrum elements parsed and decoded to wide rows; some levels come from the run's parameter groups."""
+    elements = mzml.elements_from(bridge.spectrum_xml(spark, sf_dir), mzml.SPECTRUM_XML, groups=_groups(spark, sf_dir))
+    return mzml.spectra_of(elements).select(
+        "run_id", "id", "scan_index", "ms_level", *_double("rt", "ion_mobility"), "n_peaks", "mz_min", "mz_max",
+        _weighted("mz_array", 100).alias("mz_weighted"), _weighted("intensity_array", 1).alias("intensity_weighted"),
+    )
+
+
+@query
+def mzml_spectrum_meta(spark, sf_dir):
+    """Spectrum headers with every field of their precursor and product."""
+    texts = bridge.spectrum_xml(spark, sf_dir, arrays=False)
+    elements = mzml.elements_from(texts, mzml.SPECTRUM_XML, groups=_groups(spark, sf_dir))
+    precursor, product = F.get("precursors", F.lit(0)), F.get("products", F.lit(0))
+    fields = (
+        "spectrum_ref", "mz", "charge", "intensity", "isolation_window_lower_offset", "isolation_window_upper_offset", "activation_energy",
+    )
+    return mzml.spectrum_meta_of(elements).select(
+        "run_id", "id", "rt",
+        F.to_json(F.map_from_entries(F.array_sort(F.map_entries("meta_values")))).alias("meta_values"),
+        *[precursor[f].alias(f"precursor_{f}") for f in fields],
+        F.array_join(precursor["activation_methods"], "|").alias("activation_methods"),
+        *[product[f].alias(f"product_{f}") for f in ("mz", "isolation_window_lower_offset", "isolation_window_upper_offset")],
+    )
+
+
+@query
+def mzml_chromatograms(spark, sf_dir):
+    elements = mzml.elements_from(bridge.chromatogram_xml(spark, sf_dir), mzml.CHROMATOGRAM_XML)
+    return mzml.chromatograms_of(elements).select(
+        "run_id", "id", "chromatogram_index", "data_type", *_double("precursor_mz", "product_mz"), F.size("time_array").alias("n_points"),
+        _weighted("time_array", 1_000_000).alias("time_weighted"),
+        F.element_at("intensity_array", 1).cast("double").alias("intensity_first"),
+        F.element_at("intensity_array", -1).cast("double").alias("intensity_last"),
+    )
+
+
+@query
+def mzml_chromatogram_meta(spark, sf_dir):
+    elements = mzml.elements_from(bridge.chromatogram_xml(spark, sf_dir), mzml.CHROMATOGRAM_XML)
+    records = metadata.chromatogram_records(mzml.chromatogram_meta_of(elements))
+    return records.select(
+        "run_id", "chromatogram_index", "record.native_id", F.array_join(F.map_keys("record.meta_values"), "|").alias("terms"),
+        F.col("record.precursor.mz").alias("precursor_mz"), F.col("record.product.mz").alias("product_mz"),
+    )
+
+
+@query
+def mzml_headers(spark, sf_dir):
+    """Run headers to instrument, software, components, source files and run parameters."""
+    runs = metadata.run_records(mzml.headers_from(bridge.header_xml(spark, sf_dir)))
+    i, f = F.col("instrument"), F.get("source_files", F.lit(0))
+    source, analyzer, detector = (F.get(i[n], F.lit(0)) for n in ("ion_sources", "mass_analyzers", "ion_detectors"))
+    return runs.select(
+        "run_id", i["name"].alias("instrument"), i["customizations"].alias("customizations"), i["ion_optics"].alias("ion_optics"),
+        i["software"]["name"].alias("software"), i["software"]["version"].alias("version"),
+        source["order"].alias("source_order"), source["polarity"].alias("polarity"),
+        source["ionization_method"].alias("ionization_method"), source["inlet_type"].alias("inlet_type"),
+        F.size(i["mass_analyzers"]).alias("n_analyzers"),
+        F.array_join(i["mass_analyzers"]["type"], "|").alias("analyzers"), analyzer["resolution"].alias("resolution"),
+        analyzer["scan_law"].alias("scan_law"), detector["type"].alias("detector"),
+        detector["adc_sampling_frequency"].alias("sampling"), detector["acquisition_mode"].alias("acquisition_mode"),
+        *[f[n].alias(n) for n in (
+            "name_of_file", "path_to_file", "file_type", "checksum", "checksum_type", "native_id_type", "native_id_type_accession",
+        )],
+        F.to_json("experiment_meta").alias("experiment_meta"),
+    )
+
+
+@query
+def mzml_quarantine(spark, sf_dir):
+    """Spectrum elements cut short, by run: they are named, not read as empty spectra."""
+    texts = bridge.spectrum_xml(spark, sf_dir, arrays=False)
+    broken = F.col("scan_index") % 10 == 0
+    cut = texts.withColumn("xml", F.when(broken, F.expr("substring(xml, 1, length(xml) - 5)")).otherwise(F.col("xml")))
+    elements = mzml.elements_from(cut, mzml.SPECTRUM_XML)
+    bad = mzml.quarantine(elements).groupBy("run_id", "error").agg(F.count(F.lit(1)).alias("n_broken"))
+    good = mzml.spectrum_meta_of(elements).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_read"))
+    return bad.join(good, "run_id", "left").select("run_id", "error", "n_broken", F.coalesce("n_read", F.lit(0)).cast("bigint").alias("n_read"))
+
+
+@query
+def json_quarantine(spark, sf_dir):
+    """Flat JSON documents, some cut short: those that are no object."""
+    objects = tree.to_json_objects(_event_pairs(spark, sf_dir))
+    cut = F.substring(F.col("doc_id"), 6, 20).cast("bigint") % 3 == 0
+    docs = objects.select("doc_id", F.when(cut, F.expr("substring(json, 1, length(json) - 1)")).otherwise(F.col("json")).alias("json"))
+    return tree.json_quarantine(docs)
