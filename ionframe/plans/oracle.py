@@ -421,4 +421,15 @@ SELECT run_id, 'not well-formed' AS error, count(*) FILTER (scan_index % 10 = 0)
 FROM spectra GROUP BY run_id HAVING count(*) FILTER (scan_index % 10 = 0) > 0""",
     "json_quarantine": """
 SELECT DISTINCT 'user=' || user_id AS doc_id, 'not a JSON object' AS error FROM events WHERE user_id % 3 = 0""",
+    "metadata_attached": """
+WITH e AS (
+  SELECT 'user=' || user_id AS run_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n_chromatograms, count(*) AS n_points,
+         min(user_id) + 0.25::DOUBLE AS precursor_mz
+  FROM events GROUP BY user_id),
+h AS (
+  SELECT 'user=' || c_custkey AS run_id, 'Model ' || c_nationkey AS instrument, CAST(c_custkey AS VARCHAR) AS checksum
+  FROM customer)
+SELECT run_id, instrument, checksum, 0 AS n_spectra, coalesce(n_chromatograms, 0) AS n_chromatograms, precursor_mz,
+       coalesce(n_points, 0) AS n_points
+FROM h FULL JOIN e USING (run_id)""",
 }

@@ -779,3 +779,26 @@ def json_quarantine(spark, sf_dir):
     cut = F.substring(F.col("doc_id"), 6, 20).cast("bigint") % 3 == 0
     docs = objects.select("doc_id", F.when(cut, F.expr("substring(json, 1, length(json) - 1)")).otherwise(F.col("json")).alias("json"))
     return tree.json_quarantine(docs)
+
+
+@query
+def metadata_attached(spark, sf_dir):
+    """The long layout of the chromatograms written with the runs' documents, made from parsed headers and chromatograms, and
+    both read back together."""
+    path = scratch_path(spark, "attached")
+    elements = mzml.elements_from(bridge.chromatogram_xml(spark, sf_dir), mzml.CHROMATOGRAM_XML)
+    headers = bridge.header_xml(spark, sf_dir).withColumn("run_id", F.replace("run_id", F.lit("run="), F.lit("user=")))
+    nothing = mzml.elements_from(headers.select("run_id", F.lit(None).cast("string").alias("xml")).limit(0), mzml.SPECTRUM_XML)
+    documents = metadata.documents_of(
+        mzml.headers_from(headers), mzml.spectrum_meta_of(nothing), mzml.chromatogram_meta_of(elements)
+    )
+    tables.write_long(layout.chromatograms_to_long(mzml.chromatograms_of(elements)), path, documents=documents)
+    points = tables.read_long(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_points"))
+    field = lambda name: F.get_json_object("document", name)
+    return tables.read_documents(spark, path).join(points, "run_id", "left").select(
+        "run_id", field("$.instrument.name").alias("instrument"), field("$.source_files[0].checksum").alias("checksum"),
+        F.json_array_length(field("$.spectra")).alias("n_spectra"),
+        F.json_array_length(field("$.chromatograms")).alias("n_chromatograms"),
+        field("$.chromatograms[0].precursor.mz").cast("double").alias("precursor_mz"),
+        F.coalesce("n_points", F.lit(0)).cast("bigint").alias("n_points"),
+    )
