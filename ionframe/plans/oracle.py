@@ -248,8 +248,9 @@ UNION ALL SELECT 'note', 1, count(*), 0, 0 FROM docs
 UNION ALL SELECT tag, 1, count(*), 2 * count(*), CAST(sum(pos) AS BIGINT) FROM items GROUP BY tag""",
     "sibling_index": f"""
 WITH {ITEMS}
-SELECT doc_id, 'note' AS tag, 0 AS pos, CAST(0 AS BIGINT) AS sibling_index FROM docs
-UNION ALL SELECT doc_id, tag, CAST(pos AS INTEGER), idx FROM items""",
+SELECT doc_id, 'note' AS tag, 1 AS depth, 0 AS pos, CAST(0 AS BIGINT) AS sibling_index FROM docs
+UNION ALL SELECT doc_id, 'run', 0, 0, 0 FROM docs
+UNION ALL SELECT doc_id, tag, 1, CAST(pos AS INTEGER), idx FROM items""",
     "tree_flatten": f"WITH {FLAT} SELECT doc_id, path, value FROM flat",
     "tree_item_counts": f"WITH {FLAT} SELECT doc_id, count(*) AS n_items FROM flat GROUP BY doc_id",
     "clean_tag": "SELECT o_orderkey, o_orderpriority AS tag FROM orders",
@@ -273,9 +274,17 @@ SELECT doc_id, CASE WHEN count(DISTINCT root) = 1 THEN min(root) END AS root,
        CASE WHEN count(DISTINCT root) = 1 THEN 'ok' ELSE 'multiple_roots' END AS status
 FROM keys GROUP BY doc_id""",
     "tree_gap_fill": f"""
-WITH {NAMED_PEAKS}
+WITH {NAMED_PEAKS},
+subs AS (
+  SELECT DISTINCT doc_id, root, line, CAST(regexp_extract(last, '\\[(\\d+)\\]', 1) AS BIGINT) AS idx FROM keys
+  WHERE part % 10 <> 0 AND part % 3 = 2),
+sub_every AS (
+  SELECT doc_id, root, line, CAST(unnest(range(top + 1)) AS BIGINT) AS idx
+  FROM (SELECT doc_id, root, line, max(idx) AS top FROM subs GROUP BY doc_id, root, line))
 SELECT doc_id, 'peak' AS tag, count(*) AS n_missing, min(idx) AS first_missing, max(idx) AS last_missing
 FROM every WHERE (doc_id, root, idx) NOT IN (SELECT (doc_id, root, line) FROM named)
+GROUP BY doc_id
+UNION ALL SELECT doc_id, 'sub', count(*), min(idx), max(idx) FROM sub_every ANTI JOIN subs USING (doc_id, root, line, idx)
 GROUP BY doc_id""",
     "tree_reconstruct": f"""
 WITH {ITEMS},
@@ -326,9 +335,9 @@ SELECT 'user=' || user_id AS doc_id, CAST(count(*) AS INTEGER) AS n_items,
 FROM events GROUP BY user_id""",
     "meta_map": """
 SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n_keys,
-       CAST(max(event_id) FILTER (event_type = 'click') AS VARCHAR) AS click,
-       CAST(max(event_id) FILTER (event_type = 'error') AS VARCHAR) AS error
-FROM events GROUP BY user_id""",
+       CAST(max(last) FILTER (event_type = 'click') AS VARCHAR) AS click,
+       string_agg(event_type || '=' || last, '|' ORDER BY event_type) AS entries
+FROM (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY user_id, event_type) GROUP BY user_id""",
     "meta_merge": """
 SELECT event_id, 2 AS n_keys, json_extract_string(props, '$.k') AS k, event_type AS type FROM events""",
     "run_metadata_doc": f"""

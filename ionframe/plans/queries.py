@@ -437,9 +437,7 @@ def tree_nodes(spark, sf_dir):
 def sibling_index(spark, sf_dir):
     """Place of each element among its same-tag siblings, by window over the stored position."""
     numbered = tree.sibling_index(staged(_nodes(spark, sf_dir).select("doc_id", "parent_id", "tag", "pos", "depth")))
-    return numbered.filter(F.col("depth") == 1).select(
-        "doc_id", C.clean_tag(F.col("tag")).alias("tag"), "pos", "sibling_index"
-    )
+    return numbered.select("doc_id", C.clean_tag(F.col("tag")).alias("tag"), "depth", "pos", "sibling_index")
 
 
 @query
@@ -525,7 +523,7 @@ def tree_root_check(spark, sf_dir):
 def tree_gap_fill(spark, sf_dir):
     """The empty elements that stand for missing indexes."""
     named = tree.elements(tree.parse_keys(_made_keys(spark, sf_dir)))
-    return tree.fill_gaps(named).filter(F.col("tag") == "peak").groupBy("doc_id", "tag").agg(
+    return tree.fill_gaps(named).groupBy("doc_id", "tag").agg(
         F.count(F.lit(1)).alias("n_missing"), F.min("idx").alias("first_missing"), F.max("idx").alias("last_missing")
     )
 
@@ -591,7 +589,7 @@ def _event_pairs(spark, sf_dir) -> DataFrame:
 
 @query
 def meta_map(spark, sf_dir):
-    """Key/value rows collected to one map per user, shown by lookups."""
+    """Key/value rows collected to one map per user, shown whole and by a lookup."""
     events = bridge.table(spark, sf_dir, "events")
     per_type = events.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"))
     value = F.decode(F.encode(F.col("last").cast("string"), "UTF-8"), "UTF-8")
@@ -602,7 +600,7 @@ def meta_map(spark, sf_dir):
         "user_id",
         F.size("m").alias("n_keys"),
         F.try_element_at("m", F.lit("click")).alias("click"),
-        F.try_element_at("m", F.lit("error")).alias("error"),
+        F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("entries"),
     )
 
 

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ionframe.operators import grouping, tree
+from ionframe.operators import tree
 from ionframe.sources import xmltext
 
 
