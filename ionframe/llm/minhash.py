@@ -24,6 +24,8 @@ HALVES, WIDTH = 12, 2
 LEAST_EQUAL = 20
 #: Members of a table key that are compared with each other at a time.
 BLOCK = 1024
+#: Members of a loose group whose full sets are compared with each other at a time.
+SETS = 256
 
 _SKETCH = pa.schema([
     ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
@@ -127,6 +129,13 @@ def _close(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= PERCENT * union."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[at] == y).sum())
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
 def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
     width = len(_MULTIPLIERS)
     x = np.frombuffer(b"".join(a.to_pylist()), np.uint8).reshape(-1, width)
@@ -190,53 +199,112 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if b is None:
                     own, whole = a, these
                 elif a == own:
-                    at = np.minimum(np.searchsorted(whole, these), len(whole) - 1)
-                    common_ = int((whole[at] == these).sum())
-                    if 100 * common_ >= PERCENT * (len(whole) + len(these) - common_):
+                    if similar(whole, these):
                         found.append((a, b))
-            columns = zip(*found) if found else ((), ())
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            yield _pairs_batch(found)
 
     spread = a_rows.unionByName(b_rows).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return spread.mapInArrow(rows, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a table key, are likely, and lie in different components so far.
+def _dealt(named: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """Members of groups dealt to blocks of about `size`, once for each pair of blocks (i, j) that they take part in."""
+    return (
+        named.withColumn("own", F.pmod(F.xxhash64("node"), size).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), size - 1)))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .drop("other")
+        .repartition(*keys, "i", "j")
+        .sortWithinPartitions(*keys, "i", "j")
+    )
+
+
+class _Group:
+    """Members of one pair of blocks: which pairs of them are across components, of one size and alike."""
+
+    def __init__(self, group: pa.RecordBatch):
+        self.own, self.node, self.component, self.size = (
+            group.column(n).to_numpy() for n in ("own", "node", "component", "n_shingles")
+        )
+        self.bytes = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, len(_MULTIPLIERS))
+        self.within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+
+    def partners(self, k: int) -> np.ndarray:
+        other = (self.component > self.component[k]) & _close(self.size, self.size[k])
+        if not self.within:
+            other &= self.own != self.own[k]
+        other = np.flatnonzero(other)
+        return other[(self.bytes[other] == self.bytes[k]).sum(axis=1) >= LEAST_EQUAL]
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*pairs) if pairs else ((), ()))], names=["a", "b"])
 
-    Only keys whose members are not all in one component count. Their members are dealt to blocks, and each pair of
-    blocks is compared in one place, without emitting pairs that are not likely."""
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+def _by_component(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) that share a table key and lie in different components of `labels`. Only keys whose members are
+    not all in one component count; a pair of blocks of a key's members is compared in one place."""
+    named = _by_component(members, labels)
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows_of = named.join(mixed.select("key"), "key").join(classes.select("node", "n_shingles", "signature"), "node")
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sorted_groups(batches, ("key", "i", "j")):
+            group, seen, found = _Group(batch), set(), []
+            for k, node in enumerate(group.node.tolist()):
+                for o in group.partners(k).tolist():
+                    # One pair is enough to bring two components together.
+                    bridge = group.component[k], group.component[o]
+                    if bridge not in seen:
+                        seen.add(bridge)
+                        found.append((node, int(group.node[o])))
+            if found:
+                yield _pairs_batch(found)
+
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    return _dealt(rows_of, ["key"], blocks).mapInArrow(pairs, "a long, b long").distinct()
+
+
+def confirmed_within(loose: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components inside each loose group. A group's sets are dealt to blocks, and
+    every likely pair across components of each pair of blocks is compared on its full sets; once a link has brought two
+    components together there, their other pairs need no test."""
+    named = _by_component(loose.withColumnRenamed("component", "loose"), labels)
+    mixed = (
+        named.groupBy("loose")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(SETS)).cast("int").alias("blocks"))
+        .where("low < high")
+    )
     rows_of = (
-        named.join(mixed.select("key"), "key")
-        .join(classes.select("node", "n_shingles", "signature"), "node")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        .select("key", "i", "j", "own", "node", "component", "n_shingles", "signature")
+        named.join(mixed.select("loose", "blocks"), "loose")
+        .join(classes.select("node", "n_shingles", "signature"), "node").join(sets, "node")
     )
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(_MULTIPLIERS)
-        for group in common.sorted_groups(batches, ("key", "i", "j")):
-            own, node, component, size = (group.column(n).to_numpy() for n in ("own", "node", "component", "n_shingles"))
-            bytes_ = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, width)
-            within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-            found = []
-            for k in range(len(node)):
-                other = np.flatnonzero(
-                    (component > component[k]) & _close(size, size[k]) & ((own != own[k]) if not within else True)
-                )
-                other = other[(bytes_[other] == bytes_[k]).sum(axis=1) >= LEAST_EQUAL]
-                found += [(node[k], node[o]) for o in other]
+        for batch in common.sorted_groups(batches, ("loose", "i", "j")):
+            group, found, up = _Group(batch), [], {}
+
+            def root(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            column = batch.column("shingles")
+            sets_ = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in range(len(column))]
+            for k, node in enumerate(group.node.tolist()):
+                for o in group.partners(k).tolist():
+                    one, other = root(int(group.component[k])), root(int(group.component[o]))
+                    if one != other and similar(sets_[k], sets_[o]):
+                        up[other] = one
+                        found.append((node, int(group.node[o])))
             if found:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+                yield _pairs_batch(found)
 
-    dealt = rows_of.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    return _dealt(rows_of, ["loose"], F.col("blocks")).mapInArrow(pairs, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,9 +312,11 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     the text) and group (a number of the component); these two tell rows of one doc_id apart.
 
     Documents with equal shingle sets are one class and enter the search once. In each table key the classes are
-    compared with the key's most popular member (the one that meets most others over all tables); then, where the links
-    confirmed so far leave a key's members in several components, all likely pairs across components. So a large group
-    of near copies costs a star, not all its pairs, and no link between components is left untried.
+    compared with the key's most popular member (the one that meets most others over all tables), which gives confirmed
+    links, and loose groups of classes that are likely to be alike. Loose groups that share a likely pair under some key are
+    joined, so that every likely pair is inside one; there, all likely pairs that the confirmed links leave in different
+    components are compared. So a large group of near copies costs a star and its few stragglers, not all its pairs, and
+    no likely link between components is left untried.
     A text without words is linked with nothing, its component its own doc_id. Null doc_ids are ignored as component_id
     unless a component has no other. Rows with one doc_id and different texts are documents of their own."""
     sketches = common.staged(sketch(documents, doc_id, text))
@@ -262,11 +332,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     stars = members.join(pivots, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
     nodes = members.select("node").distinct()
     sets = common.staged(shingle_sets(documents, classes.join(nodes, "node").select("node", "set_key", "first_doc"), doc_id, text))
-    links = common.staged(confirmed(_likely(stars, classes), sets))
-    labels = components(links)
-    more = common.staged(cross_pairs(members, classes, labels))
-    links = links.union(confirmed(more, sets))
-    labels = components(links)
+    stars = common.staged(_likely(stars, classes))
+    links = common.staged(confirmed(stars, sets))
+    labels, loose = components(links), components(stars)
+    bridges = common.staged(cross_pairs(members, classes, loose))
+    loose = components(loose.select(F.col("node").alias("a"), F.col("component").alias("b")).union(bridges))
+    labels = components(links.union(confirmed_within(loose, labels, classes, sets)))
     first = (
         classes.select("node", "first_doc").join(labels, "node").groupBy("component").agg(F.min("first_doc").alias("component_id"))
     )
