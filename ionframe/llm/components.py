@@ -11,23 +11,26 @@ from ionframe.llm.common import staged
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (a, b): component is the smallest node reachable.
 
-    Alternates two steps until nothing changes: link each node's larger neighbours to its smallest one, then its
+    Alternates two steps until only stars are left: link each node's larger neighbours to its smallest one, then its
     smaller neighbours and itself. Both keep the components and leave stars round the smallest nodes; the rounds grow with
     the logarithm of the longest path. Each round is written to the shared folder. Links of a node with itself and
     repeated ones do no harm; no links give no rows."""
     links = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    while _entangled(links):
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         links = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         near = links.join(least, "a")
         links = staged(near.select("a", F.col("m").alias("b")).union(near.where("b != m").select("b", "m")).distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38)"))).first()
-        if now == seen:
-            break
-        seen = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def _entangled(links: DataFrame) -> bool:
+    """Whether some node of links (a, b), a > b, has two smaller neighbours, or both smaller and larger ones. If none has, the
+    links are stars round their smallest nodes."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down")).union(links.select("b", F.lit(0)))
+    met = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("down").alias("any"), F.min("down").alias("all"))
+    return not met.where("down > 1 or any > all").isEmpty()
