@@ -70,14 +70,16 @@ class Index:
         return lists, codes.astype(np.uint8), np.sqrt(((rest - made) ** 2).sum(1))
 
     def probes(self, vectors: np.ndarray, lists: np.ndarray, radius: float) -> np.ndarray:
-        """(vector, list) marks of the lists that can hold a vector within `radius`: those whose cell's border with the
-        vector's own cell is no further away. Sufficient: a vector beyond the border by less is in such a cell."""
+        """(vector, list) marks of the lists to ask for a vector within `radius`: those whose cell's border with the
+        vector's own cell is no further away. Sufficient: a vector beyond the border by less is in such a cell. Of two
+        vectors of different lists the one in the earlier list asks."""
         d = squared(vectors, self.coarse)
         own = d[np.arange(len(d)), lists]
         between = np.sqrt(squared(self.coarse, self.coarse))[lists]
         with np.errstate(divide="ignore", invalid="ignore"):
             border = (d - own[:, None]) / (2 * between)
-        return (border <= radius + SLACK) | (between == 0)
+        within = (border <= radius + SLACK) | (between == 0)
+        return within & (np.arange(len(self.coarse))[None, :] >= lists[:, None])
 
     def distances(self, query: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of one query to the coded vectors of one list: sums over one table per subspace."""
