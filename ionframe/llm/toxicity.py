@@ -141,8 +141,9 @@ def train(
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], names=["__positive", "__features"])
 
     examples = (
-        learn.dropDuplicates(["__id"])
-        .join(F.broadcast(chosen), "__id")  # at most both bounds together
+        learn.join(F.broadcast(chosen), "__id")  # at most both bounds together
+        .groupBy("__id", "__positive")
+        .agg(F.min("__text").alias("__text"))
         .select("__positive", "__text")
         .mapInArrow(features, "__positive boolean, __features binary")
         .toArrow()
