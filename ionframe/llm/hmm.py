@@ -30,6 +30,8 @@ ADDED = 0.1
 SMOOTHING = 50.0
 #: Tokens whose words share one dictionary, and tokens that are recursed over at a time.
 BLOCK, STRIP = 3_000_000, 400_000
+#: Words whose counts travel in one row.
+CHUNK = 16_384
 
 _BLOCKS = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
@@ -266,11 +268,9 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stat
         for batch in (part for whole_batch in batches for part in common.sorted_groups([whole_batch], ("block",))):
             if batch.column("block")[0].as_py() != block:
                 block, counts = batch.column("block")[0].as_py(), np.empty(0, np.int64)
-            known = batch.filter(batch.column("doc_ids").is_null())
-            if known.num_rows:
-                place, count = known.column("place").to_numpy(), known.column("count").to_numpy()
-                counts = np.concatenate([counts, np.zeros(max(0, place.max() + 1 - len(counts)), np.int64)])
-                counts[place] = count
+            for known in batch.column("known"):
+                if known.is_valid:
+                    counts = np.concatenate([counts, known.values.to_numpy()])
             full = batch.filter(batch.column("doc_ids").is_valid())
             for row in range(full.num_rows):
                 lengths, held, places, classes = _unpacked(full, row)
@@ -290,10 +290,13 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stat
                 ]
                 yield pa.record_batch(columns, names=names)
 
-    nothing = {n: F.lit(None).cast(t) for n, t in made.drop("words", "counts", "block").dtypes}
-    of_words = words.select("block", F.col("place").cast("int").alias("place"), "count", *[c.alias(n) for n, c in nothing.items()])
-    of_texts = made.select("block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("count"), *nothing)
-    together = of_words.union(of_texts).repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
+    # Counts travel as a few arrays per block, in the order of the places, which have no gaps.
+    chunk = F.floor(F.col("place") / F.lit(CHUNK)).cast("int").alias("chunk")
+    in_order = F.array_sort(F.collect_list(F.struct("place", "count")))
+    known = words.groupBy("block", chunk).agg(in_order.alias("z")).select("block", "chunk", F.col("z.count").alias("known"))
+    texts = made.drop("words", "counts")
+    together = known.unionByName(texts, allowMissingColumns=True)
+    together = together.repartition("block").sortWithinPartitions("block", F.col("chunk").asc_nulls_last())
     return together.mapInArrow(
         rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
