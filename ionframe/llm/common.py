@@ -48,7 +48,7 @@ class Cache(dict):
     """Memory of a pure function of a string. Two generations bound it: when the young one is full it becomes the old
     one, and what is asked for again moves back. Strings above `longest` are never kept."""
 
-    def __init__(self, function: Callable, size: int = 500_000, longest: int = 64):
+    def __init__(self, function: Callable, size: int = 200_000, longest: int = 64):
         super().__init__()
         self.function, self.size, self.longest, self.old = function, size, longest, {}
 

@@ -49,7 +49,7 @@ def counts_of(steps: bytes) -> list[int]:
 class PrefixCounter:
     """For one byte-level BPE file: token counts of all prefixes of a text."""
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 250_000):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]

@@ -161,7 +161,8 @@ def score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hits = common.Cache(lambda word: known.intersection(features_of(word)), 500_000)
+        nothing = frozenset()  # one for all words without a weight
+        hits = common.Cache(lambda word: known.intersection(features_of(word)) or nothing)
         for texts in batches:
             found = (set(common.words((t or "").lower())) for t in texts)
             margins = [model.margin(frozenset().union(*map(hits.__getitem__, words))) for words in found]

@@ -110,7 +110,7 @@ class TextEncoder:
 
     Memory is two bounded caches: by piece between white space, and by word of the pattern."""
 
-    def __init__(self, bpe: WordBpe, merge: Callable[[str], list[int]] | None = None, size: int = 500_000):
+    def __init__(self, bpe: WordBpe, merge: Callable[[str], list[int]] | None = None, size: int = 250_000):
         self.bpe = bpe
         merge = merge or bpe.merge
         self.by_word = Cache(lambda word: packed(merge(word)), size, 48)
