@@ -1,9 +1,11 @@
-"""Substring deduplication: suffix automata of reference shards, with texts streamed for matching statistics.
+"""Substring deduplication: suffix automata of reference runs, whose matching statistics tell who holds a window first.
 
 Only passages that can repeat are indexed and streamed. Each window of WINDOW words has an anchor, the least hash among its
 runs of ANCHOR words; equal windows have equal anchors, so a window can recur only under an anchor that two documents share.
-Consecutive windows with one anchor are a run. The distinct runs under an anchor are its reference: they are cut to shards of
-bounded size, an automaton is built of each shard, and all runs under the anchor are streamed through it."""
+Consecutive windows with one anchor are a run. The distinct runs under an anchor are its reference: an automaton is built of
+them and each of them is read by it. Where an anchor has more than SHARD distinct runs (a frequent line, each time with other
+words around it), all against all would grow with the square of their number; there each window is known by the hash of its
+words, and the smallest document is found per hash, in rows that grow with the text."""
 
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ from ionframe.llm.minhash import _mixed, word_hash
 
 WINDOW = 50
 ANCHOR = 10
-#: Distinct runs in the automaton of one shard.
+#: Distinct runs in one automaton at most; a run has less than twice WINDOW words.
 SHARD = 1024
 #: Positions take this many low bits where hash and position are compared as one number.
 _PLACE = 24
@@ -175,61 +177,65 @@ def runs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
 
 
 def references(found: DataFrame) -> DataFrame:
-    """(anchor, content, doc_id, text_key, start, windows, shards): the distinct runs under anchors of at least two
-    documents, each with the smallest document that holds it, and into how many shards the anchor's runs are cut."""
+    """(anchor, content, doc_id, text_key, start, windows, crowded): the distinct runs under anchors of at least two
+    documents, each with the smallest document that holds it, and whether its anchor has more than SHARD of them."""
     distinct = found.where("anchor is not null").groupBy("anchor", "content").agg(
         F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("at"), F.max("doc_id").alias("last")
     )
     shared = distinct.groupBy("anchor").agg(
-        F.min("at.doc_id").alias("low"), F.max("last").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("int").alias("shards")
-    ).where("low < high").select("anchor", "shards")
-    return distinct.join(shared, "anchor").select("anchor", "content", "at.*", "shards")
+        F.min("at.doc_id").alias("low"), F.max("last").alias("high"), (F.count(F.lit(1)) > SHARD).alias("crowded")
+    ).where("low < high").select("anchor", "crowded")
+    return distinct.join(shared, "anchor").select("anchor", "content", "at.*", "crowded")
 
 
-def sequences(references: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, content, doc_id, shards, words): the word hashes of each reference run, cut out of its text."""
-    wanted = references.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("anchor", "content", "start", "windows", "shards")).alias("runs")
-    )
+def _cut_out(references: DataFrame, texts: DataFrame, window: int, each_window: bool) -> DataFrame:
+    """(anchor, content, doc_id, place, words): the word hashes of each reference run, cut out of its text, or, for each
+    of its windows, 16 bytes that stand for them."""
+    wanted = references.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "start", "windows")).alias("runs"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = common.Cache(word_hash)
-        for batch in common.in_slices(batches):
+        for batch in common.in_slices(batches, 1 << 20 if each_window else 8 << 20):
             out: list[list] = [[], [], [], [], []]
             for key, body, wanted_ in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes = _hashes(common.words(body), memory)
+                raw = memoryview(_hashes(common.words(body), memory).tobytes())
                 for run in wanted_:
-                    end = run["start"] + run["windows"] + window - 1
-                    row = run["anchor"], run["content"], key, run["shards"], hashes[run["start"] : end].tobytes()
-                    for column, value in zip(out, row):
-                        column.append(value)
+                    start, n = run["start"], run["windows"]
+                    if each_window:
+                        cut = [xxhash.xxh3_128_digest(raw[8 * s : 8 * (s + window)]) for s in range(start, start + n)]
+                    else:
+                        cut = [bytes(raw[8 * start : 8 * (start + n + window - 1)])]
+                    k = len(cut)
+                    for column, values in zip(out, ([run["anchor"]] * k, [run["content"]] * k, [key] * k, range(k), cut)):
+                        column.extend(values)
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "content", "doc_id", "shards", "words"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "content", "doc_id", "place", "words"])
 
     joined = texts.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"]).select("doc_id", "text", "runs")
-    return joined.mapInArrow(rows, "anchor long, content long, doc_id long, shards int, words binary")
+    return joined.mapInArrow(rows, "anchor long, content long, doc_id long, place int, words binary")
+
+
+def sequences(references: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, content, doc_id, words): the word hashes of each reference run, cut out of its text."""
+    return _cut_out(references, texts, window, False).drop("place")
+
+
+def windows_of(references: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, content, doc_id, place, words): a row for each window of each reference run, known by a hash of its words."""
+    return _cut_out(references, texts, window, True)
 
 
 def first_holders(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
     """(anchor, content, begin, windows, first): for stretches of windows of each run, the smallest document that
-    holds them. Automata hold one shard of one anchor each; a run is streamed through every shard of its anchor."""
-    dealt = (
-        sequences.withColumn("own", F.pmod("content", F.col("shards")).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .withColumn("streamed", F.col("own") != F.col("shard"))
-        .drop("own", "shards")
-        .repartition("anchor", "shard")
-        .sortWithinPartitions("anchor", "shard", "streamed")
-    )
+    holds them. One automaton holds all runs of one anchor, SHARD at most, and reads each of them."""
+    dealt = sequences.repartition("anchor").sortWithinPartitions("anchor")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.sorted_groups(batches, ("anchor", "shard")):
+        for group in common.sorted_groups(batches, ("anchor",)):
             anchor = group.column("anchor")[0].as_py()
             automaton, streams = SuffixAutomaton(), []
-            for key, words, streamed in zip(*(group.column(n).to_pylist() for n in ("doc_id", "words", "streamed"))):
-                if not streamed:
-                    symbols = np.frombuffer(words, np.uint64).tolist()
-                    automaton.add(symbols, key)
+            for key, words in zip(group.column("doc_id").to_pylist(), group.column("words")):
+                automaton.add(np.frombuffer(words.as_buffer(), np.uint64).tolist(), key)
             automaton.close()
             for content, words in zip(group.column("content").to_pylist(), group.column("words")):
                 firsts = automaton.firsts(np.frombuffer(words.as_buffer(), np.uint64).tolist(), window)
@@ -248,6 +254,22 @@ def first_holders(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
     return dealt.mapInArrow(rows, "anchor long, content long, begin int, windows int, first long")
 
 
+def first_holders_by_window(references: DataFrame, windows: DataFrame) -> DataFrame:
+    """What first_holders gives, from rows of single windows: each run with its own smallest document, and the stretches
+    of it that a smaller document holds in another run."""
+    least = windows.groupBy("anchor", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    earlier = windows.join(least.drop("last"), ["anchor", "words"]).where("first < doc_id")
+    # A run has less than WINDOW windows, so its places are a short list; in a stretch they grow with their numbers.
+    placed = earlier.groupBy("anchor", "content", "first").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    stretches = (
+        placed.select("anchor", "content", "first", F.posexplode("places").alias("number", "place"))
+        .groupBy("anchor", "content", "first", (F.col("place") - F.col("number")).alias("stretch"))
+        .agg(F.min("place").alias("begin"), F.count(F.lit(1)).cast("int").alias("windows"))
+    )
+    own = references.select("anchor", "content", F.lit(0).alias("begin"), "windows", F.col("doc_id").alias("first"))
+    return own.union(stretches.select(own.columns))
+
+
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, spans, texts). rows: doc_id, text_key, n_words, words_sha256 of every document. spans: doc_id, text_key,
     spans (array of begin, end word positions, may overlap) of the documents with words to remove: those covered by a
@@ -263,7 +285,10 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     shared = known.select("anchor").distinct()
     sharing = of_runs.join(shared, "anchor", "left_semi").select("doc_id", "text_key").distinct()
     texts = common.staged(_texts(documents, doc_id, text).join(sharing, ["doc_id", "text_key"], "left_semi"))
-    pieces = first_holders(sequences(known, texts, window), window)
+    pieces = first_holders(sequences(known.where("not crowded"), texts, window), window)
+    crowded = known.where("crowded")
+    if not crowded.isEmpty():
+        pieces = pieces.union(first_holders_by_window(crowded, common.staged(windows_of(crowded, texts, window))))
     covered = of_runs.select("doc_id", "text_key", "anchor", "content", "start").join(
         pieces, ["anchor", "content"]
     ).where("first < doc_id")

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from ionframe.llm import bpe, common, minhash, packing, prefixes, sharding, substrings, wordbpe
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 WORD_FILE, BYTE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -278,6 +279,18 @@ def test_repeated_passages_in_small_shards(spark, monkeypatch):
     assert rows_of(substrings.digests(frame(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == without_windows(texts)
 
 
+def test_runs_of_a_frequent_line_do_not_meet_in_one_automaton(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD", 8)
+    held, by_automata = [], substrings.first_holders
+    monkeypatch.setattr(substrings, "first_holders", lambda frame, *more: held.append(frame) or by_automata(frame, *more))
+    line = prose(78, 45)
+    texts = [(i, f"{prose(i, 40)} {line} {prose(300 - i // 2, 40)}") for i in range(60)]
+    texts += [(100 + i, f"{prose(i, 20)} {line}") for i in range(3)] + [(5, f"{line} {prose(7, 30)}")]
+    assert rows_of(substrings.digests(frame(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == without_windows(texts)
+    per_anchor = held[0].groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert per_anchor is None or per_anchor <= 8
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=5), st.lists(st.integers(0, 2), max_size=20), st.integers(1, 4))
 def test_automaton_finds_the_smallest_document(texts, query, window):
