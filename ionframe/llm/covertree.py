@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ionframe.llm import common
 
 K = 20
-#: Rows of a data block, and queries that are held at a time.
-BLOCK, QUERIES_HELD = 4096, 2048
+#: Rows of a data block, queries that are held at a time, and queries that meet one copy of a block.
+BLOCK, QUERIES_HELD, QUERY_BLOCK = 4096, 2048, 16384
 #: Roots of the trees: so many rows, the first by a hash of their values, are what all rows are assigned to.
 PIVOTS = 64
 #: A node whose net at half its radius needs more centres than this is a leaf: nothing there can be told apart by balls.
@@ -146,7 +146,8 @@ def top_k(
 
     All rows are assigned to pivots, the roots of the trees; a pivot's rows are cut to blocks, so a hot region fills many
     tasks. First, queries meet the blocks of their own pivot, which gives each a k-th best score; then the blocks of every
-    pivot that its bound cannot rule out. In a task a block's tree is searched together with a tree over the queries that came.
+    pivot that its bound cannot rule out; however many come to a block, they are dealt to parts of bounded size, each with
+    a copy of the block. In a task a block's tree is searched together with a tree over the queries that came.
     Each block returns at most k rows per query."""
     rows = common.staged(floored(vectors, scale, vec_id, embedding))
     sizes = [r[0] for r in rows.select(F.length("values").alias("n")).distinct().orderBy("n").collect()]
@@ -217,49 +218,57 @@ def _ranked(answers: DataFrame, k: int) -> DataFrame:
     return answers.withColumn("rank", F.row_number().over(order))
 
 
-def _answers(assigned: DataFrame, asked: DataFrame, blocks: dict[int, int], k: int) -> DataFrame:
-    """(node, query_id, vec_id, score): each asked query's best rows in each block of the pivot it goes `to`."""
-    count = F.element_at(F.create_map(*[F.lit(x) for item in sorted(blocks.items()) for x in item]), F.col("to"))
+def _dealt(assigned: DataFrame, asked: DataFrame, blocks: dict[int, int]) -> DataFrame:
+    """Rows and queries with the (to, block, part) where they meet: a pivot's rows are cut to blocks of about BLOCK, the
+    queries that go to it to parts of about QUERY_BLOCK, and each block meets each part."""
+    # One row per pivot: at most PIVOTS rows.
+    parts = {r["to"]: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("to").count().collect()}
+
+    def of_pivot(numbers: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for item in sorted(numbers.items()) for x in item]), F.col("to"))
+
+    n_blocks = of_pivot(blocks)
+    n_parts = of_pivot({p: parts.get(p, 0) for p in blocks})
+    block, part = F.pmod(F.xxhash64("node"), n_blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit("part")), n_parts).cast("int")
     members = assigned.select(
         F.col("pivot").alias("to"), F.lit(None).cast("int").alias("from"), "vec_id", "values", "node", F.lit(None).cast("double").alias("kth")
-    ).withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
+    ).where(n_parts > 0).withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
     queries = asked.select("to", F.col("pivot").alias("from"), "vec_id", "values", "node", "kth").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), count - 1))
-    )
+        "block", F.explode(F.sequence(F.lit(0), n_blocks - 1))
+    ).withColumn("part", part)
+    both = members.withColumn("is_query", F.lit(False)).union(queries.withColumn("is_query", F.lit(True)).select(*members.columns, "is_query"))
+    return both.repartition("to", "block", "part").sortWithinPartitions("to", "block", "part", "is_query", "from")
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, search, waiting = None, [], None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if waiting:
-                batch = pa.concat_batches(waiting)
-                waiting.clear()
-                known = np.nan_to_num(batch.column("kth").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
-                own = batch.column("vec_id").to_numpy()
-                best = search.run(_matrix(batch.column("values")), own, known)
+
+def _searched(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(node, query_id, vec_id, score) from batches sorted as _dealt does. A block is held; queries pass it by batches."""
+    key, held, search = None, [], None
+    for batch in batches:
+        for group in common.sorted_groups([batch], ("to", "block", "part", "is_query")):
+            now = tuple(group.column(n)[0].as_py() for n in ("to", "block", "part"))
+            if now != key:
+                key, held, search = now, [], None
+            if not group.column("is_query")[0].as_py():
+                held.append(group)
+                continue
+            if not held:  # the hash left this block empty
+                continue
+            if search is None:
+                block = pa.concat_batches(held)
+                search = Search(_matrix(block.column("values")), block.column("vec_id").to_numpy(), k)
+            for start in range(0, group.num_rows, QUERIES_HELD):
+                asking = group.slice(start, QUERIES_HELD)
+                known = np.nan_to_num(asking.column("kth").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                own = asking.column("vec_id").to_numpy()
+                best = search.run(_matrix(asking.column("values")), own, known)
                 n = [len(b[0]) for b in best]
-                node = np.repeat(batch.column("node").to_numpy(), n)
+                node = np.repeat(asking.column("node").to_numpy(), n)
                 yield pa.record_batch(
                     [pa.array(node), pa.array(np.repeat(own, n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))],
                     names=["node", "query_id", "vec_id", "score"],
                 )
 
-        for part in common.sorted_groups(batches, ("to", "block", "is_query")):
-            now = part.column("to")[0].as_py(), part.column("block")[0].as_py()
-            if now != key:
-                yield from flush()
-                key, held, search = now, None, None
-            if not part.column("is_query")[0].as_py():
-                held = part
-                continue
-            if held is None:  # the hash left this block empty
-                continue
-            if search is None:
-                search = Search(_matrix(held.column("values")), held.column("vec_id").to_numpy(), k)
-            for start in range(0, part.num_rows, QUERIES_HELD):
-                waiting.append(part.slice(start, QUERIES_HELD))
-                yield from flush()
 
-    both = members.withColumn("is_query", F.lit(False)).union(queries.withColumn("is_query", F.lit(True)).select(*members.columns, "is_query"))
-    dealt = both.repartition("to", "block").sortWithinPartitions("to", "block", "is_query", "from")
-    return dealt.mapInArrow(rows, "node long, query_id long, vec_id long, score long")
+def _answers(assigned: DataFrame, asked: DataFrame, blocks: dict[int, int], k: int) -> DataFrame:
+    """(node, query_id, vec_id, score): each asked query's best rows in each block of the pivot it goes `to`."""
+    return _dealt(assigned, asked, blocks).mapInArrow(lambda batches: _searched(batches, k), "node long, query_id long, vec_id long, score long")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from ionframe.llm import components, covertree, hmm, quantised, queries, toxicity
@@ -155,6 +156,32 @@ def test_top_k_equals_all_pairs(spark, monkeypatch):
     assert covertree.top_k(vectors(spark, VECTORS).limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_of_a_block_are_dealt_and_pass_by_batches(spark, monkeypatch):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(600)]
+    monkeypatch.setattr(covertree, "BLOCK", 100)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 10)
+    frames, dealt = [], covertree._dealt
+    monkeypatch.setattr(covertree, "_dealt", lambda *given: frames.append(dealt(*given)) or frames[-1])
+    got = covertree.top_k(vectors(spark, rows), F.col("vec_id") % 2 == 0, k=3)
+    want = [r for r in best_by_force([(20 * i, v) for i, v in rows], 3) if r[0] % 40 == 0]
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(((q // 20, r, v // 20, s) for q, r, v, s in want), key=repr)
+    meet = frames[0].where("is_query").groupBy("to", "block", "part").count()  # about 43 queries go to each of 7 pivots
+    assert meet.agg(F.max("count")).first()[0] <= 25
+
+    columns = ("to", "block", "part", "is_query", "vec_id", "values", "node", "kth")
+    taken = []
+
+    def batches():
+        for b in range(9):
+            of = [(0, 0, 0, b > 1, 10 * b + i, np.array([i, b]).tobytes(), 10 * b + i, None) for i in range(10)]
+            taken.append(b)
+            yield pa.record_batch([pa.array(c, pa.float64() if n == "kth" else None) for n, c in zip(columns, zip(*of))], names=list(columns))
+
+    answers = covertree._searched(batches(), 2)
+    assert next(answers).num_rows == 20 and taken == [0, 1, 2]
+    assert sum(a.num_rows for a in answers) == 6 * 20
+
+
 def test_tree_covers_and_separates():
     points = np.random.default_rng(1).normal(size=(700, 2))
 
