@@ -109,29 +109,34 @@ def _fold(doc_id: Column, folds: int) -> Column:
 
 
 def train(
-    documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most_positive: int = 3_000,
+    documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, most_positive: int = 3_000,
     most_unlabelled: int = 6_000, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
 ) -> Model:
-    """Trains on documents whose crc32(doc_id as text) mod `folds` is not `held_out`.
+    """Trains on documents whose crc32(doc_id as text) mod `folds` is not `held_out`; on all where that is None.
 
-    Positives are documents labelled toxic, unlabelled text is any document; at most `most_positive` and
+    Positives are documents with text that are labelled toxic, unlabelled text is any document; at most `most_positive` and
     `most_unlabelled` of them, the first by a hash of doc_id, so the sample is bounded and the same at every run.
     Rows of a doc_id that share it through repeats are one example. The class prior is the toxic share of all labelled
     rows outside the held-out fold. Conflicting or repeated labels: toxic wins. Null ids, labels and texts take no part."""
+
+    def taught(key: Column) -> Column:
+        return F.lit(True) if held_out is None else _fold(key, folds) != held_out
+
     learn = documents.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).where(
-        F.col("__id").isNotNull() & (F.col("__text") != "") & (_fold(F.col("__id"), folds) != held_out)
+        F.col("__id").isNotNull() & (F.col("__text") != "") & taught(F.col("__id"))
     )
     known = (
         labels.select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("__toxic"))
-        .where(F.col("__id").isNotNull() & F.col("__toxic").isNotNull() & (_fold(F.col("__id"), folds) != held_out))
+        .where(F.col("__id").isNotNull() & F.col("__toxic").isNotNull() & taught(F.col("__id")))
         .groupBy("__id")
         .agg(F.max("__toxic").alias("__toxic"))
     )
     share = known.agg(F.avg("__toxic").alias("prior")).first()["prior"]
     order = F.xxhash64(F.col("__id").cast("string"), F.lit("sample"))
-    marked = known.where("__toxic = 1").select("__id").withColumn("__order", order).orderBy("__order", "__id")
+    with_text = learn.select("__id").distinct()
+    marked = known.where("__toxic = 1").join(with_text, "__id", "left_semi").select("__id").withColumn("__order", order).orderBy("__order", "__id")
     chosen = marked.limit(most_positive).select("__id", F.lit(True).alias("__positive"))
-    plain = learn.select("__id").distinct().withColumn("__order", order).orderBy("__order", "__id")
+    plain = with_text.withColumn("__order", order).orderBy("__order", "__id")
     chosen = chosen.union(plain.limit(most_unlabelled).select("__id", F.lit(False)))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +191,6 @@ def score_documents(
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that the classifier does not call toxic, with their columns."""
-    model = train(documents, labels, doc_id=doc_id, text=text)
+    """The documents that the classifier, trained on all folds, does not call toxic, with their columns."""
+    model = train(documents, labels, held_out=None, doc_id=doc_id, text=text)
     return documents.where(score(model, F.col(text).cast("string")) < threshold)

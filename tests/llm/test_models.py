@@ -109,6 +109,16 @@ def test_scores_do_not_see_held_out_labels(spark):
     assert hit > 0.9
 
 
+def test_all_folds_teach_and_positives_have_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))) or toxicity.Model())
+    texts = frame(spark, [(i, None if i % 3 else f"words {i}") for i in range(90)])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(texts, labels, threshold=0.9).count() == 90
+    toxicity.train(texts, labels, held_out=None, most_positive=12)
+    assert seen == [(20, 30), (12, 30)]
+
+
 def test_toxicity_of_odd_rows(spark):
     documents = frame(spark, TEXTS)
     for labels in ("1L, 1", "null, 1", "5L, null"):
