@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.llm import bpe, covertree, hmm, minhash, packing, prefixes, quantised, sharding, substrings, toxicity
+from ionframe.llm import (
+    bpe, collocations, covertree, hmm, minhash, packing, prefixes, quantised, rotated, sharding, substrings, toxicity, urlrules,
+)
 from ionframe.llm.common import table
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -72,10 +74,72 @@ def op10_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op3_bpe, op4_topk, op5_substrings, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash, op10_quantised)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; those without a rule are allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in 40 clusters after five rounds."""
+    return rotated.cluster(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_hmm, op3_bpe, op4_topk, op5_substrings, op6_toxicity, op7_sharding, op8_token_counts, op9_minhash,
+        op10_quantised, op11_collocations, op12_url_rules, op13_rotated,
+    )
+}
 
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _clustering_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Rows of (vector, place, component) against rows of (centroid, place, component), round by round."""
+    steps = [f"""
+        v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id,
+                list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS place, unnest(e) AS value FROM v),
+        c0 AS MATERIALIZED (
+            SELECT c - 1 AS c, unnest(range(1, 65)) AS place, unnest(e) AS value
+            FROM (SELECT e, row_number() OVER (ORDER BY sha256('2:' || vec_id), e) AS c FROM v) WHERE c <= {clusters})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        d{k} AS MATERIALIZED (
+            SELECT id, c, CAST(sum((x.value - c{k}.value) * (x.value - c{k}.value)) AS BIGINT) AS d
+            FROM x JOIN c{k} USING (place) GROUP BY id, c),
+        a{k} AS MATERIALIZED (SELECT id, first(c ORDER BY d, c) AS c, min(d) AS d FROM d{k} GROUP BY id)""")
+        if k < rounds:
+            steps.append(f"""
+        s{k} AS MATERIALIZED (SELECT c, place, sum(value) AS s, count(*) AS n FROM a{k} JOIN x USING (id) GROUP BY c, place),
+        c{k + 1} AS MATERIALIZED (
+            SELECT c, place, coalesce((s - ((s % n) + n) % n) // n, value) AS value FROM c{k} LEFT JOIN s{k} USING (c, place))""")
+    return f"""
+        WITH {",".join(steps)},
+        own AS (SELECT c, CAST(sum(d) AS BIGINT) AS i FROM a{rounds} GROUP BY c),
+        named AS (SELECT c, sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY place)) AS h FROM c{rounds} GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, i AS cluster_inertia,
+            CAST((SELECT sum(i) FROM own) AS BIGINT) AS inertia, h AS centroid_sha256
+        FROM a{rounds} JOIN v USING (id) JOIN own USING (c) JOIN named USING (c)"""
+
+
 ORACLE: dict[str, str] = {
     "op4_topk": """
         WITH v AS (
@@ -140,4 +204,44 @@ ORACLE: dict[str, str] = {
         SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id,
             coalesce(c, e.vec_id) = e.vec_id AS kept
         FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least_of ON least_of.vec_id = e.vec_id""",
+    "op11_collocations": rf"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (
+            SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+        words AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+        cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+        s AS (
+            SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+            FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1 : j], ' ')
+                JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[j + 1 : cut.k], ' ')),
+        least_of AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        part AS (
+            SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+        kept AS (
+            SELECT z.* FROM least_of z LEFT JOIN part ON part.lang = z.lang AND part.phrase = z.phrase
+            WHERE longer IS NULL OR 100 * longer < 80 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000""",
+    "op12_url_rules": rf"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWERED}') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        rules(rule_host, rule_path, v) AS (VALUES {", ".join(map(str, URL_RULES))})
+        SELECT page_id, host, path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict
+        FROM (
+            SELECT *, (
+                SELECT max_by({{'rule': rule_host || rule_path, 'v': v}}, len(rule_host || rule_path)) FROM rules
+                WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS b
+            FROM p)""",
+    "op13_rotated": _clustering_sql(),
 }
