@@ -18,17 +18,19 @@ from ionframe.llm import common
 SUPPORT = 30
 LONGEST = 4
 #: Shards of the mining phase. A phrase of support 30 has 30 * share or more occurrences in some shard.
-SHARDS = 8
+SHARDS = 4
 #: A phrase goes if a longer one around it has this many hundredths of its occurrences.
 COVERED = 80
 UNKNOWN = "und"
 
 #: Words of a language that a task numbers before it writes them as one block.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
 #: Languages' words that a task holds at a time.
-HELD_WORDS = 1 << 22
-#: Bits of a candidate filter: a power of two of at least twice the words of all texts, between these. A filter only spares work.
-LEAST_BITS, MOST_BITS = 20, 28
+HELD_WORDS = 1 << 20
+#: Keys that a task holds before it gives their counts.
+HELD_KEYS = 1 << 20
+#: Bits of a candidate filter: a power of two, a quarter to half the words of all texts, between these. A filter only spares work.
+LEAST_BITS, MOST_BITS = 20, 27
 #: Words of all texts for each part that counts are dealt to, and the most parts.
 PART_WORDS, MOST_PARTS = 1 << 20, 1 << 16
 
@@ -85,7 +87,7 @@ def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", shards:
             words, ids, n = buffers.pop(key).block()
             return pa.record_batch([pa.array([v], f.type) for v, f in zip((shard, key, words, ids, n), _BLOCKS)], schema=_BLOCKS)
 
-        for batch in common.in_slices(batches):
+        for batch in common.in_slices(batches, 2 << 20):
             for body, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not body:
                     continue
@@ -164,34 +166,56 @@ _COUNTS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("lang", pa.st
 _COUNT_TYPES = "part int, shard int, lang string, least long, keys binary, counts binary"
 
 
-def local_counts(table: DataFrame, size: int, parts: int, known: list[Broadcast]) -> DataFrame:
-    """(part, shard, lang, least, keys, counts): for each block the keys of phrases of `size` words with their counts, dealt by the keys' first
-    bits."""
-    shift = np.uint64(64 - parts.bit_length() + 1) if parts > 1 else None
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    keys, counts = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+def local_counts(table: DataFrame, size: int, parts: int, known: list[Broadcast], support: int) -> DataFrame:
+    """(part, shard, lang, least, keys, counts): the keys of phrases of `size` words with their counts, added up over a task's blocks as far
+    as they fit. Keys are dealt to `parts` (a power of two) by their first bits, and the 32 bits behind these are sent: phrases whose bits
+    agree count as one, which can only make more candidates. No shard asks for more than `support`, so no larger count is sent."""
+    own = np.uint64(parts.bit_length() - 1)
+    kind = np.min_scalar_type(support)
+
+    def dealt(shard: int, lang: str, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = _summed(held)
+        edges = np.searchsorted(keys >> (np.uint64(64) - own), np.arange(parts + 1, dtype=np.uint64))
+        keys, counts = ((keys << own) >> np.uint64(32)).astype(np.uint32), np.minimum(counts, support).astype(kind)
+        used = np.flatnonzero(np.diff(edges)).tolist()
+        columns = [
+            used, [shard] * len(used), [lang] * len(used), [None] * len(used),
+            [keys[edges[p] : edges[p + 1]].tobytes() for p in used], [counts[edges[p] : edges[p + 1]].tobytes() for p in used],
+        ]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [b.value for b in known]
-        for batch in batches:
+        filters, held, n = [b.value for b in known], {}, 0
+        for batch in common.in_slices(batches, 1):
             for shard, lang, words, ids in zip(*(batch.column(n).to_pylist() for n in ("shard", "lang", "words", "ids"))):
                 _, keys = Block(lang, words, ids).places(size, filters)
                 keys, counts = np.unique(keys, return_counts=True)
-                counts = counts.astype(np.int64)
-                of = (keys >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), np.int64)
-                edges = np.searchsorted(of, np.arange(parts + 1))
-                used = np.flatnonzero(np.diff(edges)).tolist()
-                columns = [
-                    used, [shard] * len(used), [lang] * len(used), [None] * len(used),
-                    [keys[edges[p] : edges[p + 1]].tobytes() for p in used], [counts[edges[p] : edges[p + 1]].tobytes() for p in used],
-                ]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
+                held.setdefault((shard, lang), []).append((keys, counts))
+                n += len(keys)
+                if n > HELD_KEYS:
+                    for key in list(held):
+                        yield dealt(*key, held.pop(key))
+                    n = 0
+        for key in list(held):
+            yield dealt(*key, held.pop(key))
 
     return table.mapInArrow(rows, _COUNT_TYPES)
 
 
-def locally_frequent(counts: DataFrame, least: DataFrame, bits: int, parts: int) -> Candidates:
+def locally_frequent(counts: DataFrame, least: DataFrame, bits: int, parts: int, support: int) -> Candidates:
     """The phrases with `least` (shard, lang, least) or more occurrences in some shard, as a filter. Each part of the keys is summed in
     one task, a shard and language at a time, and gives its range of the filter."""
     width = (1 << bits) // parts
+    shift, kind = np.uint32(33 - width.bit_length()), np.min_scalar_type(support)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = None, None
@@ -201,23 +225,17 @@ def locally_frequent(counts: DataFrame, least: DataFrame, bits: int, parts: int)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "bits"])
 
         for group in common.sorted_groups(batches, ("part", "lang", "shard")):
-            support = [v for v in group.column("least").to_pylist() if v is not None]
-            if group.num_rows == len(support) or not support:
+            least_own = [v for v in group.column("least").to_pylist() if v is not None]
+            if group.num_rows == len(least_own) or not least_own:
                 continue
             now = group.column("part")[0].as_py()
             if now != part:
                 if part is not None:
                     yield written()
                 part, own = now, np.zeros(width, bool)
-            keys, n = (
-                np.concatenate([np.frombuffer(b, kind) for b in group.column(c).to_pylist() if b is not None])
-                for c, kind in (("keys", np.uint64), ("counts", np.int64))
-            )
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            frequent = keys[starts[np.add.reduceat(n, starts) >= support[0]]]
-            own[(frequent >> np.uint64(64 - bits)).astype(np.int64) - part * width] = True
+            pairs = zip(group.column("keys").to_pylist(), group.column("counts").to_pylist())
+            keys, n = _summed([(np.frombuffer(k, np.uint32), np.frombuffer(c, kind)) for k, c in pairs if k is not None])
+            own[keys[n >= least_own[0]] >> shift] = True
         if part is not None:
             yield written()
 
@@ -234,7 +252,7 @@ def global_counts(table: DataFrame, known: list[Broadcast], support: int) -> Dat
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [b.value for b in known]
-        for batch in batches:
+        for batch in common.in_slices(batches, 1):
             for lang, words, ids in zip(*(batch.column(n).to_pylist() for n in ("lang", "words", "ids"))):
                 block = Block(lang, words, ids)
                 for size in range(1, len(filters) + 1):
@@ -262,11 +280,11 @@ def mine(
     share = F.expr(f"cast((cast(own as decimal(38,0)) * {support} + n - 1) div n as long)")
     least = common.staged(of_shard.join(words, "lang").where(F.col("n") >= support).select("shard", "lang", F.greatest(share, F.lit(1)).alias("least")))
     total = table.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(total.bit_length() + 1, LEAST_BITS), MOST_BITS)
+    bits = min(max(total.bit_length() - 2, LEAST_BITS), MOST_BITS)
     parts = min(1 << max(total // PART_WORDS, 1).bit_length(), MOST_PARTS)
     known = []
     for size in range(1, longest + 1):
-        found = locally_frequent(local_counts(table, size, parts, known), least, bits, parts)
+        found = locally_frequent(local_counts(table, size, parts, known, support), least, bits, parts, support)
         known.append(spark.sparkContext.broadcast(found))
     return common.staged(global_counts(table, known, support)), words
 
