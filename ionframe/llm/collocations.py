@@ -29,6 +29,8 @@ BLOCK_WORDS = 1 << 19
 HELD_WORDS = 1 << 20
 #: Keys that a task holds before it gives their counts.
 HELD_KEYS = 1 << 20
+#: Phrases that a task gives at a time, and words that a task of the last count reads where that leaves two tasks per core.
+ROWS, TASK_WORDS = 1 << 14, 1 << 24
 #: Bits of a candidate filter: a power of two, a quarter to half the words of all texts, between these. A filter only spares work.
 LEAST_BITS, MOST_BITS = 20, 27
 #: Words of all texts for each part that counts are dealt to, and the most parts.
@@ -101,6 +103,7 @@ def blocks(documents: DataFrame, text: str = "text", lang: str = "lang", shards:
                         break
         for key in list(buffers):
             yield written(key)
+        pa.default_memory_pool().release_unused()
 
     texts = documents.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     return texts.mapInArrow(rows, "shard int, lang string, words string, ids binary, n long")
@@ -207,6 +210,7 @@ def local_counts(table: DataFrame, size: int, parts: int, known: list[Broadcast]
                     n = 0
         for key in list(held):
             yield dealt(*key, held.pop(key))
+        pa.default_memory_pool().release_unused()
 
     return table.mapInArrow(rows, _COUNT_TYPES)
 
@@ -247,8 +251,8 @@ def locally_frequent(counts: DataFrame, least: DataFrame, bits: int, parts: int,
     return Candidates(bits, parts, ((r.part, r.bits) for r in dealt.mapInArrow(rows, "part int, bits binary").toLocalIterator()))
 
 
-def global_counts(table: DataFrame, known: list[Broadcast], support: int) -> DataFrame:
-    """(lang, size, phrase, f): exact counts over all texts of the candidates with `support` or more occurrences."""
+def global_counts(table: DataFrame, known: list[Broadcast], support: int, total: int) -> DataFrame:
+    """(lang, phrase, f, size): exact counts over all texts, of `total` words, of the candidates with `support` or more occurrences."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [b.value for b in known]
@@ -258,11 +262,20 @@ def global_counts(table: DataFrame, known: list[Broadcast], support: int) -> Dat
                 for size in range(1, len(filters) + 1):
                     at, _ = block.places(size, filters[:size])
                     phrases, n = block.counts(size, at)
-                    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array([size] * len(phrases), pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())]
-                    yield pa.record_batch(columns, names=["lang", "size", "phrase", "n"])
-
-    made = table.select("lang", "words", "ids").mapInArrow(rows, "lang string, size int, phrase string, n long")
-    return made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+                    for start in range(0, len(phrases), ROWS):
+                        part = slice(start, start + ROWS)
+                        columns = [pa.array([lang] * len(phrases[part]), pa.string()), pa.array(phrases[part], pa.string()), pa.array(n[part], pa.int64())]
+                        yield pa.record_batch(columns, names=["lang", "phrase", "n"])
+        pa.default_memory_pool().release_unused()
+
+    made = table.select("lang", "words", "ids")
+    # A task's counts are added up before they are sent, so fewer and longer tasks send less.
+    least = 2 * table.sparkSession.sparkContext.defaultParallelism
+    tasks = max(least, total // TASK_WORDS)
+    made = made.coalesce(tasks).mapInArrow(rows, "lang string, phrase string, n long")
+    counted = made.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+    # Words hold no spaces.
+    return counted.withColumn("size", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
 
 
 def mine(
@@ -286,7 +299,7 @@ def mine(
     for size in range(1, longest + 1):
         found = locally_frequent(local_counts(table, size, parts, known, support), least, bits, parts, support)
         known.append(spark.sparkContext.broadcast(found))
-    return common.staged(global_counts(table, known, support)), words
+    return common.staged(global_counts(table, known, support, total)), words
 
 
 def collocations(
