@@ -245,6 +245,12 @@ def _by_component(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes lie in different components of `labels`."""
+    both = pairs.join(labels.toDF("a", "c_a"), "a", "left").join(labels.toDF("b", "c_b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Likely pairs (a, b) that share a table key and lie in different components of `labels`. Only keys whose members are
     not all in one component count; a pair of blocks of a key's members is compared in one place."""
@@ -311,9 +317,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id), text_key (a hash of
     the text) and group (a number of the component); these two tell rows of one doc_id apart.
 
-    Documents with equal shingle sets are one class and enter the search once. In each table key the classes are
-    compared with the key's most popular member (the one that meets most others over all tables), which gives confirmed
-    links, and loose groups of classes that are likely to be alike. Loose groups that share a likely pair under some key are
+    Documents with equal shingle sets are one class and enter the search once. A table key's pivot is its most popular member (the
+    one that meets most others over all tables). Each class is compared with the most popular of its pivots, then with those of its other
+    pivots that are still in another component; this gives confirmed links, and loose groups of classes that are likely to be alike. Loose groups that share a likely pair under some key are
     joined, so that every likely pair is inside one; there, all likely pairs that the confirmed links leave in different
     components are compared. So a large group of near copies costs a star and its few stragglers, not all its pairs, and
     no likely link between components is left untried.
@@ -328,13 +334,20 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
     members = common.staged(table_members(classes))
     popularity = members.groupBy("node").agg(F.sum("members").alias("met"))
-    pivots = members.join(popularity, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
-    stars = members.join(pivots, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
+    pivots = members.join(popularity, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("pivot"))
+    stars = common.staged(
+        members.join(pivots, "key").where("pivot.node != node")
+        .select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.met").alias("met")).distinct()
+    )
     nodes = members.select("node").distinct()
     sets = common.staged(shingle_sets(documents, classes.join(nodes, "node").select("node", "set_key", "first_doc"), doc_id, text))
-    stars = common.staged(_likely(stars, classes))
-    links = common.staged(confirmed(stars, sets))
-    labels, loose = components(links), components(stars)
+    # A node's most popular pivot first; of the others only those that this leaves in another component.
+    nearest = stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("best.a", "b")
+    likely = common.staged(_likely(nearest, classes))
+    links = common.staged(confirmed(likely, sets))
+    others = common.staged(_likely(_apart(stars, components(links)), classes))
+    links = common.staged(links.union(confirmed(others, sets)))
+    labels, loose = components(links), components(likely.union(others))
     bridges = common.staged(cross_pairs(members, classes, loose))
     loose = components(loose.select(F.col("node").alias("a"), F.col("component").alias("b")).union(bridges))
     labels = components(links.union(confirmed_within(loose, labels, classes, sets)))
