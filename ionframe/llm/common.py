@@ -59,11 +59,16 @@ class Cache(dict):
             if len(key) > self.longest:
                 return value
         if len(self) >= self.size:
+            self.old = {}
             self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def in_slices(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows of about `size` bytes, so that what is made from one stays small."""

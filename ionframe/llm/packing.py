@@ -37,7 +37,7 @@ def cuts(n: int, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
 
 def pack(
     documents: DataFrame, tokenizer: str, end_id: int, longest: int = LONGEST, doc_id: str = "doc_id", text: str = "text",
-    keep_ids: bool = True,
+    keep_ids: bool = True, keep_memory: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens (of its document, end id included), bucket (length is
     2 ** bucket), ids_crc32, ids (binary, little-endian unsigned 32-bit numbers), sequence_id, offset.
@@ -46,7 +46,8 @@ def pack(
     nothing is padded. A null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null
     doc_id stays null. sequence_id is unique: the partition's number and a count in it; the input is only read, never
     shuffled, so a task that runs again gives the same numbers. `tokenizer` is a file of word BPE, read by each worker.
-    `keep_ids=False` leaves the ids out, for reports."""
+    `keep_ids=False` leaves the ids out, for reports. A worker remembers words from task to task; `keep_memory=False` makes it forget
+    them after each task, for jobs whose other stages need the memory."""
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = wordbpe.library_encoder(tokenizer), wordbpe.packed([end_id])
@@ -61,6 +62,8 @@ def pack(
                     for column, value in zip(columns, row):
                         column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+        if not keep_memory:
+            encoder.forget()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = rows.mapInArrow(

@@ -116,6 +116,11 @@ class TextEncoder:
         self.by_word = Cache(lambda word: packed(merge(word)), size, 48)
         self.by_piece = Cache(self._piece, size, 48)
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.by_word.forget()
+        self.by_piece.forget()
+
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
             return self.by_word[piece]
