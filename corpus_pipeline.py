@@ -32,7 +32,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two sequences with their ids."""
-    return packing.pack(docs, public_tokenizers.path(WORD_FILE), END_ID)
+    return packing.pack(docs, public_tokenizers.path(WORD_FILE), END_ID, keep_memory=False)
 
 
 STAGES = [
