@@ -288,3 +288,32 @@ def header_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<run id="r" defaultInstrumentConfigurationRef="IC1"><userParam name="segment" value="', F.col("c_mktsegment"), '"/></run></mzML>',
     )
     return table(spark, sf_dir, "customer").select(_text("run=", key).alias("run_id"), xml.alias("xml"))
+
+
+#: Files that the spectra are written to; how many bytes each has follows the table.
+RUN_FILES = 8
+
+
+def write_run_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The spectrum elements as mzML files, several runs in each, with comments, CDATA and instructions that hold other elements."""
+    file = F.pmod(F.xxhash64("scan_index"), F.lit(RUN_FILES)).cast("int")
+    noise = F.when(F.col("scan_index") % 10 == 0, '<!-- <spectrum id="no"> -->').when(
+        F.col("scan_index") % 10 == 1, '<userParam name="x"><![CDATA[<spectrum id="no">]]></userParam><?note <spectrum?>'
+    )
+    body = spectrum_xml(spark, sf_dir).select(
+        file.alias("file"), F.col("scan_index").alias("place"), F.concat(F.coalesce(noise, F.lit("")), "xml").alias("value")
+    )
+    groups = "".join(
+        f'<referenceableParamGroup id="level{n}"><cvParam accession="MS:1000511" name="ms level" value="{n}"/></referenceableParamGroup>'
+        for n in (1, 2, 3)
+    )
+    head = (
+        '<?xml version="1.0" encoding="utf-8"?><mzML xmlns="http://psi.hupo.org/ms/mzml"><referenceableParamGroupList>'
+        f'{groups}</referenceableParamGroupList><run id="r"><spectrumList count="0">'
+    )
+    ends = spark.range(RUN_FILES).select(
+        F.col("id").cast("int").alias("file"),
+        F.inline(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((-1, head), (1 << 60, "</spectrumList></run></mzML>"))])),
+    )
+    whole = body.unionByName(ends.withColumn("place", F.col("place").cast("long")))
+    whole.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)

@@ -374,6 +374,18 @@ SELECT run_id, id, s.scan_index, ms_level,
        CAST(CAST(rt AS DOUBLE) * CASE WHEN s.scan_index % 2 = 1 THEN 60 ELSE 1 END AS DOUBLE) AS rt,
        CAST(ion_mobility AS DOUBLE) AS ion_mobility, CAST(coalesce(n, 0) AS INTEGER) AS n_peaks, lo AS mz_min, hi AS mz_max,
        coalesce(mz_weighted, 0) AS mz_weighted, coalesce(intensity_weighted, 0) AS intensity_weighted
+FROM spectra s LEFT JOIN packed p ON p.scan_index = s.scan_index""",
+    "mzml_file_ranges": f"""
+WITH {PEAKS},
+packed AS (
+  SELECT scan_index, count(*) AS n, min(mz64) AS lo, max(mz64) AS hi,
+         CAST(sum(CAST(round(mz64 * 100) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS mz_weighted,
+         CAST(sum(CAST(round(CAST(intensity AS DOUBLE)) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS intensity_weighted
+  FROM peaks GROUP BY scan_index)
+SELECT id, s.scan_index, ms_level,
+       CAST(CAST(rt AS DOUBLE) * CASE WHEN s.scan_index % 2 = 1 THEN 60 ELSE 1 END AS DOUBLE) AS rt,
+       CAST(ion_mobility AS DOUBLE) AS ion_mobility, CAST(coalesce(n, 0) AS INTEGER) AS n_peaks, lo AS mz_min, hi AS mz_max,
+       coalesce(mz_weighted, 0) AS mz_weighted, coalesce(intensity_weighted, 0) AS intensity_weighted
 FROM spectra s LEFT JOIN packed p ON p.scan_index = s.scan_index""",
     "mzml_spectrum_meta": f"""
 WITH {SPECTRA},

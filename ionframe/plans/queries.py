@@ -697,6 +697,23 @@ def mzml_spectra(spark, sf_dir):
     )
 
 
+#: Bytes that one task reads of a run file.
+RANGE_BYTES = 1 << 20
+
+
+@query
+def mzml_file_ranges(spark, sf_dir):
+    """Run files written to the shared folder, each read by several tasks, parsed and decoded."""
+    path = scratch_path(spark, "runs")
+    bridge.write_run_files(spark, sf_dir, path)
+    files = f"{path}/*/*.txt"
+    spectra = mzml.read_spectra(spark, files, groups=mzml.param_groups(mzml.read_headers(spark, files)), range_bytes=RANGE_BYTES)
+    return spectra.select(
+        "id", "scan_index", "ms_level", *_double("rt", "ion_mobility"), "n_peaks", "mz_min", "mz_max",
+        _weighted("mz_array", 100).alias("mz_weighted"), _weighted("intensity_array", 1).alias("intensity_weighted"),
+    )
+
+
 @query
 def mzml_spectrum_meta(spark, sf_dir):
     """Spectrum headers with every field of their precursor and product."""
