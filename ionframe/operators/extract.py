@@ -139,29 +139,24 @@ def extract_boxes(
 ) -> DataFrame:
     """All peaks of all boxes in one pass: a range join made of an equi-join and an exact re-check.
 
-    m/z and RT are cut into a grid. A peak lies in one cell; a box is repeated for each cell it touches, so it
-    finds each peak once; a wide box touches many cells and does not widen those of others. Spark broadcasts the boxes
-    while they are small, so that the peaks are not shuffled; otherwise it joins on (level, cell), with both axes in
-    the key so that a crowded m/z alone does not make one heavy key. A box with a ``run_id`` finds peaks of that run only.
+    m/z and RT are cut into a grid whose cells double in width from level to level. A box asks, on each axis, at the finest level
+    where it touches two cells at most, so it is four rows at most however wide it is; a peak is asked for at the pairs of levels
+    that boxes use (one, where all boxes have the same tolerances), in one cell of each, so a box finds each peak once. Spark
+    broadcasts the boxes while they are small, so that the peaks are not shuffled; otherwise it joins on (level, cells), with both
+    axes in the key so that a crowded m/z alone does not make one heavy key. A box with a ``run_id`` finds peaks of that run
+    only. The pairs of levels in use, at most some 40 x 40, are asked for when the plan is made.
     """
-    if "run_id" not in boxes.columns:
-        boxes = boxes.withColumn("run_id", F.lit(None).cast("string"))
-    edges = boxes.select(
-        F.col("run_id").alias("_run"),
-        "box_id",
-        F.col("ms_level").alias("_level"),
-        (F.col("mz") - F.col("mz_tol")).cast("float").alias("_mz_lo"),
-        (F.col("mz") + F.col("mz_tol")).cast("float").alias("_mz_hi"),
-        (F.col("rt") - F.col("rt_tol")).cast("float").alias("_rt_lo"),
-        (F.col("rt") + F.col("rt_tol")).cast("float").alias("_rt_hi"),
-    )
-    cells = _each_cell(_each_cell(edges, "_mz", mz_cell), "_rt", rt_cell)
-    peaks = long.filter(F.col("data_type") == SPECTRUM).withColumns({
-        "_mz_at": _cell(F.col("mz"), mz_cell),
-        "_rt_at": _cell(F.col("rt"), rt_cell),
+    asked = box_cells(boxes, mz_cell, rt_cell)
+    pairs = sorted((r["_mz_level"], r["_rt_level"]) for r in asked.select("_mz_level", "_rt_level").distinct().collect())
+    levels = F.array(*[F.struct(F.lit(m).alias("mz"), F.lit(r).alias("rt")) for m, r in pairs]).cast("array<struct<mz:int,rt:int>>")
+    peaks = long.filter(F.col("data_type") == SPECTRUM).withColumn("_at", F.explode(levels)).withColumns({
+        "_mz_at": _shifted(_cell(F.col("mz"), mz_cell), F.col("_at.mz")),
+        "_rt_at": _shifted(_cell(F.col("rt"), rt_cell), F.col("_at.rt")),
     })
     same_cell = (
         (F.col("ms_level") == F.col("_level"))
+        & (F.col("_at.mz") == F.col("_mz_level"))
+        & (F.col("_at.rt") == F.col("_rt_level"))
         & (F.col("_mz_at") == F.col("_mz_cell"))
         & (F.col("_rt_at") == F.col("_rt_cell"))
         & (F.col("_run").isNull() | (F.col("_run") == F.col("run_id")))
@@ -169,16 +164,45 @@ def extract_boxes(
     inside = F.col("mz").between(F.col("_mz_lo"), F.col("_mz_hi")) & F.col("rt").between(
         F.col("_rt_lo"), F.col("_rt_hi")
     )
-    return peaks.join(cells, same_cell & inside).select("box_id", *long.columns)
+    return peaks.join(asked, same_cell & inside).select("box_id", *long.columns)
+
+
+def box_cells(boxes: DataFrame, mz_cell: float = MZ_CELL, rt_cell: float = RT_CELL) -> DataFrame:
+    """The bounds of boxes and the cells they ask in, a row per cell, four for a box at most."""
+    if "run_id" not in boxes.columns:
+        boxes = boxes.withColumn("run_id", F.lit(None).cast("string"))
+    edges = boxes.select(
+        F.col("run_id").alias("_run"),
+        "box_id",
+        F.col("ms_level").alias("_level"),
+        (F.col("mz") - F.col("mz_tol")).cast("float").alias("_mz_lo"),
+        (F.col("mz") + F.col("mz_tol")).cast("float").alias("_mz_hi"),
+        (F.col("rt") - F.col("rt_tol")).cast("float").alias("_rt_lo"),
+        (F.col("rt") + F.col("rt_tol")).cast("float").alias("_rt_hi"),
+    ).filter("_mz_lo <= _mz_hi and _rt_lo <= _rt_hi")
+    return _each_cell(_each_cell(edges, "_mz", mz_cell), "_rt", rt_cell)
+
+
+#: Cells are numbered up to this far from zero; what lies beyond is in the last one.
+LAST_CELL = 1 << 40
 
 
 def _cell(c: Column, width: float) -> Column:
-    return F.floor(c.cast("double") / F.lit(float(width)))
+    return F.floor(F.greatest(F.least(c.cast("double") / F.lit(float(width)), F.lit(float(LAST_CELL))), F.lit(-float(LAST_CELL))))
+
+
+def _shifted(cell: Column, level: Column) -> Column:
+    return F.call_function("shiftright", cell, level)
 
 
 def _each_cell(edges: DataFrame, axis: str, width: float) -> DataFrame:
-    span = F.sequence(_cell(F.col(f"{axis}_lo"), width), _cell(F.col(f"{axis}_hi"), width))
-    return edges.withColumn(f"{axis}_cell", F.explode(span))
+    """A row for each of the one or two cells that an axis of a box touches at the finest level where it touches no more. Cells lo to hi do
+    so at the first level k with 2 ** k >= hi - lo, as they cross one border at most there."""
+    lo, hi = _cell(F.col(f"{axis}_lo"), width), _cell(F.col(f"{axis}_hi"), width)
+    level = F.when(hi - lo <= 1, F.lit(0)).otherwise(F.length(F.bin(hi - lo - 1))).cast("int")
+    at = edges.withColumn(f"{axis}_level", level)
+    level = F.col(f"{axis}_level")
+    return at.withColumn(f"{axis}_cell", F.explode(F.sequence(_shifted(lo, level), _shifted(hi, level))))
 
 
 def hits_per_box(hits: DataFrame, boxes: DataFrame) -> DataFrame:

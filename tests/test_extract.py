@@ -191,3 +191,19 @@ def test_codec(spark, bits, zipped):
     text = codec.encode_array(F.col("v"), F.lit(bits), F.lit(zipped))
     back = df.withColumn("t", text).select("v", codec.decode_array(F.col("t"), F.lit(bits), F.lit(zipped)).alias("d"))
     assert all(r.v == r.d for r in back.collect())
+
+
+def test_boxes_of_any_width(spark, long):
+    inf = float("inf")
+    boxes = [
+        (0, 1, 500.0, 1e9, 100.0, 1e9), (1, 2, 500.0, inf, 100.0, inf), (2, 1, 300.0, 0.0, 60.0, 0.0), (3, 2, 800.0, 333.0, 50.0, 7.5),
+        (4, 1, -5.0, 600.0, -3.0, 90.0), (5, 1, 700.0, -1.0, 10.0, 5.0), (6, 3, 512.0, 1.0, 64.0, 64.0), (7, 1, 511.5, 256.25, 120.0, 119.0),
+    ]
+    table = extract.box_table(spark, boxes)
+    cells = {r.box_id: r["count"] for r in extract.box_cells(table, 0.01, 0.5).groupBy("box_id").count().collect()}
+    assert set(cells) == {0, 1, 2, 3, 4, 6, 7} and max(cells.values()) <= 4
+    for widths in ((0.01, 0.5), (1.0, 120.0)):
+        found = extract.extract_boxes(long, table, *widths)
+        got = {r.box_id: r.n_hits for r in extract.hits_per_box(found, table).collect()}
+        assert got == {b[0]: extract.extract_box(long, *b[2:], b[1]).count() for b in boxes}
+    assert extract.extract_boxes(long, table.limit(0)).count() == 0
