@@ -149,7 +149,9 @@ def extract_boxes(
     asked = box_cells(boxes, mz_cell, rt_cell)
     pairs = sorted((r["_mz_level"], r["_rt_level"]) for r in asked.select("_mz_level", "_rt_level").distinct().collect())
     levels = F.array(*[F.struct(F.lit(m).alias("mz"), F.lit(r).alias("rt")) for m, r in pairs]).cast("array<struct<mz:int,rt:int>>")
-    peaks = long.filter(F.col("data_type") == SPECTRUM).withColumn("_at", F.explode(levels)).withColumns({
+    peaks = long.filter(F.col("data_type") == SPECTRUM).withColumn(
+        "_at", F.get(levels, F.lit(0)) if len(pairs) == 1 else F.explode(levels)
+    ).withColumns({
         "_mz_at": _shifted(_cell(F.col("mz"), mz_cell), F.col("_at.mz")),
         "_rt_at": _shifted(_cell(F.col("rt"), rt_cell), F.col("_at.rt")),
     })
