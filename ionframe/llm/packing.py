@@ -46,12 +46,12 @@ def pack(
     nothing is padded. A null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null
     doc_id stays null. sequence_id is unique: the partition's number and a count in it; the input is only read, never
     shuffled, so a task that runs again gives the same numbers. `tokenizer` is a file of word BPE, read by each worker.
-    `keep_ids=False` leaves the ids out, for reports. A worker remembers words from task to task; `keep_memory=False` makes it forget
-    them after each task, for jobs whose other stages need the memory."""
+    `keep_ids=False` leaves the ids out, for reports. A worker remembers words from task to task; `keep_memory=False` makes it remember
+    fewer, take smaller slices, and forget all after each task, for jobs whose other stages need the memory."""
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = wordbpe.library_encoder(tokenizer), wordbpe.packed([end_id])
-        for batch in common.in_slices(batches):
+        encoder, end = wordbpe.library_encoder(tokenizer, 250_000 if keep_memory else 60_000), wordbpe.packed([end_id])
+        for batch in common.in_slices(batches, 8 << 20 if keep_memory else 1 << 20):
             columns = [[] for _ in _PIECES]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.encode(body) + end

@@ -26,6 +26,8 @@ WINDOW = 50
 ANCHOR = 10
 #: Distinct runs in one automaton at most; a run has less than twice WINDOW words.
 SHARD = 1024
+#: Bytes of text that a worker takes apart at a time.
+SLICE = 1 << 20
 #: Positions take this many low bits where hash and position are compared as one number.
 _PLACE = 24
 
@@ -155,21 +157,26 @@ def runs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = common.Cache(word_hash)
-        for batch in common.in_slices(batches):
-            parts: list[list] = [[] for _ in _RUNS]
-            for key, text_key, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for batch in common.in_slices(batches, SLICE):
+            keys, text_keys, bodies = (batch.column(i) for i in range(3))
+            counts, digests, found, owners = [], [], [], []
+            for row, (key, body) in enumerate(zip(keys.to_pylist(), bodies.to_pylist())):
                 words = common.words(body)
-                digest = hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
-                for part, value in zip(parts, (key, text_key, len(words), digest, None, None, None, None)):
-                    part.append(value)
+                counts.append(len(words))
+                digests.append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest())
                 if len(words) >= window and key is not None:
                     value, start, count, content = runs_of(_hashes(words, memory), window, anchor)
-                    n = len(start)
-                    signed = np.array(content, np.uint64).view(np.int64)
-                    for part, column in zip(parts, ([key] * n, [text_key] * n, [None] * n, [None] * n, value.view(np.int64).tolist(),
-                                                    signed.tolist(), start.tolist(), count.tolist())):
-                        part.extend(column)
-            yield pa.record_batch([pa.array(p, f.type) for p, f in zip(parts, _RUNS)], schema=_RUNS)
+                    found.append((value, np.array(content, np.uint64), start.astype(np.int32), count.astype(np.int32)))
+                    owners.append(np.full(len(start), row))
+            none = pa.nulls(batch.num_rows)
+            columns = [keys, text_keys, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), none, none, none, none]
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, _RUNS)], schema=_RUNS)
+            if found:
+                value, content, start, count = map(np.concatenate, zip(*found))
+                owner = pa.array(np.concatenate(owners))
+                none = pa.nulls(len(owner))
+                columns = [keys.take(owner), text_keys.take(owner), none, none, *map(pa.array, (value.view(np.int64), content.view(np.int64), start, count))]
+                yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, _RUNS)], schema=_RUNS)
 
     return _texts(documents, doc_id, text).mapInArrow(
         rows, "doc_id long, text_key long, n_words long, words_sha256 string, anchor long, content long, start int, windows int"
@@ -195,7 +202,7 @@ def _cut_out(references: DataFrame, texts: DataFrame, window: int, each_window:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = common.Cache(word_hash)
-        for batch in common.in_slices(batches, 1 << 20 if each_window else 8 << 20):
+        for batch in common.in_slices(batches, SLICE):
             out: list[list] = [[], [], [], [], []]
             for key, body, wanted_ in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = memoryview(_hashes(common.words(body), memory).tobytes())
@@ -313,7 +320,7 @@ def digests(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows, spans, texts = repeats(documents, doc_id, text)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.in_slices(batches):
+        for batch in common.in_slices(batches, SLICE):
             removed, shas = [], []
             for body, spans_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = common.words(body)

@@ -175,9 +175,10 @@ def encoder(path: str) -> TextEncoder:
 
 
 @functools.lru_cache(2)
-def library_encoder(path: str) -> TextEncoder:
-    """This process's encoder whose words go through the `tokenizers` library's own BPE model."""
+def library_encoder(path: str, size: int = 250_000) -> TextEncoder:
+    """This process's encoder whose words go through the `tokenizers` library's own BPE model; each cache remembers `size` words
+    in a generation."""
     from tokenizers import Tokenizer
 
     bpe, model = load(path), Tokenizer.from_file(path).model
-    return TextEncoder(bpe, lambda word: [t.id for t in model.tokenize(bpe.spelled(word))])
+    return TextEncoder(bpe, lambda word: [t.id for t in model.tokenize(bpe.spelled(word))], size)
