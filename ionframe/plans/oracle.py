@@ -212,6 +212,12 @@ SELECT data_type, ms_level, count(*) AS n_rows, count(DISTINCT id) AS n_ids, CAS
        CAST(max(mz) AS DOUBLE) AS mz_hi,
        CAST(CAST(sum(CAST(intensity AS DOUBLE)) AS DECIMAL(20, 2)) AS DOUBLE) AS sum_intensity
 FROM long_table GROUP BY data_type, ms_level""",
+    "store_add_runs": f"""
+WITH {LONG}
+SELECT run_id, data_type, count(*) AS n_rows, count(DISTINCT id) AS n_ids,
+       CAST(CAST(sum(CAST(mz AS DOUBLE)) AS DECIMAL(20, 2)) AS DOUBLE) AS sum_mz,
+       CAST(CAST(sum(CAST(intensity AS DOUBLE)) AS DECIMAL(20, 2)) AS DOUBLE) AS sum_intensity
+FROM long_table GROUP BY run_id, data_type""",
     "parquet_roundtrip_wide": """
 SELECT 'spectrum' AS data_type, (SELECT count(*) FROM orders) AS n_ids, (SELECT count(*) FROM lineitem) AS n_points
 UNION ALL
