@@ -27,20 +27,89 @@ def fetch_by_ids(df: DataFrame, ids: Sequence | DataFrame) -> DataFrame:
     """The spectrum rows of a list of ids, of ``(run_id, id)`` pairs, or of a DataFrame with ``id`` and perhaps ``run_id``.
 
     Native ids start anew in every run, so an id alone fetches its spectrum from each run. A list reaches the
-    Parquet scan as an IN predicate.
+    Parquet scan as an IN predicate. Nulls fetch nothing.
     """
-    spectra = df.filter(F.col("data_type") == SPECTRUM)
+    return _with_ids(df.filter(F.col("data_type") == SPECTRUM), ids)
+
+
+def _with_ids(spectra: DataFrame, ids: Sequence | DataFrame) -> DataFrame:
     if isinstance(ids, DataFrame):
         keys = [c for c in ("run_id", "id") if c in ids.columns]
         return spectra.join(ids.select(*keys), keys, "left_semi")
+    ids = [i for i in ids if i is not None]
     pairs = [i for i in ids if not isinstance(i, str)]
-    if not pairs:
-        return spectra.filter(F.col("id").isin(list(ids)))
-    if len(pairs) < len(ids):
+    if len(pairs) not in (0, len(ids)):
         raise ValueError("give either ids or (run_id, id) pairs")
-    among = F.col("run_id").isin(sorted({r for r, _ in pairs})) & F.col("id").isin(sorted({i for _, i in pairs}))
-    exact = F.struct("run_id", "id").isin([F.struct(F.lit(r), F.lit(i)) for r, i in pairs])
-    return spectra.filter(among & exact)
+    if not pairs:
+        return spectra.filter(_among("id", map(_text, ids)))
+    pairs = [p for p in pairs if None not in p]
+    among = _among("run_id", {_text(r) for r, _ in pairs}) & _among("id", {_text(i) for _, i in pairs})
+    return spectra.filter(among & _among("struct(run_id, id)", (f"struct({_text(r)}, {_text(i)})" for r, i in pairs)))
+
+
+def _text(s: str) -> str:
+    """A string as SQL, whatever characters it has."""
+    return f"cast(X'{s.encode().hex()}' as string)"
+
+
+def _among(what: str, values: Iterable[str]) -> Column:
+    """``what in (values)``. Parsed from one text: a call per value would take longer than the fetch."""
+    listed = ", ".join(values)
+    return F.expr(f"{what} in ({listed})") if listed else F.lit(False)
+
+
+#: Spectra of an index that may be looked up on the driver, and the boxes that their places are covered by.
+MOST_PLACES, MOST_COVERS = 10_000, 32
+
+
+def fetch_indexed(long: DataFrame, index: DataFrame, ids: Sequence | DataFrame) -> DataFrame:
+    """The rows that ``fetch_by_ids`` fetches, from a store whose index tells where spectra lie (``tables.read_index``).
+
+    Ids are scattered over the clustered layout, but each spectrum has one run, level and RT. Those of the ids asked for are
+    looked up when the plan is made; in the store's order they are cut into at most ``MOST_COVERS`` boxes, whose bounds reach
+    the Parquet scan, so it skips all row groups beside them. Ids are then compared as without an index. More than
+    ``MOST_PLACES`` spectra are fetched without bounds: so many lie everywhere. Ids that the index lacks have no rows.
+    """
+    fetched = fetch_by_ids(long, ids)
+    rt = F.nanvl("rt", F.lit(None).cast("float")).alias("rt")
+    places = _with_ids(index, ids).select("run_id", "ms_level", rt).distinct().limit(MOST_PLACES + 1).collect()
+    if len(places) > MOST_PLACES:
+        return fetched
+    if not places:
+        return fetched.filter(F.lit(False))
+    covers = (_cover(part) for part in _cut(sorted(places, key=_store_order), MOST_COVERS))
+    return fetched.filter(" or ".join(f"({cover})" for cover in covers))
+
+
+def _store_order(place) -> tuple:
+    """The order of the clustered layout; nulls first."""
+    low = -float("inf")
+    return (place["run_id"] or "").encode(), *(low if place[c] is None else place[c] for c in ("ms_level", "rt"))
+
+
+def _cut(places: list, most: int) -> list[list]:
+    """Consecutive parts, as many as allowed: cut where the run or level changes and at the widest steps of RT, or into equal
+    parts where runs and levels are too many."""
+    order = [_store_order(p) for p in places]
+    change = [i for i in range(1, len(places)) if order[i][:2] != order[i - 1][:2]]
+    if len(change) >= most:
+        cuts = list(range(0, len(places), -(-len(places) // most)))[1:]
+    else:
+        steps = sorted(set(range(1, len(places))) - set(change), key=lambda i: order[i - 1][2] - order[i][2])
+        cuts = sorted(change + steps[: most - 1 - len(change)])
+    return [places[a:b] for a, b in zip([0, *cuts], [*cuts, len(places)])]
+
+
+def _cover(places: list) -> str:
+    """The bounds of some places; a column that is null in one of them is not bounded."""
+    bounds = ["true"]
+    for name, literal in (("run_id", _text), ("ms_level", "cast({} as byte)".format), ("rt", "cast('{!r}' as float)".format)):
+        values = {p[name] for p in places}
+        if None not in values:
+            order = str.encode if name == "run_id" else None
+            lo, hi = literal(min(values, key=order)), literal(max(values, key=order))
+            bounds.append(f"{name} = {lo}" if lo == hi else f"{name} between {lo} and {hi}")
+    return " and ".join(bounds)
 
 
 def sample_ids(ids: DataFrame, n: int, rank: Column | None = None, seed: int = 42) -> DataFrame:

@@ -218,6 +218,12 @@ SELECT run_id, data_type, count(*) AS n_rows, count(DISTINCT id) AS n_ids,
        CAST(CAST(sum(CAST(mz AS DOUBLE)) AS DECIMAL(20, 2)) AS DOUBLE) AS sum_mz,
        CAST(CAST(sum(CAST(intensity AS DOUBLE)) AS DECIMAL(20, 2)) AS DOUBLE) AS sum_intensity
 FROM long_table GROUP BY run_id, data_type""",
+    "store_fetch_indexed": f"""
+WITH {PEAKS},
+indexed AS (SELECT DISTINCT run_id, id, scan_index FROM peaks),
+sample AS (SELECT run_id, id FROM indexed ORDER BY (scan_index * 7919 + 13) % 1000003, run_id, id LIMIT 100)
+SELECT run_id, id, ms_level, {MEASURES}, (SELECT count(*) FROM indexed) AS n_indexed
+FROM peaks WHERE (run_id, id) IN (SELECT (run_id, id) FROM sample)""",
     "parquet_roundtrip_wide": """
 SELECT 'spectrum' AS data_type, (SELECT count(*) FROM orders) AS n_ids, (SELECT count(*) FROM lineitem) AS n_points
 UNION ALL

@@ -369,6 +369,18 @@ def store_add_runs(spark, sf_dir):
     )
 
 
+@query
+def store_fetch_indexed(spark, sf_dir):
+    """A store of the long table with an index, and 100 sampled spectra fetched by it; the index is shown by its size."""
+    path = scratch_path(spark, "indexed")
+    tables.write_long(_long_table(spark, sf_dir), path, index=True)
+    long, index = tables.read_long(spark, path), tables.read_index(spark, path)
+    some = [(r.run_id, r.id) for r in extract.sample_ids(index, 100, (F.substring("id", 6, 20).cast("long") * 7919 + 13) % 1000003).collect()]
+    size = index.agg(F.count(F.lit(1)).alias("n_indexed"))
+    rows = extract.fetch_indexed(long, index, some).select("run_id", "id", "ms_level", *_double("rt", "mz", "intensity"))
+    return rows.join(F.broadcast(size), how="cross")  # one row
+
+
 @query
 def parquet_roundtrip_wide(spark, sf_dir):
     """Both wide tables written, and read back."""

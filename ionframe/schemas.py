@@ -14,6 +14,9 @@ LONG = T.StructType([
     T.StructField("peak_index", T.IntegerType()),
 ])
 
+# Where a spectrum lies in the long layout.
+INDEX = T.StructType([LONG[name] for name in ("run_id", "id", "ms_level", "rt")])
+
 WIDE_SPECTRA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("id", T.StringType()),
