@@ -190,14 +190,19 @@ def random_boxes(
     rt_tol: float = 60.0,
     seed: int = 42,
 ) -> DataFrame:
-    """``n`` boxes with centres drawn uniformly, the same for the same seed (one partition makes them so)."""
-    uniform = lambda span, s: F.lit(span[0]) + F.rand(s) * F.lit(span[1] - span[0])
-    return spark.range(0, n, 1, 1).select(
+    """``n`` boxes with centres drawn uniformly, the same for the same seed: an axis' share is the first 52 bits of the MD5 of
+    ``seed:axis:box_id``, axis 0 being m/z and 1 RT."""
+
+    def uniform(span: tuple[float, float], axis: int) -> Column:
+        bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{axis}:"), F.col("id"))), 1, 13), 16, 10).cast("double")
+        return F.lit(float(span[0])) + bits / F.lit(2.0**52) * F.lit(float(span[1] - span[0]))
+
+    return spark.range(n).select(
         F.col("id").alias("box_id"),
         F.lit(ms_level).cast("byte").alias("ms_level"),
-        uniform(mz, seed).alias("mz"),
+        uniform(mz, 0).alias("mz"),
         F.lit(mz_tol).alias("mz_tol"),
-        uniform(rt, seed + 1).alias("rt"),
+        uniform(rt, 1).alias("rt"),
         F.lit(rt_tol).alias("rt_tol"),
         F.lit(None).cast("string").alias("run_id"),
     )

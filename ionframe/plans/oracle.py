@@ -41,6 +41,22 @@ boxes AS (
          CAST((i * 104729) % 2400 + 60.0 AS FLOAT) AS rt_hi
   FROM (SELECT CAST(range AS BIGINT) AS i FROM range(100)))"""
 
+# Spectra with the times that their XML gives, and the time of the spectrum that a precursor names or of the last one a level below.
+TIMED = SPECTRA + """,
+timed AS (SELECT *, CAST(rt AS DOUBLE) * CASE WHEN scan_index % 2 = 1 THEN 60 ELSE 1 END AS seconds FROM spectra),
+before AS (
+  SELECT *, last_value(CASE WHEN ms_level = 1 THEN scan_index END IGNORE NULLS) OVER w AS last1,
+         last_value(CASE WHEN ms_level = 2 THEN scan_index END IGNORE NULLS) OVER w AS last2,
+         row_number() OVER (PARTITION BY run_id ORDER BY scan_index) AS place
+  FROM timed
+  WINDOW w AS (PARTITION BY run_id ORDER BY scan_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+records AS (
+  SELECT b.*, o_custkey AS cust,
+         CASE WHEN b.ms_level > 1 THEN coalesce(named.seconds, below.seconds) END AS precursor_rt
+  FROM before b JOIN orders ON o_orderkey = b.scan_index
+  LEFT JOIN timed named ON b.scan_index % 7 = 0 AND named.scan_index = b.scan_index - 1 AND named.run_id = b.run_id
+  LEFT JOIN timed below ON below.scan_index = CASE b.ms_level WHEN 2 THEN b.last1 WHEN 3 THEN b.last2 END)"""
+
 MZ_RANGE = "mz BETWEEN CAST(20000 AS FLOAT) AND CAST(25000 AS FLOAT)"
 RT_RANGE = "rt BETWEEN CAST(100 AS FLOAT) AND CAST(400 AS FLOAT)"
 MEASURES = "CAST(rt AS DOUBLE) AS rt, CAST(mz AS DOUBLE) AS mz, CAST(intensity AS DOUBLE) AS intensity"
@@ -154,7 +170,9 @@ WITH {PEAKS}
 SELECT s.id, s.ms_level, CAST(s.rt AS DOUBLE) AS rt, CAST(count(p.id) AS INTEGER) AS n_peaks,
        first(mz64 ORDER BY peak_index) AS mz_first, last(mz64 ORDER BY peak_index) AS mz_last,
        min(mz64) AS mz_min, max(mz64) AS mz_max,
-       coalesce(sum(CAST(intensity AS DOUBLE)), 0) AS sum_intensity
+       coalesce(sum(CAST(intensity AS DOUBLE)), 0) AS sum_intensity,
+       coalesce(CAST(sum(CAST(round(mz64 * 100) AS BIGINT) * (peak_index + 1)) AS BIGINT), 0) AS mz_weighted,
+       coalesce(CAST(sum(CAST(round(CAST(intensity AS DOUBLE)) AS BIGINT) * (peak_index + 1)) AS BIGINT), 0) AS intensity_weighted
 FROM spectra s LEFT JOIN peaks p ON p.scan_index = s.scan_index
 GROUP BY s.id, s.ms_level, s.rt""",
     "chrom_wide": f"""
@@ -163,7 +181,9 @@ SELECT run_id, id, 'chromatogram' AS data_type, CAST(precursor_mz AS DOUBLE) AS
        CAST(product_mz AS DOUBLE) AS product_mz, CAST(count(*) AS INTEGER) AS n_points,
        first(time ORDER BY peak_index) AS time_first, last(time ORDER BY peak_index) AS time_last,
        CAST(first(intensity ORDER BY peak_index) AS DOUBLE) AS intensity_first,
-       CAST(last(intensity ORDER BY peak_index) AS DOUBLE) AS intensity_last
+       CAST(last(intensity ORDER BY peak_index) AS DOUBLE) AS intensity_last,
+       CAST(sum(CAST(round(time * 1000000) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS time_weighted,
+       CAST(sum(CAST(round(CAST(intensity AS DOUBLE) * 1000) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS intensity_weighted
 FROM points GROUP BY run_id, id, precursor_mz, product_mz""",
     "chrom_to_long": f"""
 WITH {POINTS}
@@ -188,7 +208,8 @@ FROM (SELECT vec_id, embedding, unnest(range(least(len(embedding), label * 5 + 3
     "array_stats": """
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(list_min(embedding) AS DOUBLE) AS lo,
        CAST(list_max(embedding) AS DOUBLE) AS hi, CAST(embedding[1] AS DOUBLE) AS first,
-       CAST(embedding[-1] AS DOUBLE) AS last
+       CAST(embedding[-1] AS DOUBLE) AS last,
+       CAST(list_sum(list_transform(embedding, lambda x, i: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) * i)) AS BIGINT) AS weighted
 FROM embeddings""",
     "narrow_casts": """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_linenumber AS TINYINT) AS line,
@@ -224,10 +245,16 @@ indexed AS (SELECT DISTINCT run_id, id, scan_index FROM peaks),
 sample AS (SELECT run_id, id FROM indexed ORDER BY (scan_index * 7919 + 13) % 1000003, run_id, id LIMIT 100)
 SELECT run_id, id, ms_level, {MEASURES}, (SELECT count(*) FROM indexed) AS n_indexed
 FROM peaks WHERE (run_id, id) IN (SELECT (run_id, id) FROM sample)""",
-    "parquet_roundtrip_wide": """
-SELECT 'spectrum' AS data_type, (SELECT count(*) FROM orders) AS n_ids, (SELECT count(*) FROM lineitem) AS n_points
+    "parquet_roundtrip_wide": f"""
+WITH {PEAKS}, {POINTS}
+SELECT 'spectrum' AS data_type, (SELECT count(*) FROM orders) AS n_ids, count(*) AS n_points,
+       CAST(sum(CAST(round(mz64 * 100) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS x_weighted,
+       CAST(sum(CAST(round(CAST(intensity AS DOUBLE)) AS BIGINT) * (peak_index + 1)) AS BIGINT) AS y_weighted
+FROM peaks
 UNION ALL
-SELECT 'chromatogram', count(DISTINCT event_type || '_' || user_id), count(*) FROM events""",
+SELECT 'chromatogram', count(DISTINCT id), count(*), CAST(sum(CAST(round(time * 1000) AS BIGINT) * (peak_index + 1)) AS BIGINT),
+       CAST(sum(CAST(round(CAST(intensity AS DOUBLE) * 100) AS BIGINT) * (peak_index + 1)) AS BIGINT)
+FROM points""",
     "precursor_asof": f"""
 WITH {SPECTRA},
 seen AS (
@@ -454,15 +481,49 @@ SELECT run_id, 'not well-formed' AS error, count(*) FILTER (scan_index % 10 = 0)
 FROM spectra GROUP BY run_id HAVING count(*) FILTER (scan_index % 10 = 0) > 0""",
     "json_quarantine": """
 SELECT DISTINCT 'user=' || user_id AS doc_id, 'not a JSON object' AS error FROM events WHERE user_id % 3 = 0""",
-    "metadata_attached": """
-WITH e AS (
-  SELECT 'user=' || user_id AS run_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n_chromatograms, count(*) AS n_points,
+    "metadata_attached": f"""
+WITH {TIMED},
+s AS (
+  SELECT run_id, CAST(count(*) AS INTEGER) AS n_spectra, CAST(sum(place * scan_index) * 1000 AS BIGINT) AS ids,
+         CAST(sum(place * seconds) * 1000 AS BIGINT) AS times,
+         CAST(coalesce(sum(place * precursor_rt), 0) * 1000 AS BIGINT) AS precursor_times,
+         CAST(sum(CASE WHEN ms_level > 1 THEN place * (cust % 3) ELSE 0 END) * 1000 AS BIGINT) AS precursor_charges,
+         CAST(sum(CASE WHEN ms_level = 3 THEN place * (cust * 1000 + 125) ELSE 0 END) AS BIGINT) AS product_mzs
+  FROM records GROUP BY run_id),
+p AS (SELECT run_id, count(*) AS n_peaks FROM spectra JOIN lineitem ON l_orderkey = scan_index GROUP BY run_id),
+e AS (
+  SELECT 'run=' || user_id AS run_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n_chromatograms, count(*) AS n_points,
          min(user_id) + 0.25::DOUBLE AS precursor_mz
   FROM events GROUP BY user_id),
 h AS (
-  SELECT 'user=' || c_custkey AS run_id, 'Model ' || c_nationkey AS instrument, CAST(c_custkey AS VARCHAR) AS checksum
+  SELECT 'run=' || c_custkey AS run_id, 'Model ' || c_nationkey AS instrument, CAST(c_custkey AS VARCHAR) AS checksum
   FROM customer)
-SELECT run_id, instrument, checksum, 0 AS n_spectra, coalesce(n_chromatograms, 0) AS n_chromatograms, precursor_mz,
-       coalesce(n_points, 0) AS n_points
-FROM h FULL JOIN e USING (run_id)""",
+SELECT run_id, instrument, checksum, coalesce(n_spectra, 0) AS n_spectra, coalesce(n_chromatograms, 0) AS n_chromatograms,
+       coalesce(ids, 0) AS ids, coalesce(times, 0) AS times, coalesce(precursor_times, 0) AS precursor_times,
+       coalesce(precursor_charges, 0) AS precursor_charges, coalesce(product_mzs, 0) AS product_mzs, precursor_mz, true AS same,
+       coalesce(n_peaks, 0) AS n_peaks, coalesce(n_points, 0) AS n_points, CAST(coalesce(n_spectra, 0) AS BIGINT) AS n_wide
+FROM h FULL JOIN s USING (run_id) FULL JOIN e USING (run_id) LEFT JOIN p USING (run_id)""",
+    "precursor_by_reference": f"""
+WITH {TIMED}
+SELECT run_id, scan_index, id AS native_id, ms_level, seconds AS rt, precursor_rt,
+       CASE WHEN ms_level > 1 THEN cust + CASE WHEN scan_index % 11 <> 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END AS precursor_mz,
+       CASE WHEN ms_level > 1 THEN CAST(cust % 3 AS DOUBLE) END AS precursor_charge,
+       CASE WHEN ms_level > 1 THEN CAST(scan_index % 100 AS DOUBLE) END AS precursor_intensity,
+       CASE WHEN ms_level > 1 THEN cust + CASE WHEN scan_index % 11 <> 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END AS precursor_selected_ion_mz,
+       CASE WHEN ms_level > 1 THEN nullif(CAST(cust % 3 AS DOUBLE), 0) END AS precursor_selected_ion_charge,
+       CASE WHEN ms_level > 1 THEN nullif(CAST(scan_index % 100 AS DOUBLE), 0) END AS precursor_selected_ion_intensity,
+       CASE WHEN ms_level = 3 THEN cust + 0.125::DOUBLE END AS product_mz
+FROM records""",
+    "random_boxes": f"""
+WITH {PEAKS},
+shares AS (
+  SELECT i AS box_id, CAST(CAST('0x' || substr(md5('42:0:' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496::DOUBLE AS a,
+         CAST(CAST('0x' || substr(md5('42:1:' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496::DOUBLE AS b
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(200))),
+drawn AS (SELECT box_id, 1000::DOUBLE + a * 99000::DOUBLE AS mz, b * 2400::DOUBLE AS rt FROM shares)
+SELECT box_id, CAST(2 AS TINYINT) AS ms_level, d.mz, d.rt, count(p.id) AS n_hits
+FROM drawn d LEFT JOIN peaks p
+  ON p.ms_level = 2 AND p.mz BETWEEN CAST(d.mz - 500 AS FLOAT) AND CAST(d.mz + 500 AS FLOAT)
+     AND p.rt BETWEEN CAST(d.rt - 60 AS FLOAT) AND CAST(d.rt + 60 AS FLOAT)
+GROUP BY box_id, d.mz, d.rt""",
 }

@@ -101,6 +101,14 @@ def box_mean_hits(spark, sf_dir):
 # --- filters and fetches --------------------------------------------------------------------------------
 
 
+@query
+def random_boxes(spark, sf_dir):
+    """Boxes drawn over the ranges of the whole peak table, and what each of them finds."""
+    drawn = extract.random_boxes(spark, 200, 2, mz=(1_000.0, 100_000.0), rt=(0.0, 2_400.0), mz_tol=500.0, rt_tol=60.0)
+    hits = extract.extract_boxes(bridge.spectrum_peaks(spark, sf_dir, ms_levels=(2,)), drawn)
+    return drawn.select("box_id", "ms_level", "mz", "rt").join(extract.hits_per_box(hits, drawn), "box_id")
+
+
 def _summary(df: DataFrame) -> DataFrame:
     """Per MS level: rows, spectra, and the extent of what was selected."""
     return df.groupBy("ms_level").agg(
@@ -199,7 +207,7 @@ def wide_to_long(spark, sf_dir):
 
 @query
 def long_to_wide(spark, sf_dir):
-    """Peak rows packed to arrays; arrays are shown by size, ends and a sum."""
+    """Peak rows packed to arrays; arrays are shown by size, ends, a sum, and sums weighted by place."""
     wide = bridge.wide_spectra(spark, sf_dir)
     return wide.select(
         "id",
@@ -211,6 +219,8 @@ def long_to_wide(spark, sf_dir):
         "mz_min",
         "mz_max",
         F.aggregate("intensity_array", F.lit(0.0), lambda a, x: a + x).alias("sum_intensity"),
+        _weighted("mz_array", 100).alias("mz_weighted"),
+        _weighted("intensity_array", 1).alias("intensity_weighted"),
     )
 
 
@@ -227,6 +237,8 @@ def chrom_wide(spark, sf_dir):
         F.element_at("time_array", -1).alias("time_last"),
         F.element_at("intensity_array", 1).cast("double").alias("intensity_first"),
         F.element_at("intensity_array", -1).cast("double").alias("intensity_last"),
+        _weighted("time_array", 1_000_000).alias("time_weighted"),
+        _weighted("intensity_array", 1000).alias("intensity_weighted"),
     )
 
 
@@ -277,6 +289,7 @@ def array_stats(spark, sf_dir):
         F.array_max("embedding").cast("double").alias("hi"),
         F.element_at("embedding", 1).cast("double").alias("first"),
         F.element_at("embedding", -1).cast("double").alias("last"),
+        _weighted("embedding", 1_000_000).alias("weighted"),
     )
 
 
@@ -387,12 +400,12 @@ def parquet_roundtrip_wide(spark, sf_dir):
     path = scratch_path(spark, "wide")
     tables.write_wide(bridge.wide_spectra(spark, sf_dir), bridge.wide_chromatograms(spark, sf_dir), path)
     spectra, chromatograms = tables.read_wide(spark, path)
-    return spectra.groupBy("data_type").agg(
-        F.countDistinct("id").alias("n_ids"), F.sum(F.size("mz_array")).alias("n_points")
-    ).unionByName(
-        chromatograms.groupBy("data_type").agg(
-            F.countDistinct("id").alias("n_ids"), F.sum(F.size("time_array")).alias("n_points")
-        )
+    shown = lambda x, scale, y: (
+        F.countDistinct("id").alias("n_ids"), F.sum(F.size(x)).alias("n_points"),
+        F.sum(_weighted(x, scale)).alias("x_weighted"), F.sum(_weighted("intensity_array", y)).alias("y_weighted"),
+    )
+    return spectra.groupBy("data_type").agg(*shown("mz_array", 100, 1)).unionByName(
+        chromatograms.groupBy("data_type").agg(*shown("time_array", 1000, 100))
     )
 
 
@@ -711,7 +724,7 @@ def _groups(spark, sf_dir) -> DataFrame:
     return mzml.param_groups(mzml.headers_from(bridge.header_xml(spark, sf_dir)))
 
 
-def _weighted(values: str, scale: int):
+def _weighted(values, scale: int):
     """A sum of scaled values times their place, which no other order of them has."""
     scaled = F.transform(values, lambda x, i: F.round(x.cast("double") * scale).cast("bigint") * (i + 1))
     return F.aggregate(scaled, F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -762,6 +775,22 @@ def mzml_spectrum_meta(spark, sf_dir):
     )
 
 
+@query
+def precursor_by_reference(spark, sf_dir):
+    """Records of parsed spectra: a precursor's time is that of the spectrum it names, else of the last one a level below."""
+    elements = mzml.elements_from(bridge.spectrum_xml(spark, sf_dir, arrays=False), mzml.SPECTRUM_XML, groups=_groups(spark, sf_dir))
+    records = metadata.spectrum_records(staged(mzml.spectrum_meta_of(elements)))
+    precursor, product = F.get("record.precursors", F.lit(0)), F.get("record.products", F.lit(0))
+    return records.select(
+        "run_id", "scan_index", "record.native_id", "record.ms_level", F.col("record.rt").cast("double").alias("rt"),
+        *[
+            precursor[n].cast("double").alias(f"precursor_{n}")
+            for n in ("rt", "mz", "charge", "intensity", "selected_ion_mz", "selected_ion_charge", "selected_ion_intensity")
+        ],
+        product["mz"].alias("product_mz"),
+    )
+
+
 @query
 def mzml_chromatograms(spark, sf_dir):
     elements = mzml.elements_from(bridge.chromatogram_xml(spark, sf_dir), mzml.CHROMATOGRAM_XML)
@@ -828,22 +857,42 @@ def json_quarantine(spark, sf_dir):
 
 @query
 def metadata_attached(spark, sf_dir):
-    """The long layout of the chromatograms written with the runs' documents, made from parsed headers and chromatograms, and
-    both read back together."""
+    """Both layouts of parsed runs written with the runs' documents, which are made of parsed headers, spectra and chromatograms;
+    all read back together. Records are shown by sums over the whole document, weighted by place."""
     path = scratch_path(spark, "attached")
-    elements = mzml.elements_from(bridge.chromatogram_xml(spark, sf_dir), mzml.CHROMATOGRAM_XML)
-    headers = bridge.header_xml(spark, sf_dir).withColumn("run_id", F.replace("run_id", F.lit("run="), F.lit("user=")))
-    nothing = mzml.elements_from(headers.select("run_id", F.lit(None).cast("string").alias("xml")).limit(0), mzml.SPECTRUM_XML)
-    documents = metadata.documents_of(
-        mzml.headers_from(headers), mzml.spectrum_meta_of(nothing), mzml.chromatogram_meta_of(elements)
-    )
-    tables.write_long(layout.chromatograms_to_long(mzml.chromatograms_of(elements)), path, documents=documents)
-    points = tables.read_long(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_points"))
-    field = lambda name: F.get_json_object("document", name)
-    return tables.read_documents(spark, path).join(points, "run_id", "left").select(
-        "run_id", field("$.instrument.name").alias("instrument"), field("$.source_files[0].checksum").alias("checksum"),
-        F.json_array_length(field("$.spectra")).alias("n_spectra"),
-        F.json_array_length(field("$.chromatograms")).alias("n_chromatograms"),
-        field("$.chromatograms[0].precursor.mz").cast("double").alias("precursor_mz"),
-        F.coalesce("n_points", F.lit(0)).cast("bigint").alias("n_points"),
-    )
+    headers = mzml.headers_from(bridge.header_xml(spark, sf_dir))
+    spectra = mzml.elements_from(staged(bridge.spectrum_xml(spark, sf_dir)), mzml.SPECTRUM_XML, groups=mzml.param_groups(headers))
+    texts = bridge.chromatogram_xml(spark, sf_dir).withColumn("run_id", F.replace("run_id", F.lit("user="), F.lit("run=")))
+    chromatograms = mzml.elements_from(staged(texts), mzml.CHROMATOGRAM_XML)
+    documents = staged(metadata.documents_of(headers, staged(mzml.spectrum_meta_of(spectra)), mzml.chromatogram_meta_of(chromatograms)))
+    wide, traces = staged(mzml.spectra_of(spectra)), staged(mzml.chromatograms_of(chromatograms))
+    tables.write_wide(wide, traces, f"{path}-wide", documents=documents)
+    tables.write_long(layout.long_table(wide, traces), f"{path}-long", documents=documents)
+    of_kind = lambda kind, name: F.count_if(F.col("data_type") == kind).alias(name)
+    peaks = tables.read_long(spark, f"{path}-long").groupBy("run_id").agg(of_kind(layout.SPECTRUM, "n_peaks"), of_kind(layout.CHROMATOGRAM, "n_points"))
+    headers_read = tables.read_wide(spark, f"{path}-wide")[0].groupBy("run_id").agg(F.count(F.lit(1)).alias("n_wide"))
+    beside_wide = tables.read_documents(spark, f"{path}-wide").select("run_id", F.col("document").alias("other"))
+    whole = tables.read_documents(spark, f"{path}-long").join(beside_wide, "run_id", "full").withColumn("d", F.from_json("document", DOCUMENT))
+    none = F.lit(0.0)
+    by_place = lambda value: _weighted(F.transform("d.spectra", lambda x: F.coalesce(value(x), none)), 1000)
+    in_first = lambda child, name: lambda x: F.get(x[child], F.lit(0))[name]
+    return whole.join(peaks, "run_id", "left").join(headers_read, "run_id", "left").select(
+        "run_id", F.col("d.instrument.name").alias("instrument"), F.get("d.source_files", F.lit(0))["checksum"].alias("checksum"),
+        F.size("d.spectra").alias("n_spectra"), F.size("d.chromatograms").alias("n_chromatograms"),
+        by_place(lambda x: F.substring(x["native_id"], 6, 20).cast("double")).alias("ids"),
+        by_place(lambda x: x["rt"]).alias("times"),
+        by_place(in_first("precursors", "rt")).alias("precursor_times"),
+        by_place(in_first("precursors", "selected_ion_charge")).alias("precursor_charges"),
+        by_place(in_first("products", "mz")).alias("product_mzs"),
+        F.get("d.chromatograms", F.lit(0))["precursor"]["mz"].alias("precursor_mz"),
+        F.col("document").eqNullSafe(F.col("other")).alias("same"),
+        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("n_peaks", "n_points", "n_wide")],
+    )
+
+
+#: What of a document the query above reads.
+DOCUMENT = (
+    "instrument struct<name:string>, source_files array<struct<checksum:string>>, "
+    "spectra array<struct<native_id:string,rt:double,precursors:array<struct<rt:double,selected_ion_charge:double>>,products:array<struct<mz:double>>>>, "
+    "chromatograms array<struct<precursor:struct<mz:double>>>"
+)
