@@ -351,6 +351,80 @@ def write_documents(flat: DataFrame, path: str, namespace: str | None = DEFAULT_
     rebuild(flat, namespace).select("doc_id", xml).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
 
 
+def document_lines(flat: DataFrame, namespace: str | None = DEFAULT_NAMESPACE) -> DataFrame:
+    """The rebuilt documents with their declaration as ``(doc_id, key, line)``: in ``key`` order, with '>' behind each, the lines read
+    as the document. A line is a tag or a text with the tag after it, so none holds more than one element's own values.
+
+    A text that children follow ends in an empty comment, because only markup ends in '>'; otherwise the documents are those of
+    ``rebuild``.
+    """
+    keyed = parse_keys(flat)
+    named = staged(elements(keyed))
+    everything = named.unionByName(fill_gaps(named))
+    is_text = F.col("kind") == "text"
+    pair = F.struct("name", F.concat(F.lit(" "), "name", F.lit('="'), C.xml_escape_attribute(F.col("value")), F.lit('"')).alias("xml"))
+    own = keyed.filter((F.col("kind") == "attribute") | (is_text & (F.length("value") > 0))).groupBy("doc_id", "key").agg(
+        F.array_sort(F.collect_list(F.when(~is_text, pair))).alias("attributes"), F.max(F.when(is_text, C.xml_escape_text(F.col("value")))).alias("text")
+    )
+    own = own.select("doc_id", "key", "text", F.array_join(F.transform(_last_of_each("attributes", "name"), lambda a: a["xml"]), "").alias("attributes"))
+    at_root = F.col("parent") == ""
+    roots = everything.filter(at_root).groupBy("doc_id").agg(F.min("tag").alias("_lo"), F.max("tag").alias("_hi"))
+    good = roots.filter(_root_status(F.col("_lo"), F.col("_hi")) == "ok").select("doc_id")
+
+    def line(mark: str, *parts) -> Column:
+        return F.struct(F.concat("key", F.lit(mark)).alias("key"), F.concat(*parts).alias("line"))
+
+    declared = f' xmlns="{namespace}"' if namespace else ""
+    has_child, has_text = F.col("has_child"), F.col("has_text")
+    start = line(
+        "", F.when(at_root, F.lit(XML_DECLARATION + "<")).otherwise(F.lit("<")), F.col("tag"), F.when(at_root, F.lit(declared)).otherwise(F.lit("")),
+        F.coalesce("attributes", F.lit("")), F.when(has_child | has_text, F.lit("")).otherwise(F.lit(" /")),
+    )
+    text = line(_IN_BODY, F.col("text"), F.when(has_child, F.lit("<!----")).otherwise(F.concat(F.lit("</"), "tag")))
+    end = line(_IN_END, F.lit("</"), F.col("tag"))
+    lines = F.when(has_child & has_text, F.array(start, text, end)).when(has_child, F.array(start, end)).when(has_text, F.array(start, text))
+    rows = everything.join(own, ["doc_id", "key"], "left").select("doc_id", F.inline(F.coalesce(lines, F.array(start))))
+    return rows.join(good, "doc_id", "left_semi")
+
+
+def write_document_files(flat: DataFrame, path: str, namespace: str | None = DEFAULT_NAMESPACE) -> None:
+    """Rebuilt documents as UTF-8 XML, a folder ``doc_id=...`` for each, whose files in name order are the document.
+
+    Documents are spread over tasks by their parts, so a large one is written by many; no document is ever one cell. A small
+    one is one file, or two where a border between tasks falls in it. Null and empty ids name no folder and are left out.
+    """
+    _write_lines(document_lines(flat, namespace), path, ">")
+
+
+def _write_lines(lines: DataFrame, path: str, after_each: str) -> None:
+    rows = lines.filter(F.length("doc_id") > 0).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    rows.select("doc_id", "line").write.partitionBy("doc_id").option("lineSep", after_each).text(path)
+
+
+def read_document_files(spark: SparkSession, path: str, text: str = "xml") -> DataFrame:
+    """The documents of a folder that ``write_document_files`` or ``write_flat_json_files`` wrote, as ``(doc_id, <text>)``. Here a document
+    is one cell."""
+    files = spark.read.schema("value string, doc_id string").text(path, wholetext=True)
+    parts = files.select("doc_id", F.col("_metadata.file_name").alias("name"), "value")
+    return parts.groupBy("doc_id").agg(grouping.ordered_list(["name"], ["value"]).alias("items")).select(
+        "doc_id", F.array_join("items.value", "").alias(text)
+    )
+
+
+def write_flat_json_files(flat: DataFrame, path: str) -> None:
+    """One flat JSON object per document, its keys in order, as UTF-8 files laid out as by ``write_document_files``. Of values under one
+    key the greatest stays; documents without pairs have no file."""
+    once = flat.groupBy("doc_id", "path").agg(F.max("value").alias("value"))
+    first = once.groupBy("doc_id").agg(F.min("path").alias("path")).withColumn("_first", F.lit(True))
+    pair = F.to_json(F.create_map("path", "value"), {"writeNonAsciiCharacterAsCodePoint": "true", "ignoreNullFields": "false"})
+    opening = F.when(F.col("_first"), F.lit("{")).otherwise(F.lit(","))
+    pairs = once.join(first, ["doc_id", "path"], "left").select(
+        "doc_id", F.struct(F.lit(0).alias("end"), "path").alias("key"), F.concat(opening, F.substring(pair, F.lit(2), F.length(pair) - 2)).alias("line")
+    )
+    ends = first.select("doc_id", F.struct(F.lit(1).alias("end"), F.lit("").alias("path")).alias("key"), F.lit("}").alias("line"))
+    _write_lines(pairs.unionByName(ends), path, "\n")
+
+
 def read_flat_json(spark: SparkSession, paths) -> DataFrame:
     """Files that each hold one flat JSON object, as ``(doc_id, path, value)``."""
     files = spark.read.text(paths, wholetext=True).select(

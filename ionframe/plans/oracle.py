@@ -113,7 +113,20 @@ named AS (SELECT DISTINCT doc_id, root, line FROM keys WHERE part % 10 <> 0),
 ends AS (SELECT doc_id, root, max(line) AS top FROM named GROUP BY doc_id, root),
 every AS (SELECT doc_id, root, CAST(unnest(range(top + 1)) AS BIGINT) AS idx FROM ends)"""
 
+ORDER_PAIRS = """
+WITH pairs AS (
+  SELECT 'doc/' || l_orderkey % 32 AS doc_id, 'run:o' || l_orderkey || '[0]:' AS o, l_linenumber AS line, l_partkey AS part,
+         l_returnflag || ' > & < é' || chr(10) || l_partkey AS text, l_linestatus AS status, l_orderkey
+  FROM lineitem),
+every AS (
+  SELECT doc_id, o || '#text' AS path, 'order ' || l_orderkey AS value FROM pairs
+  UNION ALL SELECT doc_id, o || 'line[' || line || ']:@part', '"' || part FROM pairs
+  UNION ALL SELECT doc_id, o || 'line[' || line || ']:#text', text FROM pairs WHERE status = 'O')
+SELECT doc_id, path, max(value) AS value FROM every GROUP BY doc_id, path"""
+
 ORACLE = {
+    "tree_document_files": ORDER_PAIRS,
+    "flat_json_files": ORDER_PAIRS,
     "extract_box": f"""
 WITH {PEAKS}
 SELECT run_id, id, ms_level, {MEASURES} FROM peaks WHERE {MZ_RANGE} AND {RT_RANGE}""",

@@ -595,6 +595,37 @@ def tree_roundtrip(spark, sf_dir):
     )
 
 
+def _order_pairs(spark, sf_dir) -> DataFrame:
+    """Flat pairs of a few large documents: orders with a text and with lines that have an attribute and perhaps a text."""
+    items = bridge.table(spark, sf_dir, "lineitem")
+    order = F.concat(F.lit("run:o"), F.col("l_orderkey"), F.lit("[0]:"))
+    line = F.concat(order, F.lit("line["), F.col("l_linenumber"), F.lit("]:"))
+    text = F.concat("l_returnflag", F.lit(" > & < é\n"), "l_partkey")
+    pairs = F.array(
+        F.struct(F.concat(order, F.lit("#text")).alias("path"), F.concat(F.lit("order "), "l_orderkey").alias("value")),
+        F.struct(F.concat(line, F.lit("@part")).alias("path"), F.concat(F.lit('"'), F.col("l_partkey")).alias("value")),
+        F.struct(F.concat(line, F.lit("#text")).alias("path"), F.when(F.col("l_linestatus") == "O", text).alias("value")),
+    )
+    doc = F.concat(F.lit("doc/"), F.col("l_orderkey") % 32)
+    return items.select(doc.alias("doc_id"), F.inline(pairs)).filter(F.col("value").isNotNull())
+
+
+@query
+def tree_document_files(spark, sf_dir):
+    """Large documents rebuilt from flat pairs into XML files by many tasks, read back and flattened."""
+    path = scratch_path(spark, "documents")
+    tree.write_document_files(staged(_order_pairs(spark, sf_dir)), path)
+    return tree.flatten(tree.nodes(tree.read_document_files(spark, path))).select("doc_id", "path", "value")
+
+
+@query
+def flat_json_files(spark, sf_dir):
+    """The same pairs written as JSON files by many tasks, read back and taken apart."""
+    path = scratch_path(spark, "json")
+    tree.write_flat_json_files(_order_pairs(spark, sf_dir), path)
+    return tree.from_json_objects(tree.read_document_files(spark, path, "json")).select("doc_id", "path", "value")
+
+
 @query
 def tree_quarantine(spark, sf_dir):
     """Documents by whether they parse: web pages do not, the made documents do."""
