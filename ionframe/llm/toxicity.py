@@ -19,6 +19,8 @@ from ionframe.llm import common
 FEATURES = 1 << 26
 #: Word starts of these lengths are features beside the whole word.
 STARTS = (3, 4, 5)
+#: At most so many features get a weight, those whose shares differ by so many standard deviations.
+SELECTED, SURPRISE = 4_000, 4.0
 
 
 def features_of(word: str) -> tuple[int, ...]:
@@ -53,18 +55,32 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
+def counts_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some documents and in how many of these they are."""
+    return np.unique(np.concatenate([np.zeros(0, np.int32), *sets]), return_counts=True)
+
+
+def telling(in_p, in_u, n_p: int, n_u: int, greatest=np.maximum, root=np.sqrt):
+    """By how many standard deviations a feature's share among positives differs from that in unlabelled text. The greater share
+    gives the deviation, so a rare feature is not telling because there is much unlabelled text. For numpy arrays and, with the
+    last two arguments, for columns."""
+    a, b = in_p / n_p, in_u / n_u
+    share = greatest(a, b)
+    return (a - b) / (root(share * (1 - share) * (1 / n_p + 1 / n_u)) + 1e-12)
+
+
 def fit(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, selected: int = 4_000, surprise: float = 4.0,
-    rounds: int = 400, rate: float = 0.03, decay: float = 1e-4,
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: np.ndarray | None = None, selected: int = SELECTED,
+    surprise: float = SURPRISE, rounds: int = 400, rate: float = 0.03, decay: float = 1e-4,
 ) -> Model:
     """Fits a classifier on features of confirmed toxic and of unlabelled documents.
 
     The risk is prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with logistic loss: unlabelled
     text stands for clean text once the toxic share in it, known by the class prior, is taken out. Where that
-    difference falls below 0 the model has begun to memorise; then the step goes up its gradient. Features are the
-    `selected` whose share among the positives differs most from that in unlabelled text, by `surprise` standard
-    deviations at least. Without positives or unlabelled documents
-    the model says the prior's log odds, and without a prior 0.5 is not reached."""
+    difference falls below 0 the model has begun to memorise; then the step goes up its gradient. `features` are those that
+    get a weight; without them it is the `selected` most telling ones of these documents, of `surprise` at least. Without positives
+    or unlabelled documents the model says the prior's log odds. A prior above 0.5 counts as 0.5 and one below 0.001 as that,
+    so that 0.5 is not reached without features that speak for it."""
     prior = min(max(prior, 1e-3), 0.5)
     base = math.log(prior / (1 - prior))
     if not positive or not unlabelled:
@@ -73,14 +89,12 @@ def fit(
     rows = np.repeat(np.arange(len(positive) + len(unlabelled)), [len(x) for x in (*positive, *unlabelled)])
     names, column = np.unique(ids, return_inverse=True)
     n_p, n_u = len(positive), len(unlabelled)
-    in_p = np.bincount(column[rows < n_p], minlength=len(names))
-    in_u = np.bincount(column[rows >= n_p], minlength=len(names))
-    # How surprising the positives' share is: the two-sample statistic of shares.
-    pooled = (in_p + in_u) / (n_p + n_u)
-    spread = np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u)) + 1e-12
-    telling = (in_p / n_p - in_u / n_u) / spread
-    keep = np.argsort(-np.abs(telling), kind="stable")[:selected]
-    keep = np.sort(keep[np.abs(telling[keep]) >= surprise])
+    if features is None:
+        in_p, in_u = (np.bincount(column[side], minlength=len(names)) for side in (rows < n_p, rows >= n_p))
+        value = np.abs(telling(in_p, in_u, n_p, n_u))
+        keep = np.argsort(-value, kind="stable")[:selected]
+        features = names[keep[value[keep] >= surprise]]
+    keep = np.flatnonzero(np.isin(names, features))
     place = np.full(len(names), -1)
     place[keep] = np.arange(len(keep))
     used = place[column] >= 0
@@ -115,7 +129,8 @@ def train(
     """Trains on documents whose crc32(doc_id as text) mod `folds` is not `held_out`; on all where that is None.
 
     Positives are documents with text that are labelled toxic, unlabelled text is any document; at most `most_positive` and
-    `most_unlabelled` of them, the first by a hash of doc_id, so the sample is bounded and the same at every run.
+    `most_unlabelled` of them, the first by a hash of doc_id, so the sample is bounded and the same at every run. The weights are
+    fitted on it. Which features get one is told by their shares in these positives and in all rows of training text.
     Rows of a doc_id that share it through repeats are one example. The class prior is the toxic share of all labelled
     rows outside the held-out fold. Conflicting or repeated labels: toxic wins. Null ids, labels and texts take no part."""
 
@@ -156,7 +171,30 @@ def train(
     sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for positive, packed in sorted(zip(examples.column(0).to_pylist(), examples.column(1).to_pylist())):
         sides[positive].append(np.frombuffer(packed, np.int32))
-    return fit(sides[True], sides[False], float(share or 0.0))
+    return fit(sides[True], sides[False], float(share or 0.0), telling_features(learn.select("__text"), sides[True]))
+
+
+def telling_features(texts: DataFrame, positive: list[np.ndarray], selected: int = SELECTED, surprise: float = SURPRISE) -> np.ndarray:
+    """The features whose share among some positives differs most from that in all texts, at most `selected`; equal ones by
+    number. Counted by document in tasks and added up by feature; nothing but the selected ones comes to the driver."""
+    n_u = texts.count()
+    if not positive or not n_u:
+        return np.zeros(0, np.int32)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = common.Cache(features_of, 50_000)
+        for batch in common.in_slices(batches, 4 << 20):
+            found = counts_of([document_features(t, memory) for t in batch.column(0).to_pylist()])
+            yield pa.record_batch([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int64())], names=["__feature", "__n"])
+        memory.forget()
+
+    everywhere = texts.mapInArrow(count, "__feature int, __n long").groupBy("__feature").agg(F.sum("__n").alias("__in_u"))
+    names, in_p = counts_of(positive)
+    known = texts.sparkSession.createDataFrame(pa.table({"__feature": pa.array(names, pa.int32()), "__in_p": pa.array(in_p, pa.int64())}))
+    value = F.abs(telling(F.coalesce("__in_p", F.lit(0)), F.col("__in_u"), len(positive), n_u, F.greatest, F.sqrt))
+    shares = everywhere.join(known, "__feature", "left").select("__feature", value.alias("__value"))
+    best = shares.where(F.col("__value") >= surprise).orderBy(F.desc("__value"), "__feature").limit(selected)
+    return np.array([r[0] for r in best.collect()], np.int32)
 
 
 def score(model: Model, text: Column) -> Column:

@@ -111,7 +111,7 @@ def test_scores_do_not_see_held_out_labels(spark):
 
 def test_all_folds_teach_and_positives_have_text(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))) or toxicity.Model())
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior, features: seen.append((len(positive), len(unlabelled))) or toxicity.Model())
     texts = frame(spark, [(i, None if i % 3 else f"words {i}") for i in range(90)])
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
     assert toxicity.keep_clean(texts, labels, threshold=0.9).count() == 90
@@ -119,6 +119,48 @@ def test_all_folds_teach_and_positives_have_text(spark, monkeypatch):
     assert seen == [(20, 30), (12, 30)]
 
 
+def test_features_are_chosen_by_their_shares_in_all_texts(spark):
+    texts = [f"all {'often ' * (i % 3 == 0)} {'bad ' * (i % 10 == 0)} own{i} {'rare ' * (i in (10, 20))}" for i in range(300)]
+    positive = [toxicity.document_features(texts[i]) for i in range(0, 300, 10)]
+    frame_ = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    counts = {f: 0 for t in texts for f in toxicity.document_features(t).tolist()}
+    for t in texts:
+        for f in toxicity.document_features(t).tolist():
+            counts[f] += 1
+    in_p = {f: sum(f in p for p in positive) for f in counts}
+    value = {}
+    for f in counts:
+        a, b = in_p[f] / 30, counts[f] / 300
+        m = max(a, b)
+        value[f] = abs(a - b) / ((m * (1 - m) * (1 / 30 + 1 / 300)) ** 0.5 + 1e-12)
+    for selected, surprise in ((4000, 4.0), (3, 0.5), (4000, 1.0)):
+        want = sorted((f for f in value if value[f] >= surprise), key=lambda f: (-value[f], f))[:selected]
+        got = toxicity.telling_features(frame_, positive, selected, surprise).tolist()
+        assert got == want and toxicity.features_of("bad")[0] in got
+    assert toxicity.features_of("rare")[0] not in toxicity.telling_features(frame_, positive).tolist()
+    assert not len(toxicity.telling_features(frame_.limit(0), positive)) and not len(toxicity.telling_features(frame_, []))
+
+
+def test_risk_and_its_step_by_plain_sums():
+    """One round of the fit against the risk written out document by document and differentiated by differences."""
+    rng = np.random.default_rng(5)
+    positive = [np.unique(rng.integers(0, 6, 3)).astype(np.int32) for _ in range(12)]
+    unlabelled = [np.unique(rng.integers(0, 6, 3)).astype(np.int32) for _ in range(20)]
+    prior, every = 0.3, np.arange(6, dtype=np.int32)
+
+    def risk(weights, bias):
+        z = lambda x: bias + sum(weights[i] for i in x)
+        mean = lambda side, sign: sum(np.log1p(np.exp(sign * z(x))) for x in side) / len(side)
+        clean = mean(unlabelled, 1) - prior * mean(positive, 1)
+        return prior * mean(positive, -1) + clean if clean >= 0 else -clean
+
+    start = np.log(prior / (1 - prior))
+    step = [risk(np.eye(6)[i] * 1e-6, start) - risk(np.eye(6)[i] * -1e-6, start) for i in range(6)]
+    model = toxicity.fit(positive, unlabelled, prior, every, rounds=1, decay=0.0)
+    # The first step of Adam goes against the gradient's sign by the rate.
+    assert {f: round(w / 0.03, 2) for f, w in model.weights.items()} == {i: -np.sign(step[i]) for i in range(6)}
+
+
 def test_toxicity_of_odd_rows(spark):
     documents = frame(spark, TEXTS)
     for labels in ("1L, 1", "null, 1", "5L, null"):
