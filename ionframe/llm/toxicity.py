@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,12 +33,17 @@ def features_of(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES for name in names)
 
 
-def document_features(text: str | None, memory: dict | None = None) -> np.ndarray:
-    """Sorted distinct feature numbers of a whole text."""
+def feature_set(text: str | None, memory: dict | None = None) -> set[int]:
+    """Feature numbers of a whole text."""
     find = features_of if memory is None else memory.__getitem__
     out: set[int] = set()
     out.update(*map(find, set(common.words((text or "").lower()))))
-    return np.array(sorted(out), np.int32)
+    return out
+
+
+def document_features(text: str | None, memory: dict | None = None) -> np.ndarray:
+    """Sorted distinct feature numbers of a whole text."""
+    return np.array(sorted(feature_set(text, memory)), np.int32)
 
 
 @dataclass
@@ -181,11 +187,18 @@ def telling_features(texts: DataFrame, positive: list[np.ndarray], selected: int
     if not positive or not n_u:
         return np.zeros(0, np.int32)
 
+    def rows_of(found: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], names=["__feature", "__n"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = common.Cache(features_of, 50_000)
-        for batch in common.in_slices(batches, 4 << 20):
-            found = counts_of([document_features(t, memory) for t in batch.column(0).to_pylist()])
-            yield pa.record_batch([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int64())], names=["__feature", "__n"])
+        memory, found = common.Cache(features_of, 50_000), Counter()
+        for batch in common.in_slices(batches, 1 << 20):
+            for text in batch.column(0).to_pylist():
+                found.update(feature_set(text, memory))
+            if len(found) > 200_000:  # memory is bounded, and Spark adds up the parts
+                yield rows_of(found)
+                found.clear()
+        yield rows_of(found)
         memory.forget()
 
     everywhere = texts.mapInArrow(count, "__feature int, __n long").groupBy("__feature").agg(F.sum("__n").alias("__in_u"))
