@@ -20,7 +20,7 @@ FEATURES = 1 << 26
 #: Word starts of these lengths are features beside the whole word.
 STARTS = (3, 4, 5)
 #: At most so many features get a weight, those whose shares differ by so many standard deviations.
-SELECTED, SURPRISE = 4_000, 4.0
+SELECTED, SURPRISE = 4_000, 3.0
 
 
 def features_of(word: str) -> tuple[int, ...]:
