@@ -224,3 +224,23 @@ def test_json_quarantine(spark):
         "b": "not a JSON object", "c": "no text", "d": "not a JSON object",
     }
     assert {r.doc_id for r in tree.from_json_objects(docs).collect()} == {"a"}
+
+
+NEAR = [
+    ("n", "r:a[2]:b[1]:c[3]:@k", "1"), ("n", "r:a[2]:b[1]:c[3]:@k", "2"), ("n", "r:a[2]:b[1]:#text", "t"), ("n", "r:a[2]:b[1]:#text", "s"),
+    ("n", "r:ab[1]:x[0]", "1"), ("n", "r:a[2]:b[3]", None), ("n", "r:a[3]:@n", None), ("n", "r:a[3]:@m", ""), ("n", "r:a[1]:d[0]:e[0]:#text", "<"),
+    ("n", "r:#text", "top"), ("n", "r:a[02]:@z", "q"), ("one", "r:#text", "x"), (None, "r:a[1]:@k", "v"),
+]
+
+
+def test_rebuild_from_neighbours(spark, monkeypatch):
+    """Ends, gaps and starts between pairs of different depth, and one shuffle for all of it."""
+    flat = flat_frame(spark, NEAR)
+    built = tree.rebuild(flat, None)
+    assert {r.doc_id: r.xml for r in built.collect()} == {
+        "n": '<r>top<a /><a><d><e>&lt;</e></d></a><a z="q"><b /><b>t<c /><c /><c /><c k="2" /></b><b /><b /></a><a m="" /><ab /><ab><x /></ab></r>',
+        "one": "<r>x</r>", None: '<r><a /><a k="v" /></r>',
+    }
+    staged = []
+    monkeypatch.setattr(tree, "staged", lambda df: staged.append(df) or df)
+    assert tree.rebuild(flat, None)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and not staged
