@@ -87,3 +87,17 @@ def test_ids_that_name_no_folder_and_no_rows(spark, tmp_path):
     for write, name in ((tree.write_document_files, "xml"), (tree.write_flat_json_files, "json")):
         write(flat_frame(spark, []), f"{tmp_path}/{name}")
         assert tree.read_document_files(spark, f"{tmp_path}/{name}", name).count() == 0
+
+
+def test_keys_are_parsed_once(spark, monkeypatch):
+    """Parsing is the costly part of writing documents: it must not be repeated in filters or further plans."""
+    plans = []
+
+    def staged(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.checkpoint()
+
+    monkeypatch.setattr(tree, "staged", staged)
+    lines = tree.document_lines(flat_frame(spark, large("d", 5)))
+    plans.append(lines._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("regexp_extract") for p in plans) == 1
