@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +228,26 @@ class _Group:
         )
         self.bytes = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, len(_MULTIPLIERS))
         self.within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        self.up: dict[int, int] = {}
+
+    def root(self, k: int) -> int:
+        """What member k's component has become part of here."""
+        x = int(self.component[k])
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def bridges(self, test: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+        """Pairs of components that hold likely pairs of members (k, o) which pass a test. Components already brought together
+        here need no other pair, so there are fewer of them than members."""
+        found = []
+        for k in range(len(self.node)):
+            for o in self.partners(k).tolist():
+                one, other = self.root(k), self.root(o)
+                if one != other and test(k, o):
+                    self.up[other] = one
+                    found.append((int(self.component[k]), int(self.component[o])))
+        return found
 
     def partners(self, k: int) -> np.ndarray:
         other = (self.component > self.component[k]) & _close(self.size, self.size[k])
@@ -245,6 +265,14 @@ def _by_component(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`labels` (node, component) after pairs (a, b) of components have been brought together; a component without a row in `labels` is a
+    node of its own. Only the pairs are searched for components, not the nodes once more."""
+    merged = components(pairs)
+    moved = labels.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    return moved.union(merged.join(labels.select("node"), "node", "left_anti"))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) whose nodes lie in different components of `labels`."""
     both = pairs.join(labels.toDF("a", "c_a"), "a", "left").join(labels.toDF("b", "c_b"), "b", "left")
@@ -252,22 +280,16 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) that share a table key and lie in different components of `labels`. Only keys whose members are
-    not all in one component count; a pair of blocks of a key's members is compared in one place."""
+    """Pairs (a, b) of components of `labels` that hold likely pairs of nodes with one table key, enough of them to bring all such
+    components together. Only keys whose members are not all in one component count; a pair of blocks of a key's members is
+    compared in one place."""
     named = _by_component(members, labels)
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows_of = named.join(mixed.select("key"), "key").join(classes.select("node", "n_shingles", "signature"), "node")
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sorted_groups(batches, ("key", "i", "j")):
-            group, seen, found = _Group(batch), set(), []
-            for k, node in enumerate(group.node.tolist()):
-                for o in group.partners(k).tolist():
-                    # One pair is enough to bring two components together.
-                    bridge = group.component[k], group.component[o]
-                    if bridge not in seen:
-                        seen.add(bridge)
-                        found.append((node, int(group.node[o])))
+            found = _Group(batch).bridges(lambda k, o: True)
             if found:
                 yield _pairs_batch(found)
 
@@ -276,7 +298,7 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> Da
 
 
 def confirmed_within(loose: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between different components inside each loose group. A group's sets are dealt to blocks, and
+    """Pairs (a, b) of different components that confirmed links inside each loose group bring together. A group's sets are dealt to blocks, and
     every likely pair across components of each pair of blocks is compared on its full sets; once a link has brought two
     components together there, their other pairs need no test."""
     named = _by_component(loose.withColumnRenamed("component", "loose"), labels)
@@ -292,21 +314,9 @@ def confirmed_within(loose: DataFrame, labels: DataFrame, classes: DataFrame, se
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sorted_groups(batches, ("loose", "i", "j")):
-            group, found, up = _Group(batch), [], {}
-
-            def root(x: int) -> int:
-                while x in up:
-                    x = up[x]
-                return x
-
             column = batch.column("shingles")
             sets_ = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in range(len(column))]
-            for k, node in enumerate(group.node.tolist()):
-                for o in group.partners(k).tolist():
-                    one, other = root(int(group.component[k])), root(int(group.component[o]))
-                    if one != other and similar(sets_[k], sets_[o]):
-                        up[other] = one
-                        found.append((node, int(group.node[o])))
+            found = _Group(batch).bridges(lambda k, o: similar(sets_[k], sets_[o]))
             if found:
                 yield _pairs_batch(found)
 
@@ -349,8 +359,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     links = common.staged(links.union(confirmed(others, sets)))
     labels, loose = components(links), components(likely.union(others))
     bridges = common.staged(cross_pairs(members, classes, loose))
-    loose = components(loose.select(F.col("node").alias("a"), F.col("component").alias("b")).union(bridges))
-    labels = components(links.union(confirmed_within(loose, labels, classes, sets)))
+    loose = _joined(loose, bridges)
+    labels = _joined(labels, confirmed_within(loose, labels, classes, sets))
     first = (
         classes.select("node", "first_doc").join(labels, "node").groupBy("component").agg(F.min("first_doc").alias("component_id"))
     )

@@ -317,3 +317,15 @@ def test_empty_tables(spark):
         substrings.digests(none), substrings.without_repeats(none),
     ):
         assert made.count() == 0
+
+
+def test_alike_nodes_are_brought_together_by_few_pairs(spark):
+    """Members of one key that are all alike give fewer pairs than there are members, not all pairs."""
+    n = 40
+    classes = spark.createDataFrame([(i, 10, bytes(48)) for i in range(n)], "node long, n_shingles long, signature binary")
+    members = spark.createDataFrame([(7, i, n) for i in range(n)], "key long, node long, members long")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "node long, component long")
+    pairs = minhash.cross_pairs(members, classes, labels)
+    assert pairs.count() < n
+    joined = {r.node: r.component for r in minhash._joined(labels, pairs).collect()}
+    assert joined == dict.fromkeys(range(n), 0)
