@@ -266,11 +266,12 @@ def _by_component(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`labels` (node, component) after pairs (a, b) of components have been brought together; a component without a row in `labels` is a
-    node of its own. Only the pairs are searched for components, not the nodes once more."""
+    """`labels` (node, component) after pairs (a, b) of components have been brought together, written to the shared folder; a component
+    without a row in `labels` is a node of its own. Only the pairs are searched for components, not the nodes once more."""
     merged = components(pairs)
-    moved = labels.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
-    return moved.union(merged.join(labels.select("node"), "node", "left_anti"))
+    every = labels.union(merged.select("node", "node")).groupBy("node").agg(F.min("component").alias("component"))
+    moved = every.join(merged.toDF("component", "__to"), "component", "left")
+    return common.staged(moved.select("node", F.coalesce("__to", "component").alias("component")))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -303,3 +303,50 @@ def test_components_of_paths_and_rings(spark):
     got = components.components(spark.createDataFrame(links, "a long, b long"))
     assert rows_of(got, "node", "component") == sorted([*((i, 0) for i in range(42)), (100, 100), (115, 100), (130, 100)], key=repr)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_in_small_slices(spark, monkeypatch):
+    """Random links, a node with many smaller neighbours and one with many larger ones, cut into slices of a few links."""
+    rng = np.random.default_rng(5)
+    links = [*map(tuple, rng.integers(0, 400, (300, 2)).tolist()), *((2000, 1000 + i) for i in range(60)), *((500, 600 + i) for i in range(60))] * 2
+    up = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted(((x, root(x)) for x in up if any(x in p and p[0] != p[1] for p in links)), key=repr)
+    monkeypatch.setattr(components, "SLICE", 7)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert rows_of(components.components(frame), "node", "component") == want
+    held = [pa.record_batch([pa.array([3, 3, 3]), pa.array([0, 1, 2])], names=["a", "b"])] * 4
+    for by_node, sizes in ((True, [3]), (False, [3, 3])):
+        assert [len(x) for x in components._slices_as_stars(held, by_node)] == sizes
+
+
+def tasks_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(name) for s in told.getJobInfo(j).stageIds}
+    return sum(told.getStageInfo(s).numCompletedTasks for s in stages)
+
+
+def test_components_take_few_tasks(spark):
+    """The driver keeps something of every task, so a round may deal its links only a few times."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for key, value in zip(kept, ("20", "false")):
+            spark.conf.set(key, value)
+        taken = tasks_of(spark, "components", lambda: components.components(links).collect())
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert taken < 650, taken
