@@ -1,5 +1,8 @@
 """The training-data pipeline: toxic documents go, one of each group of near-duplicates stays, repeated passages are cut out,
-and what is left is packed into sequences. Each stage works on all that the one before it kept."""
+and what is left is packed into sequences. Each stage works on all that the one before it kept.
+
+A stage's last step runs when its result is written, so the stages set how many bytes of texts a Python worker gets at a time
+(`spark.sql.execution.arrow.maxBytesPerBatch`) for the whole session; a smaller value of the session stays."""
 
 from __future__ import annotations
 
@@ -13,16 +16,19 @@ from ionframe.llm.queries import END_ID, WORD_FILE
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on those with labels, does not call toxic."""
+    common.set_batches(spark)
     return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    common.set_batches(spark)
     return minhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of fifty words that an earlier document holds; n_chars follows the text."""
+    common.set_batches(spark)
     cut = substrings.without_repeats(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -32,6 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two sequences with their ids."""
+    common.set_batches(spark)
     return packing.pack(docs, public_tokenizers.path(WORD_FILE), END_ID, keep_memory=False)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +16,11 @@ from ionframe.session import scratch_path
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Bytes of rows that Spark hands to a Python worker at a time where `batches_of` holds. A batch is held in an executor's direct memory and
+#: in its worker, so a batch of 10,000 texts or sets, Spark's default, costs each task several times 30 MB.
+BATCH = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Other characters that str.split() takes for white space and the word rule does not.
 _OTHER_SPACE = (
     "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -78,11 +84,37 @@ def in_slices(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterato
             yield batch.slice(start, rows)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def set_batches(spark: SparkSession, size: int = BATCH) -> str:
+    """From now on what this session runs gives Python workers batches of about `size` bytes, or of fewer where the session says so.
+    Returns what it said before."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(min(size, _in_bytes(before))))
+    return before
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """`set_batches` for a while."""
+    before = set_batches(spark, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
+def _in_bytes(size: str) -> int:
+    """A size as Spark's settings give it, such as 67108864b or 64m; 0 or less is no limit for Spark."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    n = int(number) << 10 * " kmgtp".index(unit or " ")
+    return n if n > 0 else 1 << 31
+
+
+def staged(df: DataFrame, batch: int | None = None) -> DataFrame:
     """The frame written as Parquet into the shared folder of `spark.checkpoint.dir` and read back: lineage ends here,
-    columns stay prunable, and a lost executor loses nothing."""
+    columns stay prunable, and a lost executor loses nothing. `batch`: bytes that Python workers get at a time meanwhile."""
     path = scratch_path(df.sparkSession, "llm")
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch) if batch else contextlib.nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,8 @@ HALVES, WIDTH = 12, 2
 LEAST_EQUAL = 20
 #: Members of a table key that are compared with each other at a time.
 BLOCK = 1024
+#: Bytes of text or sets that a worker takes apart at a time, and words that it remembers in a generation.
+SLICE, REMEMBERED = 2 << 20, 60_000
 #: Members of a loose group whose full sets are compared with each other at a time.
 SETS = 256
 
@@ -81,8 +83,8 @@ def sketch(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     halves, signature."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = common.Cache(word_hash)
-        for batch in common.in_slices(batches):
+        memory = common.Cache(word_hash, REMEMBERED)
+        for batch in common.in_slices(batches, SLICE):
             sizes, keys, halves, signatures = [], [], [], []
             for body in batch.column(2).to_pylist():
                 shingles = shingle_set(body, memory)
@@ -161,8 +163,8 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, doc_id: str = "doc_id"
     """(node, shingles) for classes given as (node, set_key, first_doc), made again from the texts."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = common.Cache(word_hash)
-        for batch in common.in_slices(batches):
+        memory = common.Cache(word_hash, REMEMBERED)
+        for batch in common.in_slices(batches, SLICE):
             sets = [shingle_set(t, memory).tobytes() for t in batch.column(0).to_pylist()]
             keys = [hashlib.md5(s).digest() for s in sets]
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
@@ -192,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, whole = None, np.empty(0, np.uint64)
-        for batch in common.in_slices(batches):
+        for batch in common.in_slices(batches, SLICE):
             found = []
             for a, b, shingles in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 these = np.frombuffer(shingles, np.uint64)
@@ -336,7 +338,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     no likely link between components is left untried.
     A text without words is linked with nothing, its component its own doc_id. Null doc_ids are ignored as component_id
     unless a component has no other. Rows with one doc_id and different texts are documents of their own."""
-    sketches = common.staged(sketch(documents, doc_id, text))
+    sketches = common.staged(sketch(documents, doc_id, text), common.BATCH)
     classes = common.staged(
         sketches.where("n_shingles > 0").groupBy("set_key")
         .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"),
@@ -351,17 +353,19 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         .select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.met").alias("met")).distinct()
     )
     nodes = members.select("node").distinct()
-    sets = common.staged(shingle_sets(documents, classes.join(nodes, "node").select("node", "set_key", "first_doc"), doc_id, text))
+    sets = common.staged(shingle_sets(documents, classes.join(nodes, "node").select("node", "set_key", "first_doc"), doc_id, text), common.BATCH)
     # A node's most popular pivot first; of the others only those that this leaves in another component.
     nearest = stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("best.a", "b")
     likely = common.staged(_likely(nearest, classes))
-    links = common.staged(confirmed(likely, sets))
+    links = common.staged(confirmed(likely, sets), common.BATCH)
     others = common.staged(_likely(_apart(stars, components(links)), classes))
-    links = common.staged(links.union(confirmed(others, sets)))
+    links = common.staged(links.union(confirmed(others, sets)), common.BATCH)
     labels, loose = components(links), components(likely.union(others))
     bridges = common.staged(cross_pairs(members, classes, loose))
     loose = _joined(loose, bridges)
-    labels = _joined(labels, confirmed_within(loose, labels, classes, sets))
+    # Written first: else each task that compares sets has a second Python worker, which looks for components.
+    links = common.staged(confirmed_within(loose, labels, classes, sets), common.BATCH)
+    labels = _joined(labels, links)
     first = (
         classes.select("node", "first_doc").join(labels, "node").groupBy("component").agg(F.min("first_doc").alias("component_id"))
     )

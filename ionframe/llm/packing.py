@@ -47,7 +47,7 @@ def pack(
     doc_id stays null. sequence_id is unique: the partition's number and a count in it; the input is only read, never
     shuffled, so a task that runs again gives the same numbers. `tokenizer` is a file of word BPE, read by each worker.
     `keep_ids=False` leaves the ids out, for reports. A worker remembers words from task to task; `keep_memory=False` makes it remember
-    fewer, take smaller slices, and forget all after each task, for jobs whose other stages need the memory."""
+    fewer, take smaller slices, and forget all, the tokenizer too, after each task, for jobs whose other stages need the memory."""
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = wordbpe.library_encoder(tokenizer, 250_000 if keep_memory else 60_000), wordbpe.packed([end_id])
@@ -64,6 +64,8 @@ def pack(
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
         if not keep_memory:
             encoder.forget()
+            del encoder
+            wordbpe.unload()
             pa.default_memory_pool().release_unused()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

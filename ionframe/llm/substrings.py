@@ -13,7 +13,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -347,10 +346,11 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     stays as it was, to the character; from others the covered words go with the white space after them."""
     _, spans, _ = repeats(documents, doc_id, text)
 
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, marks in batches:
-            yield pd.Series([b if s is None else cut_text(b, s) for b, s in zip(texts, marks)], dtype=object)
+            both = zip(texts.to_pylist(), marks.to_pylist())
+            yield pa.array([b if s is None else cut_text(b, s) for b, s in both], pa.string())
 
     key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     names = documents.columns

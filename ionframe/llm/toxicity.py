@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ from ionframe.llm import common
 FEATURES = 1 << 26
 #: Word starts of these lengths are features beside the whole word.
 STARTS = (3, 4, 5)
+#: Bytes of text that a worker scores at a time, and words that it remembers in a generation.
+SLICE, REMEMBERED = 1 << 20, 100_000
 #: At most so many features get a weight, those whose shares differ by so many standard deviations.
 SELECTED, SURPRISE = 4_000, 3.0
 
@@ -155,7 +156,7 @@ def train(
     chosen = chosen.union(plain.limit(most_unlabelled).select("__id", F.lit(False)))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = common.Cache(features_of, 200_000)
+        memory = common.Cache(features_of, 50_000)
         for batch in common.in_slices(batches):
             rows = [document_features(t, memory).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], names=["__positive", "__features"])
@@ -202,14 +203,17 @@ def score(model: Model, text: Column) -> Column:
     features and get the bias' probability."""
     known = frozenset(model.weights)
 
-    @F.pandas_udf("double")
-    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         nothing = frozenset()  # one for all words without a weight
-        hits = common.Cache(lambda word: known.intersection(features_of(word)) or nothing)
+        hits = common.Cache(lambda word: known.intersection(features_of(word)) or nothing, REMEMBERED)
         for texts in batches:
-            found = (set(common.words((t or "").lower())) for t in texts)
-            margins = [model.margin(frozenset().union(*map(hits.__getitem__, words))) for words in found]
-            yield pd.Series(sigmoid(np.array(margins, "float64")))
+            margins = []
+            for part in common.in_slices([pa.record_batch([texts], names=["text"])], SLICE):
+                found = (set(common.words((t or "").lower())) for t in part.column(0).to_pylist())
+                margins += [model.margin(frozenset().union(*map(hits.__getitem__, words))) for words in found]
+            yield pa.array(sigmoid(np.array(margins, "float64")), pa.float64())
+        hits.forget()
 
     return probabilities(text)
 

@@ -6,6 +6,7 @@ because corpora repeat their words."""
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import json
 import sys
@@ -182,3 +183,10 @@ def library_encoder(path: str, size: int = 250_000) -> TextEncoder:
 
     bpe, model = load(path), Tokenizer.from_file(path).model
     return TextEncoder(bpe, lambda word: [t.id for t in model.tokenize(bpe.spelled(word))], size)
+
+
+def unload() -> None:
+    """Drops what this process holds of tokenizer files."""
+    for held in (load, encoder, library_encoder):
+        held.cache_clear()
+    gc.collect()

@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from ionframe.llm import bpe, common, minhash, packing, prefixes, sharding, substrings, wordbpe
+from ionframe.llm import bpe, common, minhash, packing, prefixes, sharding, substrings, toxicity, wordbpe
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -329,3 +330,59 @@ def test_alike_nodes_are_brought_together_by_few_pairs(spark):
     assert pairs.count() < n
     joined = {r.node: r.component for r in minhash._joined(labels, pairs).collect()}
     assert joined == dict.fromkeys(range(n), 0)
+
+
+def sizes_seen(df):
+    """The bytes of the largest batch that a Python worker got of a frame, as a frame."""
+    return df.mapInArrow(lambda batches: iter([pa.record_batch([pa.array([max(b.nbytes for b in batches)])], names=["n"])]), "n long")
+
+
+def test_workers_get_small_batches_where_sets_are_made(spark, monkeypatch):
+    """With Spark's 10,000 rows at a time a task holds them whole in direct memory and in its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, long = spark.conf.get(key), spark.range(0, 6_000, 1, 1).select(F.repeat(F.lit("x"), 2_000).alias("text"))
+    assert common.staged(sizes_seen(long), common.BATCH).first()["n"] < 1.5 * common.BATCH
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "1m")
+    try:
+        assert common.staged(sizes_seen(long), common.BATCH).first()["n"] < 1.5 * (1 << 20)
+        common.set_batches(spark)
+        assert common._in_bytes(spark.conf.get(key)) == 1 << 20
+    finally:
+        spark.conf.set(key, before)
+    assert [common._in_bytes(x) for x in ("4194304", "64m", "67108864b", "2 KB", "0")] == [1 << 22, 1 << 26, 1 << 26, 2048, 1 << 31]
+    seen, write = {}, common.staged
+    monkeypatch.setattr(common, "staged", lambda df, batch=None: seen.update({tuple(df.columns): batch}) or write(df, batch))
+    minhash.near_duplicates(frame(spark, TEXTS[:6])).collect()
+    assert seen[("node", "shingles")] == seen[tuple(minhash._SKETCH.names)] == seen[("a", "b")] == common.BATCH
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Workers stay for the tasks to come, so two in one task are twice as many from then on."""
+    plans, search = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or search(links))
+    minhash.near_duplicates(frame(spark, TEXTS[:6])).collect()
+    assert len(plans) == 5 and not any("MapInArrow" in plan for plan in plans)
+
+
+def test_small_memory_leaves_no_tokenizer(spark, docs):
+    few = docs.where("doc_id < 6").coalesce(1)
+    small = packing.pack(few, WORD_FILE, 2, keep_memory=False)
+    held = small.groupBy().count().coalesce(1).mapInArrow(
+        lambda batches: iter([pa.record_batch([pa.array([wordbpe.load.cache_info().currsize], pa.int64())], names=["n"]) for _ in batches]), "n long"
+    )
+    wordbpe.library_encoder(WORD_FILE)
+    wordbpe.unload()
+    assert [f.cache_info().currsize for f in (wordbpe.load, wordbpe.encoder, wordbpe.library_encoder)] == [0, 0, 0]
+    assert held.first()["n"] == 0
+    assert sorted(small.drop("sequence_id").collect()) == sorted(packing.pack(few, WORD_FILE, 2).drop("sequence_id").collect())
+
+
+def test_cutting_and_scoring_by_small_parts(spark, monkeypatch):
+    """Parts of a batch are scored and cut as the whole batch is; nulls and empty texts too."""
+    model = toxicity.Model(-1.0, {f: 0.5 for f in toxicity.features_of("korean")})
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", "korean", "x korean! y", "z"] * 50)], "doc_id long, text string").coalesce(1)
+    want = {k: toxicity.sigmoid(model.margin(set(toxicity.document_features(t).tolist()) & set(model.weights))) for k, t in texts.collect()}
+    monkeypatch.setattr(toxicity, "SLICE", 1)
+    got = texts.select("doc_id", toxicity.score(model, F.col("text")).alias("score")).collect()
+    assert {k: pytest.approx(v, abs=1e-12) for k, v in got} == want
