@@ -18,8 +18,10 @@ from ionframe.llm import common
 FEATURES = 1 << 26
 #: Word starts of these lengths are features beside the whole word.
 STARTS = (3, 4, 5)
-#: Bytes of text that a worker scores at a time, and words that it remembers in a generation.
-SLICE, REMEMBERED = 1 << 20, 100_000
+#: Bytes of text that a worker scores at a time.
+SLICE = 1 << 20
+#: Words that a worker remembers in a generation when it counts features and when it scores; and where other stages need the memory.
+REMEMBERED, FEWER = (100_000, 200_000), (50_000, 100_000)
 #: At most so many features get a weight, those whose shares differ by so many standard deviations.
 SELECTED, SURPRISE = 4_000, 3.0
 
@@ -126,6 +128,7 @@ def _fold(doc_id: Column, folds: int) -> Column:
 def train(
     documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, most_positive: int = 3_000,
     most_unlabelled: int = 6_000, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
+    remembered: int = REMEMBERED[0],
 ) -> Model:
     """Trains on documents whose crc32(doc_id as text) mod `folds` is not `held_out`; on all where that is None.
 
@@ -172,10 +175,12 @@ def train(
     sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for positive, packed in sorted(zip(examples.column(0).to_pylist(), examples.column(1).to_pylist())):
         sides[positive].append(np.frombuffer(packed, np.int32))
-    return fit(sides[True], sides[False], float(share or 0.0), telling_features(learn.select("__text"), sides[True]))
+    return fit(sides[True], sides[False], float(share or 0.0), telling_features(learn.select("__text"), sides[True], remembered=remembered))
 
 
-def telling_features(texts: DataFrame, positive: list[np.ndarray], selected: int = SELECTED, surprise: float = SURPRISE) -> np.ndarray:
+def telling_features(
+    texts: DataFrame, positive: list[np.ndarray], selected: int = SELECTED, surprise: float = SURPRISE, remembered: int = REMEMBERED[0],
+) -> np.ndarray:
     """The features whose share among some positives differs most from that in all texts, at most `selected`; equal ones by
     number. Counted by document in tasks and added up by feature; nothing but the selected ones comes to the driver."""
     n_u = texts.count()
@@ -183,7 +188,7 @@ def telling_features(texts: DataFrame, positive: list[np.ndarray], selected: int
         return np.zeros(0, np.int32)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = common.Cache(features_of, 50_000)
+        memory = common.Cache(features_of, remembered)
         for batch in common.in_slices(batches, 4 << 20):
             found = counts_of([document_features(t, memory) for t in batch.column(0).to_pylist()])
             yield pa.record_batch([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int64())], names=["__feature", "__n"])
@@ -198,7 +203,7 @@ def telling_features(texts: DataFrame, positive: list[np.ndarray], selected: int
     return np.array([r[0] for r in best.collect()], np.int32)
 
 
-def score(model: Model, text: Column) -> Column:
+def score(model: Model, text: Column, remembered: int = REMEMBERED[1]) -> Column:
     """The model's probability that a text is toxic, from its words alone. Whole texts; null and empty ones have no
     features and get the bias' probability."""
     known = frozenset(model.weights)
@@ -206,7 +211,7 @@ def score(model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         nothing = frozenset()  # one for all words without a weight
-        hits = common.Cache(lambda word: known.intersection(features_of(word)) or nothing, REMEMBERED)
+        hits = common.Cache(lambda word: known.intersection(features_of(word)) or nothing, remembered)
         for texts in batches:
             margins = []
             for part in common.in_slices([pa.record_batch([texts], names=["text"])], SLICE):
@@ -233,6 +238,7 @@ def score_documents(
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that the classifier, trained on all folds, does not call toxic, with their columns."""
-    model = train(documents, labels, held_out=None, doc_id=doc_id, text=text)
-    return documents.where(score(model, F.col(text).cast("string")) < threshold)
+    """The documents that the classifier, trained on all folds, does not call toxic, with their columns. Workers
+    remember fewer words than in `score_documents`, as this is a stage of jobs whose other stages need the memory."""
+    model = train(documents, labels, held_out=None, doc_id=doc_id, text=text, remembered=FEWER[0])
+    return documents.where(score(model, F.col(text).cast("string"), FEWER[1]) < threshold)
