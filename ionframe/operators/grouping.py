@@ -69,12 +69,14 @@ def pack_under(
     values: Sequence[str],
     items: str = "items",
     tasks: int | None = None,
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """``headers`` (one row per group) with their ``rows`` packed beside them, as ``pack`` does.
 
     Headers and rows meet in the one shuffle that packs, so the arrays are not shuffled again for a join. A
     header without rows keeps an empty array; rows without a header are dropped. ``tasks`` is the number of tasks they
-    meet in, for results that take long to work on; otherwise Spark merges small partitions by their bytes.
+    meet in, for results that take long to work on; otherwise Spark merges small partitions by their bytes. With ``by``, some of the
+    ``keys``, groups that are equal in them come to one task.
     """
     keys = list(keys)
     rows = rows.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
@@ -82,10 +84,13 @@ def pack_under(
     both = headers.select(*keys, head.alias("_head")).unionByName(
         rows.select(*keys, _entry(order, values).alias("_item")), allowMissingColumns=True
     )
-    spread = both.repartition(tasks, *keys) if tasks else both
-    return (
+    spread = both.repartition(tasks, *(by or keys)) if tasks else both
+    packed = (
         spread.groupBy(*keys)
         .agg(F.max("_head").alias("_head"), F.array_sort(F.collect_list("_item")).alias(items))
         .filter(F.col("_head").isNotNull())
         .select(*keys, "_head.*", items)
     )
+    # A session that asks for all keys of a group shuffles for the grouping once more.
+    apart = tasks and by and headers.sparkSession.conf.get("spark.sql.requireAllClusterKeysForDistribution") == "true"
+    return packed.repartition(tasks, *by) if apart else packed

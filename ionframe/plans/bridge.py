@@ -204,11 +204,23 @@ def _binary(values: Column, role: str, name: str, bits: Column, zipped: Column)
 def spectrum_xml(spark: SparkSession, sf_dir: str, arrays: bool = True) -> DataFrame:
     """One spectrum element per order as ``(run_id, scan_index, xml)``. Levels above 1 have a precursor, level 3 a product;
     the level of every fifth spectrum is in a parameter group; odd ones give their time in minutes."""
-    key, cust = F.col("scan_index"), F.col("o_custkey")
-    heads = spectra(spark, sf_dir, extra=(F.col("o_custkey"), F.col("o_orderpriority")))
+    heads = _spectrum_heads(spark, sf_dir)
     tasks = _tasks(table(spark, sf_dir, "orders"), SPECTRA_PER_TASK)
     if arrays:
         heads = grouping.pack_under(heads, peaks(spark, sf_dir), ("scan_index",), PEAK_ORDER, ("mz", "intensity"), tasks=tasks)
+    else:
+        heads = heads.repartition(tasks)
+    return heads.select("run_id", "scan_index", _spectrum_text(arrays).alias("xml"))
+
+
+def _spectrum_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra(spark, sf_dir, extra=(F.col("o_custkey"), F.col("o_orderpriority")))
+
+
+def _spectrum_text(arrays: bool) -> Column:
+    """The element of a spectrum's header, with its packed peaks if it has ``arrays``."""
+    key, cust = F.col("scan_index"), F.col("o_custkey")
+    if arrays:
         bits, zipped = F.when(key % 2 == 0, 64).otherwise(32), key % 3 != 0
         lists = _text(
             "<binaryDataArrayList>", _binary(F.col("items.mz"), "MS:1000514", "m/z array", F.lit(64), zipped),
@@ -216,7 +228,6 @@ def spectrum_xml(spark: SparkSession, sf_dir: str, arrays: bool = True) -> DataF
         )
         length = F.size("items")
     else:
-        heads = heads.repartition(tasks)
         lists, length = F.lit(""), F.lit(0)
     level = F.when(key % 5 == 0, _text('<referenceableParamGroupRef ref="level', F.col("ms_level"), '"/>')).otherwise(
         _cv("MS:1000511", "ms level", F.col("ms_level"))
@@ -236,13 +247,12 @@ def spectrum_xml(spark: SparkSession, sf_dir: str, arrays: bool = True) -> DataF
         _cv("MS:1000045", "collision energy", cust % 40), "</activation></precursor></precursorList>",
     )
     product = _text("<productList><product>", _window(cust + 0.125, "1", "2"), "</product></productList>")
-    xml = _text(
+    return _text(
         '<spectrum index="', key, '" id="', F.col("id"), '" defaultArrayLength="', length, '">', level,
         _cv("MS:1000000", "priority", F.col("o_orderpriority")), scan,
         F.when(F.col("ms_level") > 1, precursor).otherwise(""), F.when(F.col("ms_level") == 3, product).otherwise(""),
         lists, "</spectrum>",
     )
-    return heads.select("run_id", "scan_index", xml.alias("xml"))
 
 
 def chromatogram_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,16 +325,11 @@ def header_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_FILES, SPECTRA_PER_FILE = 8, 100_000
 
 
-def write_run_files(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """The spectrum elements as mzML files, several runs in each, with comments, CDATA and instructions that hold other elements."""
+def write_run_files(spark: SparkSession, sf_dir: str, path: str, compression: str = "none") -> None:
+    """The spectrum elements as mzML files, several runs in each, with comments, CDATA and instructions that hold other elements.
+    Headers and peaks are brought to the task that writes their file, and only there made into text."""
     files = max(RUN_FILES, _tasks(table(spark, sf_dir, "orders"), SPECTRA_PER_FILE))
-    file = F.pmod(F.xxhash64("scan_index"), F.lit(files)).cast("int")
-    noise = F.when(F.col("scan_index") % 10 == 0, '<!-- <spectrum id="no"> -->').when(
-        F.col("scan_index") % 10 == 1, '<userParam name="x"><![CDATA[<spectrum id="no">]]></userParam><?note <spectrum?>'
-    )
-    body = spectrum_xml(spark, sf_dir).select(
-        file.alias("file"), F.col("scan_index").alias("place"), F.concat(F.coalesce(noise, F.lit("")), "xml").alias("value")
-    )
+    file = F.pmod(F.xxhash64(F.col("scan_index").cast("long")), F.lit(files)).cast("int").alias("file")
     groups = "".join(
         f'<referenceableParamGroup id="level{n}"><cvParam accession="MS:1000511" name="ms level" value="{n}"/></referenceableParamGroup>'
         for n in (1, 2, 3)
@@ -333,9 +338,19 @@ def write_run_files(spark: SparkSession, sf_dir: str, path: str) -> None:
         '<?xml version="1.0" encoding="utf-8"?><mzML xmlns="http://psi.hupo.org/ms/mzml"><referenceableParamGroupList>'
         f'{groups}</referenceableParamGroupList><run id="r"><spectrumList count="0">'
     )
+    # What comes before and after the spectra of a file has no key, and its place there is 0 and 2.
     ends = spark.range(files).select(
         F.col("id").cast("int").alias("file"),
-        F.inline(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((-1, head), (1 << 60, "</spectrumList></run></mzML>"))])),
+        F.inline(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(v).alias("end")) for k, v in ((0, head), (2, "</spectrumList></run></mzML>"))])),
+    )
+    body, keys = F.lit(1).alias("place"), ("file", "place", "scan_index")
+    packed = grouping.pack_under(
+        _spectrum_heads(spark, sf_dir).select("*", file, body).unionByName(ends, allowMissingColumns=True),
+        peaks(spark, sf_dir).select("*", file, body), keys, PEAK_ORDER, ("mz", "intensity"), tasks=files, by=("file",),
+    )
+    noise = F.when(F.col("scan_index") % 10 == 0, '<!-- <spectrum id="no"> -->').when(
+        F.col("scan_index") % 10 == 1, '<userParam name="x"><![CDATA[<spectrum id="no">]]></userParam><?note <spectrum?>'
     )
-    whole = body.unionByName(ends.withColumn("place", F.col("place").cast("long")))
-    whole.repartition(files, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+    value = F.coalesce("end", F.concat(F.coalesce(noise, F.lit("")), _spectrum_text(arrays=True)))
+    lines = packed.select(*keys, value.alias("value")).sortWithinPartitions(*keys)
+    lines.select("file", "value").write.partitionBy("file").option("compression", compression).text(path)

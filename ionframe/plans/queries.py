@@ -775,10 +775,10 @@ RANGE_BYTES = 1 << 20
 
 @query
 def mzml_file_ranges(spark, sf_dir):
-    """Run files written to the shared folder, each read by several tasks, parsed and decoded."""
+    """Run files written to the shared folder, compressed in blocks, each read by several tasks, parsed and decoded."""
     path = scratch_path(spark, "runs")
-    bridge.write_run_files(spark, sf_dir, path)
-    files = f"{path}/*/*.txt"
+    bridge.write_run_files(spark, sf_dir, path, compression="snappy")
+    files = f"{path}/*/*.txt.snappy"
     spectra = mzml.read_spectra(spark, files, groups=mzml.param_groups(mzml.read_headers(spark, files)), range_bytes=RANGE_BYTES)
     return spectra.select(
         "id", "scan_index", "ms_level", *_double("rt", "ion_mobility"), "n_peaks", "mz_min", "mz_max",

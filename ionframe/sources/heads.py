@@ -7,6 +7,8 @@ from urllib.parse import quote
 import pandas as pd
 from pyarrow import fs
 
+from ionframe.sources import blocks
+
 _HEAD_END = re.compile(rb"<run\b[^>]*/>|<spectrumList\b|<chromatogramList\b|</run\s*>")
 _ENCODING = re.compile(rb"<\?xml[^>]*encoding=[\"']([^\"']+)")
 
@@ -28,7 +30,8 @@ def head_of_file(path: str) -> str | None:
     where that does not come."""
     filesystem, inner = locate(path)
     data = b""
-    with filesystem.open_input_stream(inner) as stream:
+    with filesystem.open_input_file(inner) as file:
+        stream = blocks.Blocks(file) if blocks.is_blocked(path) else file
         while block := stream.read(1 << 16):
             data += block
             if end := _HEAD_END.search(data):

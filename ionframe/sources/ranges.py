@@ -3,7 +3,8 @@
 A file is cut into byte ranges, and a range owns the elements that begin in it; its task reads on to the end of the last one. Whether a
 border lies in a comment, a CDATA section or a processing instruction is found first: each range tells, for each state that it can
 begin in, the state that it ends in, and these steps are composed along the file. Ranges are rows, so a job over
-any number of files has no list of them on the driver.
+any number of files has no list of them on the driver. Files compressed in blocks (see `blocks`) are cut at blocks, and places are counted
+in their content.
 """
 
 import re
@@ -13,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionframe.sources import blocks
 from ionframe.sources.heads import encoding_of, locate
 
 #: Bytes that a task asks the file system for at a time, and of elements in a batch of rows.
 BLOCK, BATCH = 1 << 20, 4 << 20
 #: Bytes that a search goes back behind what it has read, more than any opening or closing token has.
 TOKEN = 512
-#: Tasks of a job at most; beyond that a task reads several ranges.
-MOST_TASKS = 50_000
+#: A task reads one range while there are this many tasks at most, then several ranges of about so many bytes; and tasks of a job at most.
+FEW_TASKS, TASK_BYTES, MOST_TASKS = 200, 32 << 20, 50_000
 
 # What markup is ignored in, by state; state 0 is none of these. Fixed by the XML grammar.
 _CLOSERS = (b"", b"-->", b"]]>", b"?>")
@@ -84,16 +86,35 @@ def _left(data: Bytes, start: int, end: int, state: int) -> int | None:
 def end_state(data: Bytes, start: int, end: int, state: int) -> int:
     """The state at a range's end, if it begins in `state`. An opener that crosses the end counts as open there."""
     at = _left(data, start, end, state)
-    if at is None:
-        return state
+    return state if at is None else _sections(data, at, end)[1]
+
+
+def _sections(data: Bytes, at: int, end: int) -> tuple[list[tuple[int, int]], int]:
+    """The (start, end) of comments and their like between two places, the first of which is in none, and the state at the second."""
+    found_here = []
     while (found := data.search(_OPENER_PATTERN, at)) and found[0] < end:
         state = _OPENERS[found[2]]
         closer = data.search(_CLOSER_PATTERNS[state], found[1], end)
         if closer is None:
-            return state
+            return [*found_here, (found[0], end + 1)], state
         at = closer[1]
+        found_here.append((found[0], at))
         data.forget(at - TOKEN)
-    return 0
+    return found_here, 0
+
+
+def end_states(file, start: int, end: int) -> list[int]:
+    """`end_state` for each state that a range can begin in. Out of its first state, a range goes on as one that begins in none, unless it gets
+    out within what is a comment or its like there."""
+    sections, free = _sections(Bytes(file, _before(start)), start, end)
+    states = [free]
+    for state in range(1, len(_CLOSERS)):
+        at = _left(Bytes(file, _before(start)), start, end, state)
+        if at is not None and any(a < at < b for a, b in sections):
+            states.append(end_state(Bytes(file, _before(start)), start, end, state))
+        else:
+            states.append(state if at is None else free)
+    return states
 
 
 def elements(data: Bytes, start: int, end: int, state: int, tag: str) -> Iterator[bytes]:
@@ -130,14 +151,50 @@ def elements(data: Bytes, start: int, end: int, state: int, tag: str) -> Iterato
             data.forget(at)
 
 
+RANGES = "run_id string, path string, start long, end long, at long, base long"
+
+
 def file_ranges(spark: SparkSession, paths, range_bytes: int) -> DataFrame:
-    """(run_id, path, start, end): the byte ranges of files. Contents are not read."""
-    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("run_id"), "path", "length")
+    """(run_id, path, start, end, at, base): the byte ranges of files. Contents are not read. `at` is the place in a compressed file from
+    which a range can be read, and `base` that place in its content; both are 0 for other files."""
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("run_id"), "path", "length").where("length > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
-    return files.where("length > 0").select("run_id", "path", starts.alias("start"), "length").select(
-        "run_id", "path", "start", F.least(F.col("start") + range_bytes, "length").alias("end")
+    blocked = F.col("path").endswith(blocks.SUFFIX)
+    plain = files.where(~blocked).select("run_id", "path", starts.alias("start"), "length").select(
+        "run_id", "path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("base")
     )
 
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, file in _opened(batch):
+                found = [{"run_id": row["run_id"], "path": row["path"], **r} for r in block_ranges(file, range_bytes)]
+                yield pa.RecordBatch.from_pylist(found, _RANGES_ARROW)
+
+    return plain.unionByName(files.where(blocked).select("run_id", "path").mapInArrow(cut, RANGES))
+
+
+_RANGES_ARROW = pa.schema([(n, pa.string()) for n in ("run_id", "path")] + [(n, pa.int64()) for n in ("start", "end", "at", "base")])
+
+
+def block_ranges(file, range_bytes: int) -> Iterator[dict]:
+    """The ranges of a file compressed in blocks: runs of blocks with at least so many bytes of content, but for the last."""
+    start, at, base, known = 0, 0, 0, [(0, 0)]
+    for place in blocks.places(file):
+        known.append(place)
+        if place[0] - start >= range_bytes:
+            yield {"start": start, "end": place[0], "at": at, "base": base}
+            start = place[0]
+            # What is before the border is looked at too, so the next range begins to read at an earlier block.
+            base, at = next(k for k in reversed(known) if k[0] <= _before(start))
+            known = [k for k in known if k[0] >= base]
+    if known[-1][0] > start:
+        yield {"start": start, "end": known[-1][0], "at": at, "base": base}
+
+
+def _before(start: int) -> int:
+    """From where a range is read: a closer may begin before the border."""
+    return max(start - len(max(_CLOSERS, key=len)), 0)
+
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[dict, object]]:
     for row in batch.to_pylist():
@@ -146,6 +203,13 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[dict, object]]:
             yield row, file
 
 
+def _content(row: dict, file, start: bool = False):
+    """The content of a range's file as a file, from its own first block on or from the `start` of the file."""
+    if not blocks.is_blocked(row["path"]):
+        return file
+    return blocks.Blocks(file) if start else blocks.Blocks(file, row["at"], row["base"])
+
+
 def _with_states(ranges: DataFrame) -> DataFrame:
     """The ranges with the state that each begins in."""
 
@@ -153,17 +217,16 @@ def _with_states(ranges: DataFrame) -> DataFrame:
         for batch in batches:
             to = []
             for row, file in _opened(batch):
-                before = max(row["start"] - len(max(_CLOSERS, key=len)), 0)
-                to.append([end_state(Bytes(file, before), row["start"], row["end"], s) for s in range(len(_CLOSERS))])
+                to.append(end_states(_content(row, file), row["start"], row["end"]))
             yield pa.record_batch([*batch.columns, pa.array(to, pa.list_(pa.int32()))], names=[*batch.schema.names, "to"])
 
-    stepped = ranges.mapInArrow(steps, "run_id string, path string, start long, end long, to array<int>")
-    ordered = stepped.groupBy("run_id", "path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "to"))).alias("ranges"))
+    stepped = ranges.mapInArrow(steps, f"{RANGES}, to array<int>")
+    ordered = stepped.groupBy("run_id", "path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "at", "base", "to"))).alias("ranges"))
     states = F.aggregate(
         "ranges", F.array(F.lit(0)), lambda known, r: F.concat(known, F.array(F.get(r["to"], F.element_at(known, -1))))
     )
     each = ordered.withColumn("states", states).select("run_id", "path", "states", F.posexplode("ranges").alias("i", "r"))
-    return each.select("run_id", "path", "r.start", "r.end", F.get("states", F.col("i")).alias("state"))
+    return each.select("run_id", "path", "r.start", "r.end", "r.at", "r.base", F.get("states", F.col("i")).alias("state"))
 
 
 def read_element_texts(spark: SparkSession, paths, tag: str, range_bytes: int = 64 << 20) -> DataFrame:
@@ -171,7 +234,8 @@ def read_element_texts(spark: SparkSession, paths, tag: str, range_bytes: int =
     `range_bytes`: once for what the borders lie in, once for the elements. Their bytes have to be those of an encoding that keeps ASCII
     (all but UTF-16 and UTF-32), as declared in the file's first bytes."""
     ranges = file_ranges(spark, paths, range_bytes)
-    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    n = ranges.count()
+    tasks = max(1, min(n, max(FEW_TASKS, n * range_bytes // TASK_BYTES), MOST_TASKS))
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(run_id: str, found: list[str]) -> pa.RecordBatch:
@@ -179,9 +243,8 @@ def read_element_texts(spark: SparkSession, paths, tag: str, range_bytes: int =
 
         for batch in batches:
             for row, file in _opened(batch):
-                encoding, held, size = encoding_of(file.read(TOKEN)), [], 0
-                before = max(row["start"] - len(max(_CLOSERS, key=len)), 0)
-                for element in elements(Bytes(file, before), row["start"], row["end"], row["state"], tag):
+                encoding, held, size = encoding_of(_content(row, file, start=True).read(TOKEN)), [], 0
+                for element in elements(Bytes(_content(row, file), _before(row["start"])), row["start"], row["end"], row["state"], tag):
                     held.append(element.decode(encoding, "replace"))
                     size += len(element)
                     if size > BATCH:
